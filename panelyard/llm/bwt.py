@@ -33,12 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.shared import MULTIPLIER, SECOND, mix, staged
 
-LENGTH, GRAM, STEP = 400, 201, 40
+LENGTH, GRAM, STEP = 400, 201, 25
 #: Pieces that one construction orders, unless one core has more.
 TOGETHER = 16_384
 _POSITION = np.uint64((1 << 28) - 1)
@@ -112,13 +114,6 @@ def _find(length: int, gram: int):
     return run
 
 
-def pieces(data: bytes, first: int, length: int, step: int, starts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(place of the first start, left, core, right) for each ``step`` of the ``starts`` starts from ``first`` on."""
-    for base in range(first, first + starts, step):
-        if base + step > 0 and base + length <= len(data):
-            yield base, data[max(0, base) : base + step], data[base + step : base + length], data[base + length : base + length + step - 1]
-
-
 class Collection:
     """BWT, common prefixes and suffix names of many strings, kept in files.
 
@@ -135,6 +130,7 @@ class Collection:
         self.length = np.array([len(s) for s in strings])
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         self.symbols = np.concatenate(strings).astype(np.uint16)
+        self.side = 0
 
     def _before(self, name: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.zeros(len(name), np.uint16)
@@ -143,12 +139,15 @@ class Collection:
         return out
 
     def _write(self, columns: dict[str, np.ndarray]) -> None:
+        self.side = 1 - self.side
         for field, kind in self.FIELDS:
-            columns[field].astype(kind).tofile(os.path.join(self.folder, f"{field}.new"))
-            os.replace(os.path.join(self.folder, f"{field}.new"), os.path.join(self.folder, field))
+            path = os.path.join(self.folder, f"{field}{self.side}")
+            # columns only grow, so a file of two rounds ago is written over, not cut
+            with open(path, "r+b" if os.path.exists(path) else "wb") as out:
+                out.write(np.ascontiguousarray(columns[field], kind).data)
 
     def read(self) -> dict[str, np.ndarray]:
-        return {field: np.fromfile(os.path.join(self.folder, field), kind) for field, kind in self.FIELDS}
+        return {field: np.fromfile(os.path.join(self.folder, f"{field}{self.side}"), kind) for field, kind in self.FIELDS}
 
     def build(self) -> dict[str, np.ndarray]:
         m = len(self.length)
@@ -236,6 +235,10 @@ class _RangeMin:
         return out
 
 
+def place_hash(owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(np.ascontiguousarray(owner, np.int64).view(np.uint64) + mix(at.astype(np.uint64)))
+
+
 def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], first: np.ndarray, owner: np.ndarray, length: int, step: int) -> list[list[int]]:
     """For each piece the starts, counted from the piece's own first start, of strings that begin at another place too.
 
@@ -261,7 +264,7 @@ def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], fi
     whole = (place < cut[name]) & (size[name] - 1 - place + length - step >= length)
     block = np.cumsum(rows["lcp"] < length)
     block, name, place = block[whole], name[whole], place[whole]
-    where = mix(owner[name].view(np.uint64) + mix((first[name] + place).astype(np.uint64)))
+    where = place_hash(owner[name], first[name] + place)
     out: list[list[int]] = [[] for _ in strings]
     if len(block):
         edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
@@ -273,21 +276,35 @@ def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], fi
 
 
 def _cut_pieces(length: int, gram: int, step: int):
+    names = ["anchor", "segment", "row", "at", "core", "piece", "first", "left", "right"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            columns: list[list] = [[] for _ in names]
             for row, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 hashed = Hashed(data)
-                for w in wanted:
-                    for base, left, core, right in pieces(data, w["at"] - (length - gram), length, step, length - gram + 1):
-                        ends = np.array([base + step, base + step + len(core)])
-                        core_hash = int(hashed.of(ends[:1], ends[1:]).view(np.int64)[0])
-                        rows.append((w["anchor"], w["segment"], row, w["at"], core_hash, max(0, base), left, right))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                names = ["anchor", "segment", "row", "at", "core", "first", "left", "right"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                at = np.repeat(np.array([w["at"] for w in wanted]), (length - gram + 1) // step)
+                base = at - (length - gram) + np.tile(np.arange(0, length - gram + 1, step), len(wanted))
+                which = np.repeat(np.arange(len(wanted)), (length - gram + 1) // step)
+                # a piece has a start inside the text only if its core is inside
+                inside = (base + step > 0) & (base + length <= len(data))
+                at, base, which = at[inside], base[inside], which[inside]
+                first, stop = np.maximum(base, 0), np.minimum(base + length + step - 1, len(data))
+                core, end = base + step, base + length
+                columns[0] += [wanted[k]["anchor"] for k in which]
+                columns[1] += [wanted[k]["segment"] for k in which]
+                columns[2] += [row] * len(base)
+                columns[3] += at.tolist()
+                columns[4].append(hashed.of(core, end).view(np.int64))
+                columns[5].append((hashed.of(first, stop) ^ mix((core - first).astype(np.uint64))).view(np.int64))
+                columns[6] += first.tolist()
+                columns[7] += [data[a:b] for a, b in zip(first.tolist(), core.tolist(), strict=True)]
+                columns[8] += [data[a:b] for a, b in zip(end.tolist(), stop.tolist(), strict=True)]
+            if columns[0]:
+                columns[4], columns[5] = np.concatenate(columns[4]), np.concatenate(columns[5])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -297,20 +314,38 @@ def _order(length: int, step: int):
 
     def together(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(tables)
-        core = t["core"].to_numpy()
-        edge = np.concatenate(([True], core[1:] != core[:-1]))
-        group = np.cumsum(edge) - 1
-        several = np.bincount(group)[group] > 1
-        t, group = t.filter(pa.array(several)), group[several]
-        if not t.num_rows:
-            return
-        _, group = np.unique(group, return_inverse=True)
-        first = t["first"].to_numpy().astype(np.int64)
-        starts = repeated_starts(group, t["left"].to_pylist(), t["right"].to_pylist(), first, t["row"].to_numpy(), length, step)
-        begins = first - t["at"].to_numpy()
-        rows = [(a, s, int(f) + r[0], int(f) + r[-1] + length) for a, s, f, all_ in zip(t["anchor"].to_pylist(), t["segment"].to_pylist(), begins, starts, strict=True) for r in _runs(sorted(all_))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "segment", "lo", "hi"])
+        t = t.take(pa.array(np.lexsort((t["piece"].to_numpy(), t["core"].to_numpy()))))
+        core, piece, first = (t[c].to_numpy() for c in ("core", "piece", "first"))
+        n = t.num_rows
+        # equal pieces at two places are repeated throughout; one of them stands for all
+        head = np.flatnonzero(np.concatenate(([True], (core[1:] != core[:-1]) | (piece[1:] != piece[:-1]))))
+        members = np.diff(np.append(head, n))
+        where = place_hash(t["row"].to_numpy(), first)
+        again = np.minimum.reduceat(where, head) != np.maximum.reduceat(where, head)
+        size_left = pc.binary_length(t["left"]).to_numpy()[head]
+        last = np.minimum(size_left - 1, size_left + pc.binary_length(t["right"]).to_numpy()[head] - step)
+        spans: list[list[list[int]]] = [[[0, int(x)]] if a and x >= 0 else [] for a, x in zip(again, last, strict=True)]
+        _, group = np.unique(core[head], return_inverse=True)
+        several = np.flatnonzero((np.bincount(group) > 1)[group] & (last >= 0))
+        # a core whose pieces are all repeated throughout needs no order
+        several = several[(np.bincount(group, ~again & (last >= 0)) > 0)[group[several]]]
+        if len(several):
+            _, cores = np.unique(group[several], return_inverse=True)
+            own = t.take(pa.array(head[several]))
+            starts = repeated_starts(cores, own["left"].to_pylist(), own["right"].to_pylist(), first[head[several]].astype(np.int64), own["row"].to_numpy(), length, step)
+            for k, found in zip(several.tolist(), starts, strict=True):
+                if not again[k]:
+                    spans[k] = _runs(sorted(found))
+        rows = np.repeat(np.arange(len(head)), members)
+        counts = np.array([len(x) for x in spans])[rows]
+        at = np.repeat(np.arange(n), counts)
+        flat = np.array([s for r in rows.tolist() for s in spans[r]], np.int64).reshape(-1, 2)
+        if len(at):
+            begins = (first - t["at"].to_numpy()).astype(np.int64)[at]
+            picked = t.select(["anchor", "segment"]).take(pa.array(at)).combine_chunks()
+            lo, hi = (begins + flat[:, 0]).astype(np.int32), (begins + flat[:, 1] + length).astype(np.int32)
+            out = pa.table({"anchor": picked["anchor"], "segment": picked["segment"], "lo": lo, "hi": hi})
+            yield from out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -372,15 +407,15 @@ def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # a row is named by a hash of its id and text, so rows that share an id stay apart
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     found = staged(source.select("row", "text").mapInArrow(_find(length, gram), "row long, anchor long, segment long, at int, start int, stop int"))
-    classes = found.groupBy("anchor", "segment").agg(F.count("*").alias("members"), F.min(F.struct("row", "at", "start", "stop")).alias("one"))
+    classes = found.groupBy("anchor", "segment").agg(F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("row", "at", "start", "stop")))
     several = classes.groupBy("anchor").agg(F.count("*").alias("classes"))
     classes = staged(classes.join(several.hint("merge"), "anchor").where("classes > 1 or members > 1"))
     # positions are counted from the anchor from here on
-    alike = classes.where("members > 1").select("anchor", "segment", (F.col("one.start") - F.col("one.at")).alias("lo"), (F.col("one.stop") - F.col("one.at")).alias("hi"))
-    unlike = classes.where("classes > 1").select("anchor", "segment", "one.row", "one.at").groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "at")).alias("wanted"))
+    alike = classes.where("members > 1").select("anchor", "segment", (F.col("start") - F.col("at")).alias("lo"), (F.col("stop") - F.col("at")).alias("hi"))
+    unlike = classes.where("classes > 1").select("anchor", "segment", "row", "at").groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "at")).alias("wanted"))
     cut = (
         source.where("text is not null").select("row", "text").join(unlike.hint("merge"), "row")
-        .mapInArrow(_cut_pieces(length, gram, step), "anchor long, segment long, row long, at int, core long, first int, left binary, right binary")
+        .mapInArrow(_cut_pieces(length, gram, step), "anchor long, segment long, row long, at int, core long, piece long, first int, left binary, right binary")
     )
     ordered = cut.repartition("core").sortWithinPartitions("core").mapInArrow(_order(length, step), "anchor long, segment long, lo int, hi int")
     stretches = staged(alike.unionByName(ordered))
