@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,49 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_mix_sources, op5_repeated_spans, op8_suffix_dedup, op9_template_decontamination)}
+def op1_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).drop("text")
+
+
+def held_out(parts: int) -> Column:
+    """Rows whose crc32 of the id as text leaves 2."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == 2
+
+
+def op2_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(4))
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.ctw import score
+
+    return score(table(spark, sf_dir, "documents"), held_out(7))
+
+
+def op10_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.iblt import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_severity, op2_quality_machine, op3_minhash_near_dedup, op4_mix_sources, op5_repeated_spans,
+        op6_html_main_text, op7_context_tree_score, op8_suffix_dedup, op9_template_decontamination, op10_bloom_fingerprints,
+    )
+}
 
 ORACLES: dict[str, str] = {}
