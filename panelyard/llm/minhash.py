@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import MULTIPLIER, SECOND, mix, rolling, signed, staged, word_hashes, words_of
+from panelyard.llm.shared import MULTIPLIER, SECOND, distinct, mix, rolling, signed, staged, word_hashes, words_of
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
@@ -37,7 +37,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = word_hashes(words)
-    return np.unique(rolling(h, min(width, len(h))) ^ np.uint64(min(width, len(h))))
+    return distinct(rolling(h, min(width, len(h))) ^ np.uint64(min(width, len(h))))
 
 
 def _probes(first: int, count: int) -> np.ndarray:
@@ -51,12 +51,12 @@ _SHORT, _LONG = _probes(0, 24), _probes(24, 1500)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """One minimum a bin; an empty bin copies the first full bin that its own probes reach."""
-    h = np.sort(mix(hashes))
-    bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    full, at = np.unique(bins, return_index=True)
+    """One minimum a bin of sorted hashes; an empty bin copies the first full bin that its own probes reach."""
+    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    full = bins[at].astype(np.int64)
     out, known = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
-    out[full], known[full] = h[at], True
+    out[full], known[full] = hashes[at], True
     has = known.copy()
     for table in (_SHORT, _LONG):
         empty = np.flatnonzero(~known)
@@ -79,28 +79,28 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    s = signature(hashes).reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64) * SECOND
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """One key a band for each row of signatures."""
+    s = signatures.reshape(-1, BANDS, ROWS)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * SECOND, s.shape[:2])
     for j in range(ROWS):
-        h = mix(h * MULTIPLIER + s[:, j])
+        h = mix(h * MULTIPLIER + s[:, :, j])
     return h
 
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
-                n.append(len(s))
-                a.append(int(np.add.reduce(mix(s ^ MULTIPLIER)).view(np.int64)) if len(s) else 0)
-                b.append(int(np.bitwise_xor.reduce(mix(s + SECOND)).view(np.int64)) if len(s) else 0)
-                bands.append(signed(band_keys(s)) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_sum", "set_xor", "bands"],
-            )
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            n = np.array([len(s) for s in sets], np.int64)
+            # shingle hashes are mixed, so plain sums tell sets apart
+            a = np.array([np.add.reduce(s) for s in sets], np.uint64)
+            b = np.array([np.bitwise_xor.reduce(s * MULTIPLIER) for s in sets], np.uint64)
+            full = np.flatnonzero(n)
+            keys = band_keys(np.stack([signature(sets[k]) for k in full])) if len(full) else np.zeros((0, BANDS), np.uint64)
+            ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(keys.ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(signed(a)), pa.array(signed(b)), bands], ["doc_id", "n_shingles", "set_sum", "set_xor", "bands"])
 
     return run
 

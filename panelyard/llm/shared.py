@@ -63,3 +63,9 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
