@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.llm.shared import distinct
+
 BITS = 18
 GRADES = 3
 #: The most labelled rows that training reads.
@@ -52,8 +54,8 @@ class _Words(dict):
 def features(text: str | None, words: _Words) -> np.ndarray:
     """Sorted distinct features of a text."""
     found = (text or "").lower().split()
-    both = np.unique(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
-    return np.unique(np.concatenate((both >> 32, both & ((1 << BITS) - 1)))).astype(np.int32)
+    both = distinct(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+    return distinct(np.concatenate((both >> 32, both & ((1 << BITS) - 1)))).astype(np.int32)
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
