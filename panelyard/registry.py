@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from panelyard.plans import feature_queries, metric_queries, model_queries, panel_queries, triage_queries
+
+_ALL = [*panel_queries.QUERIES, *feature_queries.QUERIES, *metric_queries.QUERIES, *model_queries.QUERIES, *triage_queries.QUERIES]
+QUERIES = {q.name: q.run for q in _ALL}
+ORACLES = {q.name: q.sql for q in _ALL if q.sql is not None}
