@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import MULTIPLIER, mix, signed, staged, word_hashes, words_of
+from panelyard.llm.shared import MULTIPLIER, mix, portions, signed, staged, word_hashes, words_of
 
 DEPTH = 4
 #: Nodes, and words, that a scoring task holds at once (12 bytes each).
@@ -52,14 +52,27 @@ def streams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray
     return code[own], size, words
 
 
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several (keys, counts) as one."""
+    keys, n = np.concatenate([x[0] for x in counts]), np.concatenate([x[1] for x in counts])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(n, head) if len(head) else n
+
+
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            texts = batch.column(0).to_pylist()
+            found = []
+            for part in portions(texts):
+                codes, _, words = streams(texts[part], depth)
+                found.append((np.unique(codes, return_counts=True), np.unique(word_hashes([w for ws in words for w in ws]), return_counts=True)))
+            if not found:
                 continue
-            codes, _, words = streams(batch.column(0).to_pylist(), depth)
-            gram, n = np.unique(codes, return_counts=True)
-            word, c = np.unique(word_hashes([w for ws in words for w in ws]), return_counts=True)
+            gram, n = _added([x[0] for x in found])
+            word, c = _added([x[1] for x in found])
             kind = np.concatenate((np.full(len(gram), GRAM), np.full(len(word), WORD), [END])).astype(np.int32)
             keys = np.concatenate((signed(gram), signed(word), [0]))
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate((n, c, [batch.num_rows])))], ["kind", "key", "n"])
@@ -206,38 +219,40 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return run[ends] - run[ends - size]
 
 
+def _score_portion(m: Slice, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """(words, known words, base log10, model log10) of each text, as far as the slice holds them."""
+    codes, size, words = streams(texts, m.depth)
+    n_words = np.array([len(w) for w in words], np.int64)
+    h = word_hashes([w for ws in words for w in ws])
+    count = m.word_counts(h)
+    base = np.log10((count + 1) / (m.total + m.distinct + 1))
+    if m.parts > 1:
+        logs = np.zeros(len(codes))
+        mine = ((codes >> np.uint64(8)) & np.uint64(255)) % np.uint64(m.parts) == m.part
+        logs[mine] = m.score(codes[mine])
+        base[mix(h) % np.uint64(m.parts) != m.part] = 0
+    else:
+        logs = m.score(codes)
+    return n_words, _sums((count > 0).astype(float), n_words), _sums(base, n_words), _sums(logs, size)
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Slice = shared.value
+        end = math.log10((m.ends + 1) / (m.total + m.distinct + 1))
         for batch in batches:
-            if not batch.num_rows:
+            texts = batch.column(1).to_pylist()
+            found = [_score_portion(m, texts[part]) for part in portions(texts)]
+            if not found:
                 continue
-            codes, size, words = streams(batch.column(1).to_pylist(), m.depth)
-            if m.parts > 1:
-                logs = np.zeros(len(codes))
-                mine = ((codes >> np.uint64(8)) & np.uint64(255)) % np.uint64(m.parts) == m.part
-                logs[mine] = m.score(codes[mine])
-            else:
-                logs = m.score(codes)
-            n_words = np.array([len(w) for w in words], np.int64)
-            h = word_hashes([w for ws in words for w in ws])
-            count = m.word_counts(h)
-            base = np.log10((count + 1) / (m.total + m.distinct + 1))
-            known = (count > 0).astype(float)
-            if m.parts > 1:
-                other = mix(h) % np.uint64(m.parts) != m.part
-                base[other] = 0
-            first = m.part == 0
-            end = math.log10((m.ends + 1) / (m.total + m.distinct + 1))
-            base_sum = _sums(base, n_words) + (end if first else 0.0)
-            known_sum = _sums(known, n_words) + (1 if first and m.ends else 0)
+            n_words, known, base, logs = (np.concatenate([x[k] for x in found]) for k in range(4))
+            if m.part == 0:
+                known, base = known + (1 if m.ends else 0), base + end
             old = [batch.column(k).to_numpy() for k in (4, 5, 6)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array(n_words + 1), pa.array(old[0] + known_sum.astype(np.int64)), pa.array(old[1] + base_sum), pa.array(old[2] + _sums(logs, size)),
-                ],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n_words + 1), pa.array(old[0] + known.astype(np.int64)), pa.array(old[1] + base), pa.array(old[2] + logs)],
                 ["doc_id", "text", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            )
 
     return run
 

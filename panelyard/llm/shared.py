@@ -69,3 +69,17 @@ def distinct(a: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     a = np.sort(a)
     return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
+
+def portions(texts: list[str | None], most: int = 1_500_000) -> list[slice]:
+    """Slices of consecutive texts of about ``most`` characters, so that arrays over them stay small; a longer text stands alone."""
+    out, start, size = [], 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > most:
+            out.append(slice(start, k))
+            start, size = k, 0
+        size += n + 1
+    if start < len(texts):
+        out.append(slice(start, len(texts)))
+    return out
