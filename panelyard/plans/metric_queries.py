@@ -160,7 +160,7 @@ def melt_sql(rows: str, columns) -> str:
 
 SINGLE = DOC + f""", molten AS (SELECT * FROM {melt_sql('doc', DOC_COLUMNS)}),
 single AS (SELECT feature, n, greatest(roc_auc, 1 - roc_auc) auc FROM {auc_sql('molten', 'feature', p='"value"')} JOIN (SELECT feature, count(*) n FROM molten GROUP BY 1 HAVING count(*) >= 20 AND min(y) < max(y)) USING (feature)),
-ranges AS (SELECT *, min0 <= max1 AND min1 <= max0 overlaps FROM (SELECT feature, min("value") FILTER (y = 0) min0, max("value") FILTER (y = 0) max0, min("value") FILTER (y = 1) min1, max("value") FILTER (y = 1) max1
+ranges AS (SELECT *, min0 <= max1 AND min1 <= max0 "overlaps" FROM (SELECT feature, min("value") FILTER (y = 0) min0, max("value") FILTER (y = 0) max0, min("value") FILTER (y = 1) min1, max("value") FILTER (y = 1) max1
   FROM molten GROUP BY 1 HAVING count(*) FILTER (y = 0) >= 5 AND count(*) FILTER (y = 1) >= 5))
 """
 RELIABILITY = SC + f""", edges AS (SELECT list_sort(list_distinct(quantile_cont(p, [{', '.join(repr(k / 15) for k in range(16))}]))) e FROM scaled),
@@ -186,20 +186,20 @@ def policies(spark, sf):
 
 
 POLICY = LAB + f""", wk_n AS (SELECT count(DISTINCT week_start) w, sum(y) pos_all FROM scored),
-glob AS (SELECT t, CASE WHEN pos_all > 0 THEN tp::DOUBLE / pos_all ELSE 0 END recall, CASE WHEN fl > 0 THEN tp::DOUBLE / fl ELSE 0 END "precision", fl::DOUBLE / (SELECT w FROM wk_n) alerts_per_week FROM {at_grid('scored', 'p3', POLICY_GRID)}),
+at_all AS (SELECT t, CASE WHEN pos_all > 0 THEN tp::DOUBLE / pos_all ELSE 0 END recall, CASE WHEN fl > 0 THEN tp::DOUBLE / fl ELSE 0 END "precision", fl::DOUBLE / (SELECT w FROM wk_n) alerts_per_week FROM {at_grid('scored', 'p3', POLICY_GRID)}),
 rk AS (SELECT y, row_number() OVER (PARTITION BY week_start ORDER BY p3 DESC, entity) r FROM scored),
 topk AS (SELECT k, CASE WHEN pos_all > 0 THEN tp::DOUBLE / pos_all ELSE 0 END recall, CASE WHEN fl > 0 THEN tp::DOUBLE / fl ELSE 0 END "precision", fl::DOUBLE / w alerts_per_week
   FROM (SELECT k, count(*) FILTER (r <= k) fl, count(*) FILTER (r <= k AND y = 1) tp FROM rk, (SELECT unnest(range(1, 15)) k) GROUP BY 1), wk_n WHERE k <= (SELECT max(r) FROM rk)),
-pol AS (SELECT 'global' policy, t setting, recall, "precision", alerts_per_week FROM glob UNION ALL SELECT 'topk', k, recall, "precision", alerts_per_week FROM topk)
+pol AS (SELECT 'global' policy, t setting, recall, "precision", alerts_per_week FROM at_all UNION ALL SELECT 'topk', k, recall, "precision", alerts_per_week FROM topk)
 """
 UNSEEN = "('0x' || substr(md5(entity::VARCHAR), 1, 1))::INT < 4"
 SHUFFLED = LAB + """, sh AS (SELECT a.seed, a.p, b.y FROM (SELECT seed, p3 p, row_number() OVER (PARTITION BY seed ORDER BY entity, week_start) n FROM scored, (SELECT unnest(range(1, 6)) seed)) a
   JOIN (SELECT seed, y, row_number() OVER (PARTITION BY seed ORDER BY ('0x' || substr(md5(seed || '-' || entity || '-' || week_start), 1, 8))::BIGINT, entity, week_start) n FROM scored, (SELECT unnest(range(1, 6)) seed)) b USING (seed, n))
 """
-HORIZON = f""", hz AS (SELECT h horizon, p, y FROM (SELECT inc p, thr, {', '.join(f"CASE WHEN datediff('day', week_start, lead(week_start,{h}) OVER w) = {7 * h} THEN coalesce((lead(inc,{h}) OVER w >= thr)::INT, 0) END y{h}" for h in (2, 4, 8))} FROM hp WINDOW w AS ({W})) UNPIVOT (y FOR h IN (y2 AS 2, y4 AS 4, y8 AS 8)))
+HORIZON = f""", hz AS (SELECT p, horizon, y FROM (SELECT p, unnest([{{'horizon': 2, 'y': y2}}, {{'horizon': 4, 'y': y4}}, {{'horizon': 8, 'y': y8}}], recursive := true) FROM (SELECT inc p, thr, {', '.join(f"CASE WHEN datediff('day', week_start, lead(week_start,{h}) OVER w) = {7 * h} THEN coalesce((lead(inc,{h}) OVER w >= thr)::INT, 0) END y{h}" for h in (2, 4, 8))} FROM hp WINDOW w AS ({W}))) WHERE y IS NOT NULL)
 """
 FUTURE = f""", fut AS (SELECT *, CASE WHEN datediff('day', week_start, lead(week_start,2) OVER w) = 14 THEN lead(inc,2) OVER w END future FROM hp WINDOW w AS ({W})),
-late AS (SELECT d delay, (future >= thr)::INT y, p FROM (SELECT future, thr, {', '.join(f"first(inc) OVER (PARTITION BY entity ORDER BY datediff('day', DATE '1970-01-01', week_start) RANGE BETWEEN {7 * k} PRECEDING AND {7 * k} PRECEDING) d{k}" for k in (0, 1, 2))} FROM fut) UNPIVOT (p FOR d IN (d0 AS 0, d1 AS 1, d2 AS 2)) WHERE future IS NOT NULL)
+late AS (SELECT delay, (future >= thr)::INT y, p FROM (SELECT future, thr, unnest([{{'delay': 0, 'p': d0}}, {{'delay': 1, 'p': d1}}, {{'delay': 2, 'p': d2}}], recursive := true) FROM (SELECT future, thr, {', '.join(f"first(inc) OVER (PARTITION BY entity ORDER BY datediff('day', DATE '1970-01-01', week_start) RANGE BETWEEN {7 * k} PRECEDING AND {7 * k} PRECEDING) d{k}" for k in (0, 1, 2))} FROM fut)) WHERE future IS NOT NULL AND p IS NOT NULL)
 """
 SCORE_D, SCORE_L = "prevalence ap roc_auc", "n positives"
 
@@ -233,7 +233,7 @@ QUERIES = [
     query("top_k_by_week", lambda s, d: M.top_k_by_week(p3(s, d), 3, "week_start", [F.col("entity")]).select("entity", "week_start", "flag"), "SELECT entity, week_start, row_number() OVER (PARTITION BY week_start ORDER BY p3 DESC, entity) <= 3 flag FROM scored", ctes=LAB),
     query("operating_point_sweep", sweep, rates_sql(confusion_sql("p3 >= threshold", "target, threshold", f" FROM (SELECT * FROM scored WHERE yr > 1999), (SELECT target, coalesce(max(CASE WHEN pos_all > 0 AND tp / pos_all >= target THEN s END), 0.0::DOUBLE) threshold FROM {CURVE.format(p='p3', rows='val')}, (SELECT unnest([0.5::DOUBLE, 0.6, 0.7, 0.8, 0.9]) target) GROUP BY 1) GROUP BY 1, 2")), RATES + " target threshold", COUNTS, LAB + ", val AS (SELECT * FROM scored WHERE yr = 1999)"),
     query("budget_sweep", budgets, rates_sql(confusion_sql("p3 >= threshold", "per_week, threshold", ", avg(CASE WHEN p3 >= threshold AND y = 1 THEN weeks_to_crossing END) mean_lead FROM (SELECT * FROM scored WHERE yr > 1999), (SELECT per_week, CASE WHEN k >= n THEN low ELSE (SELECT p3 FROM (SELECT p3, row_number() OVER (ORDER BY p3 DESC) r FROM val) WHERE r = k) END threshold FROM ks) GROUP BY 1, 2")), RATES + " per_week threshold mean_lead", COUNTS, LAB + ", val AS (SELECT * FROM scored WHERE yr = 1999), ks AS (SELECT b per_week, greatest(round_even(b * greatest(w, 1), 0)::BIGINT, 1) k, n, low FROM (SELECT count(*) n, count(DISTINCT week_start) w, min(p3) low FROM val), (SELECT unnest(range(1, 9))::DOUBLE b))"),
-    query("alert_policy_global", lambda s, d: M.alert_policy_global(p3(s, d), POLICY_GRID, "week_start"), "SELECT * FROM glob", "t recall precision alerts_per_week", ctes=POLICY),
+    query("alert_policy_global", lambda s, d: M.alert_policy_global(p3(s, d), POLICY_GRID, "week_start"), "SELECT * FROM at_all", "t recall precision alerts_per_week", ctes=POLICY),
     query("alert_policy_topk", lambda s, d: M.alert_policy_topk(p3(s, d), 14, "week_start", [F.col("entity")]), "SELECT * FROM topk", "recall precision alerts_per_week", ctes=POLICY),
     query("cheapest_policy", lambda s, d: M.cheapest_policy(policies(s, d), 0.9), "SELECT policy, setting, recall, \"precision\", alerts_per_week FROM pol WHERE recall >= 0.9 QUALIFY row_number() OVER (PARTITION BY policy ORDER BY alerts_per_week, setting) = 1", "setting recall precision alerts_per_week", ctes=POLICY),
     query("fold_scores", fold_scores, "SELECT yr, arm, ap FROM fold_ap", "ap", ctes=LAB + FOLD_DELTA),
@@ -245,7 +245,7 @@ QUERIES = [
     query("momentum_errors", lambda s, d: M.momentum_errors(p3(s, d), F.col("p3") >= F.col("thr") / 2, F.col("inc") >= F.col("thr") / 2), "SELECT avg((inc >= thr / 2)::INT::DOUBLE) FILTER (p3 >= thr / 2 AND y = 0) false_alarm_share, avg((inc >= thr / 2)::INT::DOUBLE) FILTER (p3 < thr / 2 AND y = 0) true_negative_share FROM scored", "false_alarm_share true_negative_share", ctes=LAB),
     query("single_feature_auc", lambda s, d: M.single_feature_auc(docs(s, d), DOC_COLUMNS), "SELECT * FROM single", "auc", ctes=SINGLE),
     query("range_overlap", lambda s, d: M.range_overlap(docs(s, d), DOC_COLUMNS), "SELECT * FROM ranges", "min0 max0 min1 max1", ctes=SINGLE),
-    query("dataset_audit", lambda s, d: M.dataset_audit(docs(s, d), DOC_COLUMNS), "SELECT *, CASE WHEN leaky = '' AND disjoint = '' THEN 'PASS' ELSE 'REJECT' END verdict FROM (SELECT coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM single WHERE auc >= 0.95), '') leaky, coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM ranges WHERE NOT overlaps), '') disjoint)", ctes=SINGLE),
+    query("dataset_audit", lambda s, d: M.dataset_audit(docs(s, d), DOC_COLUMNS), "SELECT *, CASE WHEN leaky = '' AND disjoint = '' THEN 'PASS' ELSE 'REJECT' END verdict FROM (SELECT coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM single WHERE auc >= 0.95), '') leaky, coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM ranges WHERE NOT (min0 <= max1 AND min1 <= max0)), '') disjoint)", ctes=SINGLE),
     query("population_medians", lambda s, d: M.population_medians(docs(s, d), DOC_COLUMNS), f"SELECT {', '.join(f'quantile_cont({c}, 0.5) {c}' for c in DOC_COLUMNS)} FROM doc", " ".join(DOC_COLUMNS), ctes=DOC),
     query("screening_points", lambda s, d: M.confusion_at_threshold(scaled(s, d), 0.5).withColumn("point", F.lit("half")).withColumn("threshold", F.lit(0.5)).unionByName(M.confusion_at_threshold(scaled(s, d).crossJoin(F.broadcast(M.best_balanced_threshold(one(scaled(s, d)), ["one"]).select("threshold"))), F.col("threshold"), ["threshold"]).withColumn("point", F.lit("balanced"))), "SELECT 'half' point, 0.5::DOUBLE threshold, * FROM (" + rates_sql(confusion_sql("p >= 0.5", extra=" FROM scaled")) + ") UNION ALL SELECT 'balanced', threshold, * EXCLUDE (threshold) FROM (" + rates_sql(confusion_sql("p >= threshold", "threshold", f" FROM scaled, (SELECT s threshold FROM {CURVE.format(p='p', rows='scaled')} ORDER BY (tp / pos_all + ((n_all - pos_all) - (fl - tp)) / (n_all - pos_all)) / 2 DESC, 1 LIMIT 1) GROUP BY 1")) + ")", RATES + " threshold", COUNTS, SC),
     query("rank_average", lambda s, d: M.rank_average(scored(s, d), ["yr"], "p1", "p3").select("entity", "week_start", "rank_mean"), "SELECT entity, week_start, (rank() OVER (PARTITION BY yr ORDER BY p1) + (count(*) OVER (PARTITION BY yr, p1) - 1) / 2 + rank() OVER (PARTITION BY yr ORDER BY p3) + (count(*) OVER (PARTITION BY yr, p3) - 1) / 2) / 2 rank_mean FROM scored", "rank_mean", ctes=LAB),
