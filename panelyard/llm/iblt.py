@@ -66,39 +66,42 @@ def check_of(d: Column) -> Column:
     return F.xxhash64(d, F.lit(7))
 
 
-def _place(d: Column, third: int) -> Column:
-    return F.shiftrightunsigned(d, 40 + 5 * third).bitwiseAND(F.lit(THIRD - 1)).cast("int")
+def _entry(d: Column, n: Column) -> Column:
+    """A digest with its check and its place in each third, worked out once."""
+    place = lambda k: F.shiftrightunsigned(d, 40 + 5 * k).bitwiseAND(F.lit(THIRD - 1)).cast("int")
+    return F.struct(n.cast("int").alias("n"), d.alias("key"), check_of(d).alias("check"), *(place(k).alias(f"p{k}") for k in range(3)))
 
 
-def _power(bits: Column) -> Column:
-    return F.pow(F.lit(2.0), bits).cast("long")
+def _cell(n: Column, key: Column, check: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
 
 
 def blocks(d: Column, bits: Column) -> Column:
     """The digests by block, split in two steps so that no digest meets all blocks."""
 
-    def split(half: Column) -> Column:
-        low, high = _power(half), _power(bits - half)
-        part = lambda hi: F.filter(d, lambda x: F.floor(F.pmod(x, low * high) / low) == hi)
-        inner = lambda own: F.transform(F.sequence(F.lit(0).cast("long"), low - 1), lambda lo: F.filter(own, lambda x: F.pmod(x, low) == lo))
-        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), high - 1), lambda hi: let(part(hi), inner)))
-
-    return let(F.floor(bits / 2).cast("int"), split)
-
+    def split(at: Column) -> Column:
+        part = lambda hi: F.filter(d, lambda x: F.call_function("shiftright", x, at["half"]).bitwiseAND(at["high"]) == hi)
+        inner = lambda own: F.transform(F.sequence(F.lit(0).cast("long"), at["low"]), lambda lo: F.filter(own, lambda x: x.bitwiseAND(at["low"]) == lo))
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), at["high"]), lambda hi: let(part(hi), inner)))
 
-def _cell(n: Column, key: Column, check: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
+    half = F.floor(bits / 2).cast("int")
+    mask = lambda k: (F.pow(F.lit(2.0), k).cast("long") - 1)
+    return let(F.struct(half.alias("half"), mask(half).alias("low"), mask(bits - half).alias("high")), split)
 
 
 def sketch(d: Column, bits: Column) -> Column:
     """array<block>; block: array of ``CELLS`` (n, key, check)."""
+    add = lambda a, x: _cell(a["n"] + 1, a["key"].bitwiseXOR(x["key"]), a["check"].bitwiseXOR(x["check"]))
+    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
 
-    def cells(own: Column, third: int) -> Column:
-        add = lambda a, x: _cell(a["n"] + 1, a["key"].bitwiseXOR(x), a["check"].bitwiseXOR(check_of(x)))
-        fill = lambda j: F.aggregate(F.filter(own, lambda x: _place(x, third) == j), _cell(F.lit(0), F.lit(0), F.lit(0)), add)
-        return F.transform(F.sequence(F.lit(0), F.lit(THIRD - 1)), fill)
+    def third(own: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(THIRD - 1)), lambda j: F.aggregate(F.filter(own, lambda x: x[f"p{k}"] == j), zero, add))
 
-    return F.transform(let(d, lambda v: blocks(v, bits)), lambda own: F.concat(*(cells(own, k) for k in range(3))))
+    def cells(own: Column) -> Column:
+        return F.concat(*(third(own, k) for k in range(3)))
+
+    entries = lambda own: F.transform(own, lambda x: _entry(x, F.lit(1)))
+    return let(bits, lambda b: let(d, lambda v: F.transform(blocks(v, b), lambda own: let(entries(own), cells))))
 
 
 def as_text(cells: Column) -> Column:
@@ -115,27 +118,30 @@ def peel(block: Column) -> Column:
     """(left, found): whether anything is left in a subtracted block, and how many digests came out."""
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == check_of(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == check_of(c["key"])))
+        pure = F.array_distinct(F.transform(alone, lambda c: _entry(c["key"], c["n"])))
 
         def take(keys: Column) -> Column:
+            minus = lambda a, x: _cell(a["n"] - x["n"], a["key"].bitwiseXOR(x["key"]), a["check"].bitwiseXOR(x["check"]))
+
             def third(k: int) -> Column:
                 old = F.slice(state["cells"], k * THIRD + 1, THIRD)
-                minus = lambda a, x: _cell(a["n"] - x["n"], a["key"].bitwiseXOR(x["key"]), a["check"].bitwiseXOR(check_of(x["key"])))
-                return F.transform(old, lambda c, j: F.when(_empty(c), c).otherwise(F.aggregate(F.filter(keys, lambda x: _place(x["key"], k) == j), c, minus)))
+                return F.transform(old, lambda c, j: F.when(_empty(c), c).otherwise(F.aggregate(F.filter(keys, lambda x: x[f"p{k}"] == j), c, minus)))
 
             return F.struct(F.concat(third(0), third(1), third(2)).alias("cells"), (state["found"] + F.size(keys)).alias("found"), F.lit(True).alias("go"))
 
         stay = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("go"))
         return F.when(~state["go"], state).otherwise(let(pure, lambda keys: F.when(F.size(keys) == 0, stay).otherwise(take(keys))))
 
-    begin = F.struct(block.alias("cells"), F.lit(0).alias("found"), F.exists(block, lambda c: ~_empty(c)).alias("go"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, lambda s: F.struct(F.exists(s["cells"], lambda c: ~_empty(c)).alias("left"), s["found"].alias("found")))
+    begin = F.struct(block.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("go"))
+    ran = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, lambda s: F.struct(F.exists(s["cells"], lambda c: ~_empty(c)).alias("left"), s["found"].alias("found")))
+    return F.when(F.exists(block, lambda c: ~_empty(c)), ran).otherwise(F.struct(F.lit(False).alias("left"), F.lit(0).alias("found")))
 
 
 def differing(a: Column, b: Column) -> Column:
     """How many digests two sketches of equal shape differ by; null where peeling gets stuck."""
     minus = lambda x, y: F.zip_with(x, y, lambda p, q: _cell(p["n"] - q["n"], p["key"].bitwiseXOR(q["key"]), p["check"].bitwiseXOR(q["check"])))
-    peeled = F.zip_with(a, b, lambda x, y: peel(minus(x, y)))
+    peeled = F.zip_with(a, b, lambda x, y: let(minus(x, y), peel))
     return let(peeled, lambda p: F.when(~F.exists(p, lambda x: x["left"]), F.aggregate(p, F.lit(0), lambda s, x: s + x["found"])))
 
 
@@ -144,7 +150,7 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column
 
     def grown(times: int) -> Column:
         bits = F.greatest(bits_of(F.size(a)), bits_of(F.size(b))) + 2 * times
-        return differing(sketch(a, bits), sketch(b, bits))
+        return let(bits, lambda n: differing(sketch(a, n), sketch(b, n)))
 
     same = F.when(F.size(sketch_a) == F.size(sketch_b), differing(sketch_a, sketch_b)).otherwise(grown(0))
     # peeling sees a digest once from either side, so the rest is shared

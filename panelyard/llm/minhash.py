@@ -5,11 +5,14 @@ class first, so that copies are never paired. Each class gets one one-permutatio
 signature (one hash pass, one minimum a bin, empty bins filled by optimal
 densification) cut into bands; classes that share a band form a bucket.
 
-Buckets are resolved with star-shaped edges: a centre is compared with the other
-members whose component differs and then leaves the bucket. What stays in
-different components goes into a further round with other and more centres,
-until every bucket lies within one component or has no pair left to compare. So pair counts stay near the number of members, and no bucket is capped.
-Links are confirmed on the full shingle sets.
+Every bucket is resolved with star-shaped edges: each member is compared with one
+centre, the member that meets most others. What a star leaves open are pairs in
+which a member x failed against the centre c. Such a pair x, y can be linked only if
+x and y share shingles that c lacks, or if y is smaller than c by so much that what
+x shares with c would do. Both are found by joins: on rare shared shingles outside
+the centre (as many of the rarest as a prefix filter needs) and on sizes. So no link
+inside a bucket is lost, no bucket is capped, and pair counts stay near the number
+of members. Links are confirmed on the full shingle sets.
 
 Defined results: null or word-less text has an empty set, links with nothing and
 is kept. Rows that share an id are one document. A null id is never linked and is
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.shared import MULTIPLIER, SECOND, distinct, mix, rolling, signed, staged, word_hashes, words_of
@@ -137,6 +140,61 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, ..) with na, nb and both, the sizes of the two sets and of what they share, and the sets."""
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return joined.withColumns({"na": F.size("sa"), "nb": F.size("sb"), "both": F.size(F.array_intersect("sa", "sb"))})
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (rep, comp) after links (a, b) between reps."""
+    links = staged(links)
+    ends = [label.select(F.col("rep").alias(k), F.col("comp").alias(f"c{k}")).hint("merge") for k in "ab"]
+    roots = connected(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return staged(label.join(roots.select(F.col("node").alias("comp"), "root").hint("merge"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")))
+
+
+def _stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, c, nx, nc, both, linked, added): every member against the centre of each of its buckets.
+
+    ``added``: what x has beyond c, where the centre has other members for x to be linked with.
+    """
+    sizes = members.groupBy("bucket").agg((F.count("*") - 1).alias("others"))
+    degree = members.join(sizes.hint("merge"), "bucket").groupBy("rep").agg(F.sum("others").alias("degree"))
+    centres = members.join(degree.hint("merge"), "rep").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "rep")).alias("m")).select("bucket", F.col("m.rep").alias("b"))
+    rays = staged(members.join(centres.hint("merge"), "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    several = rays.groupBy("b").agg(F.count("*").alias("rays"))
+    found = _compared(rays.join(several.hint("merge"), "b"), sets)
+    linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    added = F.when(F.col("rays") > 1, F.array_except("sa", "sb"))
+    return staged(found.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("na").alias("nx"), F.col("nb").alias("nc"), "both", linked.alias("linked"), added.alias("added")))
+
+
+def _left_open(stars: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of a star that may be linked although one of them is not linked with the centre."""
+    # a linked pair shares at least percent % of the larger set
+    least = F.ceil(F.col("nx") * percent / 100)
+    open_ = stars.where("added is not null").groupBy("c").agg(F.count_if(~F.col("linked")).alias("failed")).where("failed > 0").select("c")
+    own = staged(stars.join(open_.hint("merge"), "c"))
+    token = own.select("c", "x", "linked", F.greatest(least - F.col("both"), F.lit(1)).alias("need"), F.explode("added").alias("token"))
+    common = token.groupBy("c", "token").agg(F.count("*").alias("times")).where("times > 1")
+    shared = token.join(common.hint("merge"), ["c", "token"])
+    line = Window.partitionBy("c", "x")
+    kept = shared.withColumns({"place": F.row_number().over(line.orderBy("times", "token")), "have": F.count("*").over(line)}).where("place <= have - need + 1")
+    kept = staged(kept.select("c", "x", "linked", "token"))
+    left, right = kept.where("not linked"), kept.select("c", "token", F.col("x").alias("y"))
+    by_token = left.join(right.hint("merge"), ["c", "token"]).where("x <> y").select("x", "y")
+    # without a shared addition x and y share at most what x shares with c, so y must be small
+    room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
+    wide = own.where("not linked").select("c", "x", "nx", "both", least.alias("lo"), room.alias("hi")).where("lo <= hi")
+    asked = wide.select("c", "x", "nx", F.explode(F.sequence("lo", "hi")).alias("ny"))
+    small = own.select("c", F.col("x").alias("y"), F.col("nx").cast("long").alias("ny"), F.col("both").alias("by"))
+    by_size = asked.join(small.hint("merge"), ["c", "ny"]).where((F.col("x") != F.col("y")) & ((100 + percent) * F.col("by") >= percent * (F.col("nx") + F.col("ny")))).select("x", "y")
+    return by_token.union(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -158,42 +216,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .mapInArrow(_sets(width), f"rep {kind}, shingles array<long>").dropDuplicates(["rep"])
     )
     label = wanted.select("rep", F.col("rep").alias("comp"))
-    tested = None
-    turn, centres = 0, 1
-    while True:
-        active = members.join(label.hint("merge"), "rep")
-        open_keys = active.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        active = staged(active.join(open_keys.hint("merge"), "bucket", "left_semi"))
-        if not active.limit(1).count():
-            break
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(centres))
-        stars = active.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), "rep", "comp", "n_shingles")).alias("c"))
-        stars = stars.select("bucket", F.col("c.rep").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.n_shingles").alias("centre_n"))
-        pairs = (
-            active.join(stars.hint("merge"), "bucket").where("comp <> centre_comp")
-            .where(100 * F.least("n_shingles", "centre_n") >= percent * F.greatest("n_shingles", "centre_n"))
-            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = staged(pairs)
-        fresh = pairs.count()
-        tested = pairs if tested is None else tested.union(pairs)
-        if fresh:
-            left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-            right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-            both = F.size(F.array_intersect("sa", "sb"))
-            checked = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-            links = staged(checked.select("a", "b"))
-            if links.limit(1).count():
-                named = links.join(label.select(F.col("rep").alias("a"), F.col("comp").alias("ca")).hint("merge"), "a").join(label.select(F.col("rep").alias("b"), F.col("comp").alias("cb")).hint("merge"), "b")
-                roots = connected(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-                label = staged(label.join(roots.select(F.col("node").alias("comp"), "root").hint("merge"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")))
-        # a centre has met all others of its bucket, so it leaves; every open bucket shrinks
-        used = stars.select("bucket", F.col("centre").alias("rep"))
-        members = staged(active.select("bucket", "rep", "n_shingles").join(used.hint("merge"), ["bucket", "rep"], "left_anti"))
-        turn += 1
-        centres *= 4
+    stars = _stars(members, sets, percent)
+    label = _joined(label, stars.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b")))
+    pairs = _left_open(stars, percent)
+    ends = [label.select(F.col("rep").alias(k), F.col("comp").alias(f"c{k}")).hint("merge") for k in "ab"]
+    pairs = staged(pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b"))
+    label = _joined(label, _compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
     named = classes.select(*same, "rep").join(label.hint("merge"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))
     out = described.drop("bands").join(named.hint("merge"), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")))
