@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs (its lines; a line of over ``LONG_LINE`` characters is cut at
-its sentence ends) become 64-bit digests; a repeated paragraph gets a digest for
+the first sentence end after each ``PIECE`` characters) become 64-bit digests; a repeated paragraph gets a digest for
 each occurrence. The sketch has 2^b blocks of ``CELLS`` cells. A digest belongs to
 one block and to one cell in each third of it; a cell keeps a count, the xor of its
 digests and the xor of their checks. b follows from the number of digests, so equal
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import staged
 
-THIRD = 16
+THIRD = 8
 CELLS = 3 * THIRD
 #: Digests of one text that a block holds on average, at most.
-LOAD = 6
+LOAD = 3
 TRIES = 2
 ROUNDS = 10
-LONG_LINE = 400
+LONG_LINE, PIECE = 1000, 500
 #: Ranges of ids are found by two looks of this many bounds.
 FAN = 256
 
@@ -51,7 +51,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def digests(text: Column) -> Column:
     """Sorted digests; further occurrences of a paragraph count apart."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, r"(?<=[.!?]) ")).otherwise(F.array(x))))
+    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.regexp_extract_all(x, F.lit(rf".{{{PIECE},}}?[.!?](?: |$)|.+"), F.lit(0))).otherwise(F.array(x))))
     hashed = F.array_sort(F.transform(parts, lambda x: F.xxhash64(x)))
     numbered = let(hashed, lambda a: F.transform(a, lambda x, i: F.when((i > 0) & (x == F.get(a, i - 1)), F.xxhash64(x, i - F.array_position(a, x))).otherwise(x)))
     return F.array_sort(numbered)
