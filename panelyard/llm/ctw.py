@@ -14,7 +14,8 @@ as many words, so a tree of any size needs bounded memory and only more passes.
 
 Defined results: null text is empty and consists of the end alone. A null id is
 never held out. Rows are scored on their own, repeated ids included. Without
-training texts every bit has probability 1/2. Words are told apart by a 64-bit hash.
+training texts every bit has probability 1/2. Words are told apart by a 64-bit hash;
+counts of a word above 2^31 - 1 are held as that.
 """
 
 from __future__ import annotations
@@ -132,15 +133,24 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def fetched(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of a table of checked size, sorted by key; the table itself is let go."""
+    table = df.select(key, value).toArrow()
+    keys, values = table[key].to_numpy().view(np.uint64), table[value].to_numpy()
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    del table, order
+    pa.default_memory_pool().release_unused()
+    return keys, values
+
+
 class Slice:
-    """Nodes, grams and words that one scoring pass holds."""
+    """Nodes, grams and words that one scoring pass holds; nodes and words are sorted."""
 
     def __init__(self, depth: int, part: int, parts: int, node_keys, p1, grams, words, counts, total: int, distinct: int, ends: int):
         self.depth, self.part, self.parts, self.ends = depth, part, parts, ends
-        order = np.argsort(node_keys)
-        self.nodes, self.p1 = node_keys[order], p1[order].astype(np.float32)
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
+        self.nodes, self.p1 = node_keys, p1
+        self.words, self.counts = words, counts
         self.total, self.distinct = total, distinct
         self._index(grams, self.byte_logs(grams))
 
@@ -279,15 +289,16 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     schema = f"doc_id {kind}, text string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     for part in range(parts):
         recent = lambda c: F.pmod(c.bitwiseAND(F.lit(255)), F.lit(parts)) == part  # noqa: B023, E731
-        own = nodes.where((F.col("depth") == 0) | recent(F.col("context"))).toArrow()
-        seen = grams.where(recent(F.shiftright("key", 8))).select("key").toArrow()
+        packed = F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("node").cast("long"))
+        node_keys, p1 = fetched(nodes.where((F.col("depth") == 0) | recent(F.col("context"))).select(packed.alias("key"), F.col("p1").cast("float").alias("p1")), "key", "p1")
+        seen, _ = fetched(grams.where(recent(F.shiftright("key", 8))).select("key", F.lit(True).alias("seen")), "key", "seen")
         word_rows = counts.where(F.col("kind") == WORD).select("key", "n")
         if parts > 1:
             word_rows = word_rows.mapInArrow(_words_of_part(part, parts), "key long, n long")
-        table = word_rows.toArrow()
-        keys = node_key(0, own["context"].to_numpy(), own["node"].to_numpy()) | (own["depth"].to_numpy().astype(np.uint64) << np.uint64(56))
-        model = Slice(depth, part, parts, keys, own["p1"].to_numpy(), seen["key"].to_numpy().view(np.uint64), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy(), total, distinct, ends)
-        del own, seen, table, keys
+        most_n = (1 << 31) - 1
+        word_keys, word_n = fetched(word_rows.select("key", F.when(F.col("n") <= most_n, F.col("n").cast("int")).otherwise(most_n).alias("n")), "key", "n")
+        model = Slice(depth, part, parts, node_keys, p1, seen, word_keys, word_n, total, distinct, ends)
+        del node_keys, p1, seen, word_keys, word_n
         # the slice has at most ``most`` nodes and words, up to the spread of contexts over slices
         scored = scored.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
         if part + 1 < parts:
