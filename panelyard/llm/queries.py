@@ -85,4 +85,18 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+MIX_SQL = r"""WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '-11'), 1, 13))::BIGINT h FROM documents),
+t AS (SELECT source, sum(size)::BIGINT source_size, count(*) n FROM s GROUP BY 1),
+placed AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::DOUBLE weight, row_number() OVER (ORDER BY source IS NULL, encode(source)) place FROM t),
+levels AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(3.0::DOUBLE * sum(source_size) OVER (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY source_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM placed),
+goal AS (SELECT source, source_size, n, least(3.0::DOUBLE * source_size, coalesce((SELECT arg_min(level, (source_size / weight, place)) FROM levels WHERE level * weight <= 3.0::DOUBLE * source_size), 'inf'::DOUBLE) * weight) target FROM levels),
+plan AS (SELECT *, floor(times) whole, times - floor(times) rest, round((times - floor(times)) * source_size)::BIGINT words_left FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END times FROM goal)),
+ranked AS (SELECT s.*, p.source_size, p.target, p.whole, p.words_left, (h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE u, least(greatest(rest * 1.0::DOUBLE * n / n::DOUBLE, 1e-9::DOUBLE), (1 - 1e-9)::DOUBLE) p FROM s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS UNBOUNDED PRECEDING) running FROM ranked),
+done AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN words_left > 0 AND 2 * running - size <= 2 * words_left THEN 1 ELSE 0 END ELSE 0 END::BIGINT copies FROM run)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT taken, copies FROM done"""
+
+#: SQL for the one operator that it can express at a bearable price; the others have brute-force tests.
+ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL}
