@@ -25,7 +25,6 @@ Null ids are allowed. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import tempfile
@@ -38,21 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import MULTIPLIER, SECOND, mix, staged
+from panelyard.llm.shared import SECOND, mix, powers, staged
 
 LENGTH, GRAM, STEP = 400, 201, 25
 #: Pieces that one construction orders, unless one core has more.
 TOGETHER = 16_384
 _POSITION = np.uint64((1 << 28) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * SECOND)
-_INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-
-
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, MULTIPLIER), np.full(n, _INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
 
 
 class Hashed:
@@ -61,7 +52,7 @@ class Hashed:
     def __init__(self, data: bytes):
         b = np.frombuffer(data, np.uint8)
         size = 1 << max(12, len(b).bit_length())
-        up, self.down = _powers(size)
+        up, self.down = powers(size)
         self.sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTE[b] * up[: len(b)], out=self.sums[1:])
 

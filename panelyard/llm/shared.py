@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
@@ -83,3 +84,11 @@ def portions(texts: list[str | None], most: int = 1_500_000) -> list[slice]:
     if start < len(texts):
         out.append(slice(start, len(texts)))
     return out
+
+
+@functools.lru_cache(maxsize=4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base, and of its inverse, for hashes of stretches by running sums."""
+    up, down = np.full(n, MULTIPLIER), np.full(n, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import rolling, staged, word_hashes
+from panelyard.llm.shared import mix, powers, staged, word_hashes
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
 LEAST_SENTENCES, LEAST_WORDS = 3, 15
@@ -39,23 +39,24 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first sentence, number of sentences, hash) of each run."""
     cuts = sentences(text)
-    words = [text[a:b].encode("utf-8", "surrogatepass").lower().split() for a, b in cuts]
-    n = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(n)
-    if not len(cuts) or len(cuts) < least_sentences or ends[-1] < least_words:
+    words: list[bytes] = []
+    ends = np.zeros(len(cuts) + 1, np.int64)
+    if len(cuts) >= least_sentences:
+        for k, (a, b) in enumerate(cuts):
+            words += text[a:b].encode("utf-8", "surrogatepass").lower().split()
+            ends[k + 1] = len(words)
+    if ends[-1] < least_words:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64)
-    own = np.fromiter((rolling(h, len(h))[0] if len(h) else 0 for h in map(word_hashes, words)), np.uint64, len(words))
     start = np.arange(len(cuts))
-    stop = np.maximum(start + least_sentences, np.searchsorted(ends, np.concatenate(([0], ends[:-1])) + least_words) + 1)
+    stop = np.maximum(start + least_sentences, np.searchsorted(ends[1:], ends[:-1] + least_words) + 1)
     start = start[stop <= len(cuts)]
     stop = stop[: len(start)]
-    h = np.empty(len(start), np.uint64)
-    length = stop - start
-    for k in np.unique(length):
-        which = length == k
-        h[which] = rolling(own, int(k))[start[which]] ^ np.uint64(k)
-    return start, length, h
+    # the hash of any run of words follows from one running sum over the text
+    up, down = powers(1 << len(words).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(word_hashes(words)) * up[: len(words)])))
+    first, last = ends[start], ends[stop]
+    return start, stop - start, mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
 def _runs_of(least_sentences: int, least_words: int):
