@@ -2,8 +2,18 @@
 
 A text is cut into sentences: after . ! ? and white space, at line breaks, and before
 a capital that follows a word without end mark (a passage pasted into the middle of
-a sentence starts there). From every sentence starts a run: the shortest run of
-``least_sentences`` or more consecutive sentences with ``least_words`` or more words.
+a sentence starts there). A sentence of more than ``PIECE`` words is cut further: of
+every ``PIECE`` words after its first, the one with the least hash starts a piece. So
+no piece has more than ``PIECE`` words, and a cut depends on the ``PIECE - 1`` words on
+either side only. Such a piece counts as a sentence in what follows.
+
+From every sentence starts a run: the shortest run of ``least_sentences`` or more
+consecutive sentences with ``least_words`` or more words. With the default values a
+run has at most 24 words. The cuts of a repeated passage agree from 8 words after its
+beginning to 8 words before its end, the first of them is at most 15 words after its
+beginning: every repeated passage of 50 words holds a common run, whatever its
+sentences are. Up to 15 words at its beginning and 23 at its end can stay.
+
 Each run is hashed; runs are joined over all documents; every sentence that lies in
 a run which occurs earlier (by document id, then position) is removed.
 
@@ -25,36 +35,58 @@ from pyspark.sql import functions as F
 from panelyard.llm.shared import mix, powers, staged, word_hashes
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
-LEAST_SENTENCES, LEAST_WORDS = 3, 15
+_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+LEAST_SENTENCES, LEAST_WORDS, PIECE = 3, 15, 8
+
+
+def _cut(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(end of each sentence in code points, number of words up to there, words, their hashes)."""
+    stops = [m.end() for m in _CUT.finditer(text)]
+    if text and (not stops or stops[-1] != len(text)):
+        stops.append(len(text))
+    begins = [0, *stops[:-1]]
+    words: list[bytes] = []
+    upto = np.zeros(len(stops) + 1, np.int64)
+    for k, (a, b) in enumerate(zip(begins, stops, strict=False)):
+        words += text[a:b].encode("utf-8", "surrogatepass").lower().split()
+        upto[k + 1] = len(words)
+    h = word_hashes(words)
+    ends = np.array(stops, np.int64)
+    if np.diff(upto).max(initial=0) <= PIECE:
+        return ends, upto[1:], words, h
+    # where a sentence starts, it takes the place of the word with the least hash
+    keyed = h.copy()
+    keyed[upto[:-1][upto[:-1] < len(words)]] = 0
+    windows = np.lib.stride_tricks.sliding_window_view(keyed, PIECE)
+    fresh = np.setdiff1d(windows.argmin(axis=1) + np.arange(len(windows)), upto)
+    inside = np.searchsorted(upto, fresh, side="right") - 1
+    places: list[int] = []
+    for k, n in zip(*np.unique(inside, return_counts=True), strict=True):
+        starts = [m.start() for m in _WORD.finditer(text, begins[k], stops[k])]
+        places += [starts[j] for j in (fresh[len(places) : len(places) + n] - upto[k]).tolist()]
+    return np.sort(np.concatenate((ends, np.array(places, np.int64)))), np.sort(np.concatenate((upto[1:], fresh))), words, h
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence in code points, the white space after it included."""
-    ends = [m.end() for m in _CUT.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    return list(zip([0, *ends[:-1]], ends, strict=True)) if text else []
+    """(start, end) of each sentence, long ones in pieces, in code points, the white space after it included."""
+    ends = _cut(text)[0].tolist()
+    return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
 
 
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first sentence, number of sentences, hash) of each run."""
-    cuts = sentences(text)
-    words: list[bytes] = []
-    ends = np.zeros(len(cuts) + 1, np.int64)
-    if len(cuts) >= least_sentences:
-        for k, (a, b) in enumerate(cuts):
-            words += text[a:b].encode("utf-8", "surrogatepass").lower().split()
-            ends[k + 1] = len(words)
-    if ends[-1] < least_words:
+    upto, words, h = _cut(text)[1:]
+    if len(upto) < least_sentences or len(words) < least_words:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64)
-    start = np.arange(len(cuts))
+    ends = np.concatenate(([0], upto))
+    start = np.arange(len(upto))
     stop = np.maximum(start + least_sentences, np.searchsorted(ends[1:], ends[:-1] + least_words) + 1)
-    start = start[stop <= len(cuts)]
+    start = start[stop <= len(upto)]
     stop = stop[: len(start)]
     # the hash of any run of words follows from one running sum over the text
     up, down = powers(1 << len(words).bit_length())
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(word_hashes(words)) * up[: len(words)])))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h) * up[: len(words)])))
     first, last = ends[start], ends[stop]
     return start, stop - start, mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 

@@ -43,6 +43,31 @@ def test_spans_equal_brute_force(spark):
     assert spans.remove_repeated_spans(docs.limit(0)).count() == 0
 
 
+def windows(texts, width=50):
+    """Every ``width`` words that follow each other, as often as they occur."""
+    for t in texts:
+        w = (t or "").lower().split()
+        yield from (tuple(w[k : k + width]) for k in range(len(w) - width + 1))
+
+
+def test_no_fifty_words_stay_repeated(spark):
+    r = random.Random(21)
+    words = lambda n: [r.choice("bcdfgé") + "".join(r.choice("aeiou") + r.choice("lmnrst") for _ in range(r.randint(1, 4))) for _ in range(n)]
+    one = " ".join(words(70)) + "."
+    two = " ".join(words(45)) + ". " + " ".join(words(48)) + "!"
+    around = "It is so. " + " ".join(words(60)) + ". It was so. " + " ".join(words(3))
+    bare = words(51)
+    texts = [one, one, two, two, " ".join(words(30)) + " " + one[:-1] + " " + " ".join(words(30)), " ".join(words(20)) + " " + around + " " + " ".join(words(20)), around]
+    texts += [" ".join([*words(r.randint(0, 40)), *bare, *words(r.randint(0, 40))]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(windows(texts))) < len(list(windows(texts)))
+    got = {x.doc_id: x for x in spans.remove_repeated_spans(docs).collect()}
+    left = [got[i].text for i in range(len(texts))]
+    assert len(set(windows(left))) == len(list(windows(left)))
+    assert left[0] == one and left[2] == two and left[5] == texts[5] and left[7] == texts[7]
+    assert all(got[i].sentences_removed > 0 for i in (1, 3, 4, 6, *range(8, len(texts))))
+
+
 ITEM = "Alice bought 12 kg of apples at the market for 30 dollars and then Bob sold 12 kg of pears to the same market for 45 dollars last week"
 
 
