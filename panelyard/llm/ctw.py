@@ -99,7 +99,8 @@ def _with_estimate(nodes: DataFrame, deepest: bool) -> DataFrame:
         return nodes.withColumns({"weighted": F.col("kt"), "share": F.lit(1.0)})
     high, low = F.greatest("kt", "kids"), F.least("kt", "kids")
     weighted = high + F.log1p(F.exp(low - high)) - math.log(2)
-    return nodes.withColumn("weighted", weighted).withColumn("share", F.exp(F.col("kt") - F.col("weighted") - math.log(2)))
+    # from the difference of the two: near 1e9 counts the logs are so large that kt - weighted can exceed log 2
+    return nodes.withColumn("weighted", weighted).withColumn("share", 1 / (1 + F.exp(F.col("kids") - F.col("kt"))))
 
 
 def tree(grams: DataFrame, depth: int) -> DataFrame:
@@ -133,6 +134,12 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def packed(nodes: DataFrame) -> DataFrame:
+    """(key, p): ``p`` is p1, or p1 - 1 where that is nearer to 0, so that a float holds the rarer bit's probability in full."""
+    key = F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("node").cast("long"))
+    return nodes.select(key.alias("key"), F.when(F.col("p1") > 0.5, F.col("p1") - 1).otherwise(F.col("p1")).cast("float").alias("p"))
+
+
 def fetched(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
     """(keys, values) of a table of checked size, sorted by key; the table itself is let go."""
     table = df.select(key, value).toArrow()
@@ -147,9 +154,9 @@ def fetched(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray
 class Slice:
     """Nodes, grams and words that one scoring pass holds; nodes and words are sorted."""
 
-    def __init__(self, depth: int, part: int, parts: int, node_keys, p1, grams, words, counts, total: int, distinct: int, ends: int):
+    def __init__(self, depth: int, part: int, parts: int, node_keys, p, grams, words, counts, total: int, distinct: int, ends: int):
         self.depth, self.part, self.parts, self.ends = depth, part, parts, ends
-        self.nodes, self.p1 = node_keys, p1
+        self.nodes, self.p = node_keys, p
         self.words, self.counts = words, counts
         self.total, self.distinct = total, distinct
         self._index(grams, self.byte_logs(grams))
@@ -161,7 +168,7 @@ class Slice:
         for j in range(8):
             node = np.uint64(1 << j) + (byte >> np.uint64(8 - j))
             bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-            p = np.full(len(codes), 0.5)
+            p0, p1 = np.full(len(codes), 0.5), np.full(len(codes), 0.5)
             todo = np.arange(len(codes))
             for d in range(self.depth, -1, -1):
                 if not len(todo) or not len(self.nodes):
@@ -169,9 +176,10 @@ class Slice:
                 key = node_key(d, context[todo] & np.uint64((1 << (8 * d)) - 1), node[todo])
                 at = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
                 hit = self.nodes[at] == key
-                p[todo[hit]] = self.p1[at[hit]]
+                p = self.p[at[hit]].astype(np.float64)
+                p0[todo[hit]], p1[todo[hit]] = np.where(p < 0, -p, 1 - p), np.where(p < 0, 1 + p, p)
                 todo = todo[~hit]
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+            out += np.log10(np.where(bit == 1, p1, p0))
         return out
 
     def _index(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -289,16 +297,15 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     schema = f"doc_id {kind}, text string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     for part in range(parts):
         recent = lambda c: F.pmod(c.bitwiseAND(F.lit(255)), F.lit(parts)) == part  # noqa: B023, E731
-        packed = F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("node").cast("long"))
-        node_keys, p1 = fetched(nodes.where((F.col("depth") == 0) | recent(F.col("context"))).select(packed.alias("key"), F.col("p1").cast("float").alias("p1")), "key", "p1")
+        node_keys, p = fetched(packed(nodes.where((F.col("depth") == 0) | recent(F.col("context")))), "key", "p")
         seen, _ = fetched(grams.where(recent(F.shiftright("key", 8))).select("key", F.lit(True).alias("seen")), "key", "seen")
         word_rows = counts.where(F.col("kind") == WORD).select("key", "n")
         if parts > 1:
             word_rows = word_rows.mapInArrow(_words_of_part(part, parts), "key long, n long")
         most_n = (1 << 31) - 1
         word_keys, word_n = fetched(word_rows.select("key", F.when(F.col("n") <= most_n, F.col("n").cast("int")).otherwise(most_n).alias("n")), "key", "n")
-        model = Slice(depth, part, parts, node_keys, p1, seen, word_keys, word_n, total, distinct, ends)
-        del node_keys, p1, seen, word_keys, word_n
+        model = Slice(depth, part, parts, node_keys, p, seen, word_keys, word_n, total, distinct, ends)
+        del node_keys, p, seen, word_keys, word_n
         # the slice has at most ``most`` nodes and words, up to the spread of contexts over slices
         scored = scored.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
         if part + 1 < parts:

@@ -100,3 +100,20 @@ def test_edge_rows(spark):
     assert ctw.score(docs.limit(0), F.lit(False)).count() == 0
     alone = ctw.score(docs, F.lit(True)).collect()
     assert all(np.isclose(x.score, -8 * math.log10(2) * {1: 1, 3: 4}[x.n_tokens]) and x.n_known == 0 for x in alone)
+
+
+def test_rare_bytes_after_very_frequent_contexts(spark):
+    n = 10**9
+    # after "x" always "a"; after "y" once "b"
+    grams = spark.createDataFrame([(ord("x") << 8 | ord("a"), n), (ord("y") << 8 | ord("b"), 1)], "key long, n long")
+    keys, p = ctw.fetched(ctw.packed(ctw.tree(grams, 1)), "key", "p")
+    none = np.zeros(0, np.uint64)
+    model = ctw.Slice(1, 0, 1, keys, p, none, none, none, 0, 0, 0)
+    log = lambda pair: float(model.byte_logs(np.array([pair[0] << 8 | pair[1]], np.uint64))[0])
+    # "b", "A" and \x01 leave the way of "a" at bit 7, 3 and 2; the bits after that were not seen here
+    for code, unseen in ((b"xb", 1), (b"xA", 5), (b"x\x01", 6)):
+        # the one "b" after "y" at most triples the estimate
+        rare = math.log10(0.5 / (n + 1)) - unseen * math.log10(2)
+        assert np.isfinite(log(code)) and abs(log(code) - rare) < 0.5
+    assert -1e-6 < log(b"xa") < 0
+    assert np.isfinite(log(b"ya")) and np.isfinite(log(b"zz"))
