@@ -15,8 +15,10 @@ inside a bucket is lost, no bucket is capped, and pair counts stay near the numb
 of members. Links are confirmed on the full shingle sets.
 
 Defined results: null or word-less text has an empty set, links with nothing and
-is kept. Rows that share an id are one document. A null id is never linked and is
-kept. Extra columns of the input are ignored.
+is kept. Every row stands for itself: rows that share an id are linked only if their
+sets are, and a component is named by the smallest id among its rows. A null id is
+never linked and is kept. Ids may be of any type that has an order. Extra columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +99,25 @@ def _describe(width: int):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
-            # shingle hashes are mixed, so plain sums tell sets apart
-            a = np.array([np.add.reduce(s) for s in sets], np.uint64)
-            b = np.array([np.bitwise_xor.reduce(s * MULTIPLIER) for s in sets], np.uint64)
             full = np.flatnonzero(n)
             keys = band_keys(np.stack([signature(sets[k]) for k in full])) if len(full) else np.zeros((0, BANDS), np.uint64)
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(keys.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(signed(a)), pa.array(signed(b)), bands], ["doc_id", "n_shingles", "set_sum", "set_xor", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _names(sets), bands], ["doc_id", "n_shingles", "class", "bands"])
 
     return run
 
 
+def _names(sets: list[np.ndarray]) -> pa.Array:
+    """A 128-bit digest of each set."""
+    return pa.array([xxhash.xxh3_128_digest(s.data) for s in sets], pa.binary())
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [signed(shingle_set(t, width)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([_names(sets), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["rep", "shingles"])
 
     return run
 
@@ -120,24 +125,19 @@ def _sets(width: int):
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for the ends of edges (a, b); root: the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join,
-    until the edges stop changing.
+    Every round links all neighbours of a node, and the node, with the smallest of
+    them. It ends when every edge leads from a node with no other edge to a root.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if seen.where("down > 1 or (down > 0 and up > 0)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.where("low < a").select("a", "low"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low)
-        edges = staged(small.where("a <> b").distinct())
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if tuple(row) == before:
-            break
-        before = tuple(row)
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        linked = both.join(low.hint("merge"), "a").select(F.col("b").alias("x"), "low").union(low.select("a", "low"))
+        edges = staged(linked.where("x <> low").select(F.col("x").alias("a"), F.col("low").alias("b")).distinct())
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,7 +150,6 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, comp) after links (a, b) between reps."""
-    links = staged(links)
     ends = [label.select(F.col("rep").alias(k), F.col("comp").alias(f"c{k}")).hint("merge") for k in "ab"]
     roots = connected(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return staged(label.join(roots.select(F.col("node").alias("comp"), "root").hint("merge"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")))
@@ -203,27 +202,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    described = staged(source.mapInArrow(_describe(width), f"doc_id {kind}, n_shingles long, set_sum long, set_xor long, bands array<long>"))
-    same = ["n_shingles", "set_sum", "set_xor"]
+    described = staged(source.mapInArrow(_describe(width), f"doc_id {kind}, n_shingles long, class binary, bands array<long>"))
     linkable = described.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(linkable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    spread = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    classes = staged(linkable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    spread = classes.select(F.col("class").alias("rep"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = staged(spread.join(shared.hint("merge"), "bucket", "left_semi"))
-    wanted = members.select("rep").distinct()
-    sets = staged(
-        source.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi")
-        .mapInArrow(_sets(width), f"rep {kind}, shingles array<long>").dropDuplicates(["rep"])
-    )
+    wanted = staged(members.select("rep").distinct())
+    holders = classes.join(wanted.hint("merge"), F.col("class") == F.col("rep"), "left_semi").select("doc_id").distinct()
+    # an id may have several texts: each is a set of its own
+    sets = staged(source.join(holders.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "rep binary, shingles array<long>").dropDuplicates(["rep"]))
     label = wanted.select("rep", F.col("rep").alias("comp"))
     stars = _stars(members, sets, percent)
     label = _joined(label, stars.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b")))
     pairs = _left_open(stars, percent)
     ends = [label.select(F.col("rep").alias(k), F.col("comp").alias(f"c{k}")).hint("merge") for k in "ab"]
     pairs = staged(pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b"))
-    label = _joined(label, _compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
-    named = classes.select(*same, "rep").join(label.hint("merge"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))
-    out = described.drop("bands").join(named.hint("merge"), same, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")))
+    if not pairs.isEmpty():
+        label = _joined(label, _compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    # classes of one component: the smallest id stands for all
+    named = staged(classes.select("class", "doc_id").join(label.select(F.col("rep").alias("class"), "comp").hint("merge"), "class", "left").select("class", "doc_id", F.coalesce("comp", "class").alias("comp")))
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    of_class = named.join(least.hint("merge"), "comp").select("class", "least")
+    out = described.drop("bands").join(of_class.hint("merge"), "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("least")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
