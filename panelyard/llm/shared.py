@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_STAGING = "/tmp/checkpoints"
@@ -33,6 +34,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep them apart from the columns of ``df``."""
+    taken, lead = {c.lower() for c in df.columns}, "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def row_key(*columns: Column) -> Column:
+    """A 64-bit name of a row by its values; null and empty stay apart."""
+    return F.xxhash64(*(x for c in columns for x in (c, c.isNull())))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -86,9 +100,9 @@ def portions(texts: list[str | None], most: int = 1_500_000) -> list[slice]:
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=8)
+def powers(n: int, base: int = int(MULTIPLIER)) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base, and of its inverse, for hashes of stretches by running sums."""
-    up, down = np.full(n, MULTIPLIER), np.full(n, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))
+    up, down = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)

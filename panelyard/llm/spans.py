@@ -14,12 +14,15 @@ beginning to 8 words before its end, the first of them is at most 15 words after
 beginning: every repeated passage of 50 words holds a common run, whatever its
 sentences are. Up to 15 words at its beginning and 23 at its end can stay.
 
-Each run is hashed; runs are joined over all documents; every sentence that lies in
-a run which occurs earlier (by document id, then position) is removed.
+Each run is hashed to 128 bits; runs are joined over all documents; every sentence
+that lies in a run which occurs earlier (by document id, then a hash of the text,
+then position) is removed.
 
 Defined results: null and empty texts, and texts too short for a run, stay as they
-are. Rows that share an id count as one document. A null id neither removes nor
-loses anything. Other columns are kept as they are.
+are. Every row stands for itself, also where rows share an id; of rows with equal id
+and text one counts as the first, and the others lose all their runs. A null id
+neither removes nor loses anything. Other columns are kept as they are, but for a
+column with the name of the count, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import mix, powers, staged, word_hashes
+from panelyard.llm.shared import SECOND, fresh, mix, powers, row_key, staged, word_hashes
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
@@ -73,72 +76,89 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
 
 
-def runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, number of sentences, hash) of each run."""
+def runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, number of sentences, two hashes) of each run; the k-th run starts at the k-th sentence."""
     upto, words, h = _cut(text)[1:]
     if len(upto) < least_sentences or len(words) < least_words:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64)
     ends = np.concatenate(([0], upto))
     start = np.arange(len(upto))
     stop = np.maximum(start + least_sentences, np.searchsorted(ends[1:], ends[:-1] + least_words) + 1)
     start = start[stop <= len(upto)]
     stop = stop[: len(start)]
     # the hash of any run of words follows from one running sum over the text
-    up, down = powers(1 << len(words).bit_length())
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h) * up[: len(words)])))
     first, last = ends[start], ends[stop]
-    return start, stop - start, mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    keys = []
+    for value, base in ((mix(h), {}), (mix(h ^ SECOND), {"base": int(SECOND)})):
+        up, down = powers(1 << len(words).bit_length(), **base)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[: len(words)])))
+        keys.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+    return start, stop - start, *keys
 
 
 def _runs_of(least_sentences: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs(t or "", least_sentences, least_words) for t in batch.column(1).to_pylist()]
-            at = np.repeat(np.arange(batch.num_rows), [len(x[0]) for x in found])
-            columns = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+            found = [runs(t or "", least_sentences, least_words) for t in batch.column(2).to_pylist()]
+            if not found:
+                continue
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x[0]) for x in found]))
+            first, one, two = (np.concatenate([x[k] for x in found]) for k in (0, 2, 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(columns[0].astype(np.int32)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].view(np.int64))],
-                ["doc_id", "first", "n", "run"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                ["doc_id", "row", "first", "run", "run2"],
             )
 
     return run
 
 
-def _cut_out(text_at: int, spans_at: int, names: list[str]):
+def _cut_out(text_at: int, firsts_at: int, names: list[str], least_sentences: int, least_words: int):
+    """``firsts_at``: where a row has the runs to take out; the number among equal rows follows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()
             new, removed = [], []
-            for text, own in zip(texts, spans, strict=True):
-                if not own or not text:
+            for text, firsts, copy in zip(*(batch.column(k).to_pylist() for k in (text_at, firsts_at, firsts_at + 1)), strict=True):
+                if not text or not (firsts or copy > 1):
                     new.append(text)
                     removed.append(0)
                     continue
                 cuts = sentences(text)
+                start, n, _, _ = runs(text, least_sentences, least_words)
+                if copy == 1:
+                    start, n = start[firsts], n[firsts]
                 gone = np.zeros(len(cuts) + 1, np.int64)
-                for s in own:
-                    gone[s["first"]] += 1
-                    gone[s["first"] + s["n"]] -= 1
+                np.add.at(gone, start, 1)
+                np.add.at(gone, start + n, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 new.append("".join(text[a:b] for (a, b), g in zip(cuts, gone, strict=True) if not g))
                 removed.append(int(gone.sum()))
-            columns = [pa.array(new, pa.string()) if k == text_at else batch.column(k) for k in range(batch.num_columns) if k != spans_at]
+            columns = [pa.array(new, pa.string()) if k == text_at else batch.column(k) for k in range(firsts_at)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names)
 
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of ``docs`` with repeated sentences cut out of the text, and ``sentences_removed``."""
+def remove_repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, count_col: str = "sentences_removed") -> DataFrame:
+    """The rows of ``docs`` with repeated sentences cut out of the text, and how many in ``count_col``."""
+    docs = docs.drop(count_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = staged(texts.mapInArrow(_runs_of(least_sentences, least_words), f"doc_id {kind}, first int, n int, run long"))
-    repeated = found.groupBy("run").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.count("*").alias("times")).where("times > 1").select("run", "kept")
-    later = found.join(repeated.hint("merge"), "run").where(~F.struct("doc_id", "first").eqNullSafe(F.col("kept")))
-    # one row of spans for each document: bounded by the document's own sentences
-    spans = later.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
-    joined = docs.join(spans.hint("merge"), docs[id_col] == F.col("_span_doc"), "left").drop("_span_doc")
-    names = [*docs.columns, "sentences_removed"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", sentences_removed long"
-    return joined.mapInArrow(_cut_out(docs.columns.index(text_col), len(docs.columns), names), schema)
+    texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
+    # rows of equal id and text have the same runs, which count once
+    found = staged(texts.mapInArrow(_runs_of(least_sentences, least_words), f"doc_id {kind}, row long, first int, run long, run2 long"))
+    place = F.struct("doc_id", "row", "first")
+    repeated = found.groupBy("run", "run2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").select("run", "run2", "kept")
+    # written, so that both sides of the join are shuffled and a run that a third of all texts hold is split
+    later = found.join(staged(repeated).hint("merge"), ["run", "run2"]).where(place != F.col("kept"))
+    span_doc, span_row, firsts, copy, key = fresh(docs, "doc", "row", "firsts", "copy", "key")
+    # one row of spans for each text: bounded by the text's own sentences
+    spans = later.groupBy(F.col("doc_id").alias(span_doc), F.col("row").alias(span_row)).agg(F.array_sort(F.collect_set("first")).alias(firsts))
+    keyed = docs.withColumn(key, row_key(F.col(text_col)))
+    joined = keyed.join(spans.hint("merge"), (F.col(id_col) == F.col(span_doc)) & (F.col(key) == F.col(span_row)), "left")
+    # rows of equal id and text lie together after the join
+    number = F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(Window.partitionBy(id_col, key).orderBy(id_col, key)))
+    names = [*docs.columns, count_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{count_col}` long"
+    cut = _cut_out(docs.columns.index(text_col), len(docs.columns), names, least_sentences, least_words)
+    return joined.select(*docs.columns, firsts, number.alias(copy)).mapInArrow(cut, schema)
