@@ -147,7 +147,9 @@ def _score(shared):
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE) -> Machine:
     rows = sampled_texts(docs, labels, id_col, text_col, label_col, most).mapInArrow(_featurise, "label int, ids array<int>, x array<float>, stats array<double>").toArrow()
-    raw = [(np.asarray(a, np.int64), np.asarray(b, np.float64), c) for a, b, c in zip(rows["ids"].to_pylist(), rows["x"].to_pylist(), rows["stats"].to_pylist(), strict=True)]
+    # slices of the table's own arrays, no Python numbers
+    parts = [[x.values.to_numpy() for x in rows[c]] for c in ("ids", "x", "stats")]
+    raw = [(a.astype(np.int64), b.astype(np.float64), c) for a, b, c in zip(*parts, strict=True)]
     return fit(raw, rows["label"].to_numpy().astype(float))
 
 

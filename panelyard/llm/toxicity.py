@@ -74,9 +74,11 @@ def sample_of(labels: DataFrame, id_col: str, label_col: str, most: int) -> Data
 
 
 def sampled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(text, label) of the sample; at most ``most`` labels are broadcast."""
+    """(text, label) of the sample; at most ``most`` labels are broadcast. Of the rows that share a labelled id the least of a hash of the text is read."""
     sample = F.broadcast(sample_of(labels, id_col, label_col, most))
-    return docs.join(sample, docs[id_col] == F.col("_id")).select(F.col(text_col).alias("text"), F.col("_label").alias("label"))
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("_id"))
+    one = met.groupBy("_id").agg(F.min_by(F.struct("text", "_label"), F.struct(F.xxhash64("text"), "_label")).alias("one"))
+    return one.select(F.col("one.text").alias("text"), F.col("one._label").alias("label"))
 
 
 class Model:
@@ -93,12 +95,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
 
 
-def choose(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def choose(flat: np.ndarray, length: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features that go with the label either way, their log odds)."""
     size = 1 << BITS
-    pos, neg = np.zeros(size), np.zeros(size)
-    for r, t in zip(rows, toxic, strict=True):
-        (pos if t else neg)[r] += 1
+    of_toxic = np.repeat(toxic, length)
+    pos, neg = np.bincount(flat[of_toxic], minlength=size), np.bincount(flat[~of_toxic], minlength=size)
     n_pos, n_neg = toxic.sum(), (~toxic).sum()
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
@@ -107,39 +108,39 @@ def choose(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.nd
     return strong, odds[strong]
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, steps: int = 300, penalty: float = 2e-4) -> Model:
-    """Full-batch Adam on the likelihood of the grades."""
+def fit(flat: np.ndarray, length: np.ndarray, label: np.ndarray, steps: int = 300, penalty: float = 2e-4) -> Model:
+    """Full-batch Adam on the likelihood of the grades. ``flat``: the features of all rows, one row after the other; ``length``: how many a row has."""
     toxic = label > 0
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES, 60.0))
-    chosen, odds = choose(rows, toxic)
+    n = len(length)
+    chosen, odds = choose(flat, length, toxic)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    own = [place[r][place[r] >= 0] for r in rows]
+    who, flat = np.repeat(np.arange(n), length), place[flat]
+    who, flat = who[flat >= 0], flat[flat >= 0]
     grade = label.astype(int)
     if grade.max() == 1:
-        strong = np.array([np.count_nonzero(odds[x] > 2) for x in own])
+        strong = np.bincount(who, odds[flat] > 2, n)
         edges = np.quantile(strong[toxic], [k / GRADES for k in range(1, GRADES)])
         grade = np.where(toxic, 1 + (strong[:, None] > edges[None, :]).sum(axis=1), 0)
     top = max(GRADES, int(grade.max()))
-    length = np.array([len(x) for x in own])
-    flat, who = np.concatenate(own), np.repeat(np.arange(len(own)), length)
     w, first, gaps = np.zeros(len(chosen)), 2.0, np.zeros(top - 1)
     params = np.concatenate((w, [first], gaps))
     m, v = np.zeros_like(params), np.zeros_like(params)
-    at = np.arange(len(own))
+    at = np.arange(n)
     for step in range(1, steps + 1):
         w, first, gaps = params[: len(chosen)], params[len(chosen)], params[len(chosen) + 1 :]
         t = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        z = np.bincount(who, w[flat], len(own))
+        z = np.bincount(who, w[flat], n)
         p = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -60, 60)))
-        edge = np.concatenate((np.ones((len(own), 1)), p, np.zeros((len(own), 1))), axis=1)
+        edge = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)
         slope = edge * (1 - edge)
         chance = np.maximum(edge[at, grade] - edge[at, grade + 1], 1e-9)
-        dz = -(slope[at, grade] - slope[at, grade + 1]) / chance / len(own)
+        dz = -(slope[at, grade] - slope[at, grade + 1]) / chance / n
         dt = np.zeros(top)
         for k in range(1, top + 1):
-            dt[k - 1] = ((grade == k) * slope[:, k] / chance - (grade == k - 1) * slope[:, k] / chance).sum() / len(own)
+            dt[k - 1] = ((grade == k) * slope[:, k] / chance - (grade == k - 1) * slope[:, k] / chance).sum() / n
         tail = np.cumsum(dt[::-1])[::-1]
         grad = np.concatenate((np.bincount(flat, dz[who], len(chosen)) + penalty * w, [tail[0]], tail[1:] * np.exp(gaps)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -161,16 +162,21 @@ def _score(shared, text_at: int, names: list[str]):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> Model:
-    rows = sampled_texts(docs, labels, id_col, text_col, label_col, most).mapInArrow(_featurise, "label int, features array<int>").toArrow()
-    return fit([np.asarray(x, np.int64) for x in rows["features"].to_pylist()], rows["label"].to_numpy())
+    rows = sampled_texts(docs, labels, id_col, text_col, label_col, most).mapInArrow(_featurise, "label int, features array<int>").toArrow().combine_chunks()
+    lists = rows["features"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    length, label = lists.value_lengths().to_numpy().astype(np.int64), rows["label"].to_numpy()
+    flat = lists.flatten().to_numpy()
+    model = fit(flat, length, label)
+    del rows, lists, flat
+    pa.default_memory_pool().release_unused()
+    return model
 
 
-def grade(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (expected grade), p_toxic, grade and rejected (p_toxic >= ``REJECT``).
+def grade(docs: DataFrame, model: Model, *, text_col: str = "text", names: tuple[str, ...] = ("severity", "p_toxic", "grade", "rejected")) -> DataFrame:
+    """``docs`` with severity (expected grade), p_toxic, grade and rejected (p_toxic >= ``REJECT``), under ``names``.
 
     Columns of ``docs`` with these names are replaced.
     """
-    added = ["severity", "p_toxic", "grade", "rejected"]
-    own = docs.drop(*added)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields) + ", severity double, p_toxic double, grade int, rejected boolean"
-    return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), own.columns.index(text_col), [*own.columns, *added]), schema)
+    own = docs.drop(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields) + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("double", "double", "int", "boolean"), strict=True))
+    return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), own.columns.index(text_col), [*own.columns, *names]), schema)
