@@ -85,18 +85,27 @@ QUERIES = {
     )
 }
 
-MIX_SQL = r"""WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT size,
+MIX_SQL = r"""WITH RECURSIVE s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '-11'), 1, 13))::BIGINT h FROM documents),
-t AS (SELECT source, sum(size)::BIGINT source_size, count(*) n FROM s GROUP BY 1),
+t AS (SELECT source, sum(size)::BIGINT source_size FROM s GROUP BY 1),
 placed AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::DOUBLE weight, row_number() OVER (ORDER BY source IS NULL, encode(source)) place FROM t),
 levels AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(3.0::DOUBLE * sum(source_size) OVER (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
     / sum(weight) OVER (ORDER BY source_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM placed),
-goal AS (SELECT source, source_size, n, least(3.0::DOUBLE * source_size, coalesce((SELECT arg_min(level, (source_size / weight, place)) FROM levels WHERE level * weight <= 3.0::DOUBLE * source_size), 'inf'::DOUBLE) * weight) target FROM levels),
-plan AS (SELECT *, floor(times) whole, times - floor(times) rest, round((times - floor(times)) * source_size)::BIGINT words_left FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END times FROM goal)),
-ranked AS (SELECT s.*, p.source_size, p.target, p.whole, p.words_left, (h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE u, least(greatest(rest * 1.0::DOUBLE * n / n::DOUBLE, 1e-9::DOUBLE), (1 - 1e-9)::DOUBLE) p FROM s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS UNBOUNDED PRECEDING) running FROM ranked),
-done AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN words_left > 0 AND 2 * running - size <= 2 * words_left THEN 1 ELSE 0 END ELSE 0 END::BIGINT copies FROM run)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT taken, copies FROM done"""
+goal AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce((SELECT arg_min(level, (source_size / weight, place)) FROM levels WHERE level * weight <= 3.0::DOUBLE * source_size), 'inf'::DOUBLE) * weight) target FROM levels),
+plan AS (SELECT *, floor(times) whole, times - floor(times) rest FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END times FROM goal)),
+r AS (SELECT s.*, (length(bin(size)) * 4 + CASE WHEN length(bin(size)) > 2 THEN (size >> (length(bin(size)) - 3)) & 3 ELSE 0 END)::INTEGER class, p.source_size, p.target, p.whole, p.rest FROM s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+sizes AS (SELECT source, class, size, count(*) n FROM r WHERE size > 0 AND rest > 0 GROUP BY ALL),
+own AS (SELECT *, words / n::DOUBLE mean, row_number() OVER (PARTITION BY source ORDER BY class DESC) k FROM (SELECT source, class, rest, count(*) n, sum(size)::DOUBLE words FROM r WHERE size > 0 AND rest > 0 GROUP BY ALL)),
+fold AS (SELECT source, 0::BIGINT k, 0::INTEGER class, 0::BIGINT m, 0.0::DOUBLE rem FROM own WHERE k = 1
+    UNION ALL SELECT o.source, o.k, o.class, o.m, o.want - o.m::DOUBLE * o.mean FROM (SELECT o.*, f.rem + rest * words want, least(greatest(floor((f.rem + rest * words) / mean + 0.5::DOUBLE), 0), n)::BIGINT m FROM fold f JOIN own o ON o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1) o),
+levels2 AS (SELECT z.*, m - coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT draws, sum(size * n) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE below
+    FROM sizes z JOIN fold f ON z.source IS NOT DISTINCT FROM f.source AND z.class = f.class AND f.k > 0 WINDOW w AS (PARTITION BY z.source, z.class ORDER BY size DESC)),
+classes AS (SELECT source, class, arg_max(draws::DOUBLE / below, size) factor, arg_max(draws, size) draws FROM levels2 WHERE draws::DOUBLE / below * size < 1 GROUP BY 1, 2),
+odds AS (SELECT r.*, c.draws, CASE WHEN rest > 0 AND size > 0 THEN CASE WHEN coalesce(factor * size < 1, FALSE) THEN factor * size ELSE 1.0::DOUBLE END ELSE 0.0::DOUBLE END chance, (h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE u
+    FROM r LEFT JOIN classes c ON r.source IS NOT DISTINCT FROM c.source AND r.class = c.class),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, class, chance > 0 AND chance < 1 ORDER BY (u / (1 - u)) / (chance / (1 - chance)), doc_id, size) place FROM odds),
+done AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN chance = 1 OR (chance > 0 AND place <= draws) THEN 1 ELSE 0 END ELSE 0 END::BIGINT copies FROM ranked)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT taken, copies, chance FROM done"""
 
 #: SQL for the one operator that it can express at a bearable price; the others have brute-force tests.
 ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL}
