@@ -3,15 +3,21 @@
 Words become lower-cased tokens; numbers, names (capitalised words inside a
 sentence) and units turn into the typed placeholders <num>, <name> and <unit>.
 Windows of ``width`` canonical tokens of documents and items are joined by hash, so
-an item is found although its numbers, names or units were exchanged. Matched
+an item is found although its numbers, names or units were exchanged. A window of
+placeholders alone says nothing (every table of numbers has it): such a window, and
+an item of fewer tokens than ``width``, is compared by its words as they are. Matched
 windows are grouped by (document, item, offset), and the slots must be consistent:
 within a group, one value of the item always stands against one value in the
 document, and the other way round. A document is contaminated by an item if
 consistent groups cover ``share`` of the item's tokens.
 
-Defined results: null and word-less texts match nothing. A text of fewer tokens
-than ``width`` is one window of its own, so short items meet only equal short
-texts. Rows that share an id count as one document; null ids are not reported.
+Windows of documents pass a Bloom filter of the items' windows, of bounded size,
+before the join; the join decides.
+
+Defined results: null and word-less texts match nothing. An item of fewer tokens
+than ``width`` is found anywhere in a text, word for word. Rows that share an id count
+as one document; null ids are not reported. Repeated items count once for each id.
+Ids may be of any type. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 from panelyard.llm.shared import mix, rolling, signed, staged
 
 WIDTH, SHARE = 5, 0.8
-#: Benchmark windows are sent to every task as a filter up to this number (8 bytes each).
-MOST_FILTERED = 2_000_000
+#: Bits of the filter of item windows, as a power of two: at least, at most (8 MB).
+LEAST_BITS, MOST_BITS = 16, 26
 #: Words whose code is remembered in a worker.
 MOST_REMEMBERED = 200_000
 
@@ -40,6 +46,7 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 _WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 _EDGE = "\"'“”‘’()[]{}<>.,;:!?*_"
+WORD_FOR_WORD = 0x9D5C3B1A7F2E4680
 NUM, NAME, UNIT = (xxhash.xxh3_64_intdigest(x) for x in (b"<num>", b"<name>", b"<unit>"))
 #: Bits of a word's code.
 IS_SLOT, IS_CAPITAL, ENDS = 1, 2, 4
@@ -88,39 +95,87 @@ def canonical(texts: list[str | None], codes: _Codes) -> Iterator[tuple[np.ndarr
         yield np.where(name, np.uint64(NAME), token[i] if len(i) else np.zeros(0, np.uint64)), value[i] if len(i) else np.zeros(0, np.uint64), name | ((b & IS_SLOT) > 0)
 
 
-def _windows(width: int, wanted):
-    """wanted: a broadcast of sorted hashes that pass, or None for all."""
+def keyed(token: np.ndarray, value: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
+    """One key for each window of ``width`` tokens: by its template, or by its words where all of them are slots."""
+    h = rolling(token, width)
+    slots = np.concatenate(([0], np.cumsum(slot)))
+    bare = np.flatnonzero(slots[width:] - slots[:-width] == width) if len(h) else np.zeros(0, np.int64)
+    h[bare] = rolling(value, width)[bare] ^ np.uint64(WORD_FOR_WORD)
+    return h ^ np.uint64(width)
+
+
+def literal(value: np.ndarray, width: int) -> np.ndarray:
+    """One key for each ``width`` words as they are."""
+    return rolling(value, width) ^ np.uint64(WORD_FOR_WORD) ^ np.uint64(width)
+
+
+class Filter:
+    """A Bloom filter with two places a key, and the widths of items shorter than a window."""
+
+    def __init__(self, words: np.ndarray, short: list[int]):
+        self.words, self.short = words, short
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for shift in (0, 32):
+            at = (keys >> np.uint64(shift)) & np.uint64(len(self.words) * 64 - 1)
+            out &= ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
+
+
+def filter_of(items: DataFrame, width: int) -> Filter:
+    """The filter of the items' windows: its words are grouped sums of bits, at most 2^(MOST_BITS - 6) rows."""
+    windows_ = items.select("window", "width").distinct()
+    facts = windows_.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("width") < width, F.col("width"))).alias("short")).first()
+    bits = min(max(LEAST_BITS, int(facts["n"] * 16).bit_length()), MOST_BITS)
+    places = F.explode(F.array(*(F.shiftrightunsigned("window", k).bitwiseAND(F.lit((1 << bits) - 1)) for k in (0, 32)))).alias("at")
+    rows = windows_.select(places).groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return Filter(words, sorted(facts["short"]))
+
+
+def _found(token: np.ndarray, value: np.ndarray, slot: np.ndarray, width: int, wanted: Filter | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(places, keys, width) of the windows of a text; of an item (no filter) all of them."""
+    n = len(token)
+    if wanted is None:
+        yield (np.arange(n - width + 1), keyed(token, value, slot, width), width) if n >= width else (np.zeros(min(n, 1), np.int64), literal(value, n) if n else value, n)
+        return
+    for w in (*wanted.short, width):
+        if n >= w:
+            h = keyed(token, value, slot, w) if w == width else literal(value, w)
+            where = np.flatnonzero(wanted.passes(h))
+            yield where, h[where], w
+
+
+def _windows(width: int, shared):
+    """shared: a broadcast filter that windows must pass, or None for all windows of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in batches:
             if len(codes) > MOST_REMEMBERED:
                 codes = _Codes()
-            keep = None if wanted is None else wanted.value
+            wanted = None if shared is None else shared.value
             at, pos, keys, length, slots, sizes = [], [], [], [], [], []
             for k, (token, value, slot) in enumerate(canonical(batch.column(1).to_pylist(), codes)):
-                w = min(width, len(token))
-                if not w:
-                    continue
-                h = signed(rolling(token, w) ^ np.uint64(w))
-                where = np.arange(len(h))
-                if keep is not None:
-                    where = where[_among(h, keep)]
-                at.append(np.full(len(where), k))
-                pos.append(where)
-                keys.append(h[where])
-                length.append(np.full(len(where), len(token)))
                 v = signed(mix(value))
-                for p in where:
-                    s = np.flatnonzero(slot[p : p + w])
-                    slots.append(v[p + s])
-                    sizes.append(w)
+                for where, h, w in _found(token, value, slot, width, wanted):
+                    if not len(where):
+                        continue
+                    at.append(np.full(len(where), k))
+                    pos.append(where)
+                    keys.append(signed(h))
+                    length.append(np.full(len(where), len(token)))
+                    sizes.append(np.full(len(where), w))
+                    # words that are compared as they are need no slots
+                    slots += [v[p + np.flatnonzero(slot[p : p + w])] if w == width else v[:0] for p in where.tolist()]
             if not at:
                 continue
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys)),
-                    pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.array(sizes, np.int32)), pa.array(slots, pa.list_(pa.int64())),
+                    pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())),
                 ],
                 ["owner", "pos", "window", "n_tokens", "width", "slots"],
             )
@@ -128,33 +183,19 @@ def _windows(width: int, wanted):
     return run
 
 
-def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(h), bool)
-    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return keys[i] == h
-
-
-def windows(table: DataFrame, id_col: str, text_col: str, width: int = WIDTH, wanted=None) -> DataFrame:
+def windows(table: DataFrame, id_col: str, text_col: str, width: int = WIDTH, shared=None) -> DataFrame:
     kind = table.schema[id_col].dataType.simpleString()
     return table.select(F.col(id_col).alias("owner"), F.col(text_col).alias("text")).where("owner is not null").mapInArrow(
-        _windows(width, wanted), f"owner {kind}, pos int, window long, n_tokens int, width int, slots array<long>"
+        _windows(width, shared), f"owner {kind}, pos int, window long, n_tokens int, width int, slots array<long>"
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: float = SHARE, most_filtered: int = MOST_FILTERED) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, covered, n_tokens) for each document and item that share a template."""
-    spark = docs.sparkSession
     items = staged(windows(benchmark, item_col, item_text, width)).withColumnsRenamed({"owner": "item_id", "pos": "item_pos", "n_tokens": "item_tokens", "slots": "item_slots"})
-    keys = items.select("window").distinct().limit(most_filtered + 1)
-    wanted = None
-    if keys.count() <= most_filtered:
-        # the size was checked; larger benchmarks join all windows of the documents instead
-        table = keys.toArrow()
-        wanted = spark.sparkContext.broadcast(np.sort(table.column(0).to_numpy()))
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(items, width))
     hits = staged(windows(docs, id_col, text_col, width, wanted))
-    met = hits.join(items.drop("width").hint("merge"), "window").withColumn("offset", F.col("pos") - F.col("item_pos"))
-    met = met.where((F.col("width") >= width) | (F.col("n_tokens") == F.col("item_tokens")))
+    met = hits.join(items.hint("merge"), ["window", "width"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
     met = met.where(F.size("slots") == F.size("item_slots"))
     group = ["owner", "item_id", "offset"]
     pairs = met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*group, F.col("s.item_slots").alias("x"), F.col("s.slots").alias("y")).distinct()
