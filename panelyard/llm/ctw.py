@@ -9,13 +9,15 @@ the estimates of all depths along the path; where the training texts never reach
 a context, the path ends at the deepest one that they did reach.
 
 Counting, the tree, level by level, and the mixture are grouped sums and joins. The
-finished nodes go to the tasks that score, in slices of at most ``most`` nodes and
-as many words, so a tree of any size needs bounded memory and only more passes.
+finished nodes go to the tasks that score, in slices of about ``most`` nodes and as
+many words: nodes by a hash of the last two context bytes (the few of shorter contexts
+go with every slice), words by their hash. So a tree of any size needs bounded memory
+and only more passes. A pass reads the texts and writes a few sums for each row.
 
 Defined results: null text is empty and consists of the end alone. A null id is
 never held out. Rows are scored on their own, repeated ids included. Without
-training texts every bit has probability 1/2. Words are told apart by a 64-bit hash;
-counts of a word above 2^31 - 1 are held as that.
+training texts every bit has probability 1/2. Words are told apart by a 64-bit hash.
+Columns of the input other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from panelyard.llm.shared import MULTIPLIER, mix, portions, signed, staged, word_hashes, words_of
 
 DEPTH = 4
-#: Nodes, and words, that a scoring task holds at once (12 bytes each).
+#: Nodes, and words, that a scoring task holds at once (12 and 16 bytes each).
 MOST = 8_000_000
 GRAM, WORD, END = 0, 1, 2
 
@@ -227,6 +229,10 @@ class Slice:
         return np.where(self.words[at] == distinct, self.counts[at], 0)[back]
 
 
+def part_of(values: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(values) % np.uint64(parts)).astype(np.int64)
+
+
 def node_key(depth, context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (np.uint64(depth) << np.uint64(56)) | (context.astype(np.uint64) << np.uint64(8)) | node.astype(np.uint64)
 
@@ -246,9 +252,9 @@ def _score_portion(m: Slice, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     base = np.log10((count + 1) / (m.total + m.distinct + 1))
     if m.parts > 1:
         logs = np.zeros(len(codes))
-        mine = ((codes >> np.uint64(8)) & np.uint64(255)) % np.uint64(m.parts) == m.part
+        mine = part_of((codes >> np.uint64(8)) & np.uint64(65535), m.parts) == m.part
         logs[mine] = m.score(codes[mine])
-        base[mix(h) % np.uint64(m.parts) != m.part] = 0
+        base[part_of(h, m.parts) != m.part] = 0
     else:
         logs = m.score(codes)
     return n_words, _sums((count > 0).astype(float), n_words), _sums(base, n_words), _sums(logs, size)
@@ -266,59 +272,68 @@ def _score(shared):
             n_words, known, base, logs = (np.concatenate([x[k] for x in found]) for k in range(4))
             if m.part == 0:
                 known, base = known + (1 if m.ends else 0), base + end
-            old = [batch.column(k).to_numpy() for k in (4, 5, 6)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(n_words + 1), pa.array(old[0] + known.astype(np.int64)), pa.array(old[1] + base), pa.array(old[2] + logs)],
-                ["doc_id", "text", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs), batch.column(3)], ["row", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+
+    return run
+
+
+def _of_part(part: int, parts: int, mask: int, shift: int):
+    """Rows whose key, shifted and masked, belongs to a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)) & np.uint64(mask)
+            yield batch.filter(pa.array(part_of(keys, parts) == part))
 
     return run
 
 
+def slices(nodes: DataFrame, grams: DataFrame, words: DataFrame, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(node keys, p, grams, words, their counts) of each part: tables of about ``MOST`` rows, whatever the corpus."""
+    low, deep = packed(nodes.where("depth < 2")), packed(nodes.where("depth >= 2"))
+    for part in range(parts):
+        own = [df if parts == 1 else df.mapInArrow(_of_part(part, parts, mask, shift), kind) for df, mask, shift, kind in ((deep, 65535, 8, "key long, p float"), (grams, 65535, 8, "key long, n long"), (words, (1 << 64) - 1, 0, "key long, n long"))]
+        node_keys, p = fetched(low.unionByName(own[0]), "key", "p")
+        yield node_keys, p, fetched(own[1], "key", "n")[0], *fetched(own[2], "key", "n")
+
+
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, most: int = MOST) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Learns from the rows where ``held_out`` is not true. ``depth``: at most 6 bytes.
+    Learns from the rows where ``held_out`` is not true. ``depth``: 2 to 6 bytes.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    n_bytes = F.coalesce(F.length(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), n_bytes.alias("n_bytes"))
     counts = source.where(~F.col("held_out")).select("text").mapInArrow(_count(depth), "kind int, key long, n long")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     facts = {x["kind"]: x for x in counts.groupBy("kind").agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).collect()}
     of = lambda k, what: facts[k][what] if k in facts else 0
     ends, words = of(END, "n"), of(WORD, "distinct")
     total, distinct = of(WORD, "n") + ends, words + (1 if ends else 0)
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
+    grams, word_rows = (counts.where(F.col("kind") == k).select("key", "n") for k in (GRAM, WORD))
     nodes = tree(grams, depth)
-    n_nodes = nodes.count()
-    parts = max(1, -(-max(n_nodes, of(GRAM, "distinct"), words) // most))
-    scored = source.withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)})
-    schema = f"doc_id {kind}, text string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    for part in range(parts):
-        recent = lambda c: F.pmod(c.bitwiseAND(F.lit(255)), F.lit(parts)) == part  # noqa: B023, E731
-        node_keys, p = fetched(packed(nodes.where((F.col("depth") == 0) | recent(F.col("context")))), "key", "p")
-        seen, _ = fetched(grams.where(recent(F.shiftright("key", 8))).select("key", F.lit(True).alias("seen")), "key", "seen")
-        word_rows = counts.where(F.col("kind") == WORD).select("key", "n")
+    parts = min(65536, max(1, -(-max(nodes.count(), of(GRAM, "distinct"), words) // most)))
+    if parts > 1:
+        # every pass scores the same rows, so they are written with a number
+        source = staged(source.withColumn("row", F.monotonically_increasing_id()))
+    name = "row" if parts > 1 else "doc_id"
+    schema = f"row {'long' if parts > 1 else kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    passes = None
+    for part, tables in enumerate(slices(nodes, grams, word_rows, parts)):
+        model = Slice(depth, part, parts, *tables, total, distinct, ends)
+        del tables
+        shared = spark.sparkContext.broadcast(model)
+        one = source.select(name, "text", "held_out", "n_bytes").mapInArrow(_score(shared), schema)
         if parts > 1:
-            word_rows = word_rows.mapInArrow(_words_of_part(part, parts), "key long, n long")
-        most_n = (1 << 31) - 1
-        word_keys, word_n = fetched(word_rows.select("key", F.when(F.col("n") <= most_n, F.col("n").cast("int")).otherwise(most_n).alias("n")), "key", "n")
-        model = Slice(depth, part, parts, node_keys, p, seen, word_keys, word_n, total, distinct, ends)
-        del node_keys, p, seen, word_keys, word_n
-        # the slice has at most ``most`` nodes and words, up to the spread of contexts over slices
-        scored = scored.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
-        if part + 1 < parts:
-            scored = staged(scored)
-    n_bytes = F.length(F.col("text").cast("binary"))
-    per_byte = -F.col("score") * math.log2(10) / F.greatest(F.coalesce(n_bytes, F.lit(0)), F.lit(1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
-
-
-def _words_of_part(part: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(mix(keys) % np.uint64(parts) == part))
-
-    return run
+            one = staged(one)
+            shared.destroy()
+        passes = one if passes is None else passes.unionByName(one)
+    if parts > 1:
+        sums = passes.groupBy("row").agg(F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")), F.first("n_bytes").alias("n_bytes"))
+        passes = source.select("doc_id", F.col("row").alias("r")).join(sums.hint("merge"), F.col("r") == F.col("row")).drop("r", "row")
+    else:
+        passes = passes.withColumnRenamed("row", "doc_id")
+    per_byte = -F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))
+    return passes.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
