@@ -11,6 +11,10 @@ that no side element holds). Most training pages are composed anew from the samp
 blocks, with and without such elements, among menus, notices, adverts, forms,
 sidebars and comments, under many names, so that the labels rest on context.
 
+Whole paths, whole blocks and whole pages count; a page of more than ``CHUNK`` blocks
+is described piece by piece, from either end. A line break (br) is white space inside
+its block.
+
 Defined results: null and empty html, and pages without main blocks, give an empty
 text. Rows are read on their own, repeated and null ids included. Tags may be left
 open, mixed in case or cut off. Extra columns are ignored.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +34,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.llm.shared import portions
+
 PATH, WORDS, COUNTS = 48, 24, 8
 HIDDEN = 20
 #: The most pages that training reads, and the pages it composes from them.
 SAMPLE, COMPOSED = 300, 700
+#: Training reads pages of at most so many characters, and of a page so many blocks.
+LONGEST, TRAINED = 100_000, 80
+#: Blocks that the labeller holds at once.
+CHUNK = 8192
 
 # HTML element names.
-BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas textarea head title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)", re.S)
 _RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title")}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -46,10 +57,33 @@ _SPACE = re.compile(r"\s+")
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+class Step:
+    """An open element that blocks lie in: its tag and names, the element around it, and its depth. Blocks share steps, however deep they lie."""
+
+    __slots__ = ("name", "up", "depth", "total")
+
+    def __init__(self, name: str, up: Step | None):
+        self.name, self.up, self.depth, self.total = name, up, 1 + (up.depth if up else 0), None
+
+
+def path_of(names: tuple[str, ...]) -> Step | None:
+    step = None
+    for n in names:
+        step = Step(n, step)
+    return step
+
+
+def steps(step: Step | None) -> Iterator[str]:
+    """The names from the innermost element to the outermost."""
+    while step is not None:
+        yield step.name
+        step = step.up
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Step | None, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -57,29 +91,36 @@ def blocks(page: str | None) -> list[Block]:
     """The leaf blocks in page order: path of elements (tag and names), text, characters inside links."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Step | None]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    links, depth_a, at = 0, 0, 0
+    links, depth_a, silent, at = 0, 0, 0, 0
 
     def close() -> None:
         nonlocal links
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(x[1] for x in stack if x[0] in BLOCK), text, min(links, len(text))))
+                out.append(Block(stack[-1][1] if stack else None, text, min(links, len(text))))
             parts.clear()
         links = 0
 
+    def leave(k: int) -> None:
+        nonlocal silent
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+            silent -= name in SILENT
+        del stack[k:]
+
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
-        if end > at:
+        if end > at and not silent:
             piece = page[at:end]
-            if not any(x[0] in SILENT for x in stack):
-                parts.append(piece)
-                if depth_a:
-                    links += len(piece.strip())
+            parts.append(piece)
+            if depth_a:
+                links += len(piece.strip())
         if not m:
             break
         at = m.end()
@@ -91,35 +132,36 @@ def blocks(page: str | None) -> list[Block]:
                 close()
             if name == "a":
                 depth_a = max(0, depth_a - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in _RAW:
-            if name in ("title",) or name in SILENT:
-                end_tag = _RAW[name].search(page, at)
-                at = end_tag.end() if end_tag else n
-                if name in BLOCK:
-                    close()
+            end_tag = _RAW[name].search(page, at)
+            at = end_tag.end() if end_tag else n
+            if name in BLOCK:
+                close()
             continue
+        if name == "br":
+            parts.append(" ")
         if name in BLOCK:
             close()
             for open_ in CLOSES.get(name, ()):
                 for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                     if stack[k][0] == open_:
-                        del stack[k:]
+                        leave(k)
                         break
                     if stack[k][0] in ("ul", "ol", "table", "dl", "article", "section", "div"):
                         break
             if name in ("body", "article", "main", "nav", "header", "footer", "aside") and stack and stack[-1][0] == "head":
-                stack.pop()
+                leave(len(stack) - 1)
         if name == "a":
             depth_a += 1
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            if name in BLOCK or name in SILENT:
-                named = " ".join(x for g in _NAMED.findall(m[3]) for x in g if x)
-                stack.append((name, f"{name} {named}".strip().lower()))
+        if name not in VOID and not m[3].rstrip().endswith("/") and (name in BLOCK or name in SILENT):
+            around = stack[-1][1] if stack else None
+            named = " ".join(x for g in _NAMED.findall(m[3]) for x in g if x)
+            stack.append((name, Step(f"{name} {named}".strip().lower(), around) if name in BLOCK else around))
+            opened[name] += 1
+            silent += name in SILENT
     close()
     return out
 
@@ -141,28 +183,48 @@ class _Vectors(dict):
 
 class Describer:
     def __init__(self) -> None:
-        self.paths, self.words, self.whole = _Vectors(PATH, 1), _Vectors(WORDS, 9), {}
+        self.paths, self.words, self.names = _Vectors(PATH, 1), _Vectors(WORDS, 9), {}
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        found = self.whole.get(path)
+    def name(self, name: str) -> np.ndarray:
+        found = self.names.get(name)
         if found is None:
-            if len(self.whole) > 50_000:
-                self.whole.clear()
-            found = np.zeros(PATH, np.float32)
-            for k, step in enumerate(path[-8:]):
-                for w in re.split(r"[\s_\-]+", step):
-                    found += self.paths[w] * (1.0 if k + 3 > len(path[-8:]) else 0.6)
-            self.whole[path] = found = found / 2
+            if len(self.names) > 50_000:
+                self.names.clear()
+            self.names[name] = found = np.add.reduce([self.paths[w] for w in re.split(r"[\s_\-]+", name)])
         return found
 
-    def __call__(self, page: list[Block]) -> np.ndarray:
-        out = np.zeros((len(page), PATH + WORDS + COUNTS), np.float32)
-        for k, b in enumerate(page):
-            found = b.text.split()[:200]
+    def total(self, step: Step | None) -> np.ndarray:
+        """The sum over a whole path; steps keep theirs, so each is added once."""
+        line = []
+        while step is not None and step.total is None:
+            line.append(step)
+            step = step.up
+        sum_ = step.total if step is not None else np.zeros(PATH, np.float32)
+        for s in reversed(line):
+            s.total = sum_ = sum_ + self.name(s.name)
+        return sum_
+
+    def path(self, step: Step | None) -> np.ndarray:
+        """The two innermost elements in full, those around them at six tenths, or as six of them if they are more."""
+        if step is None:
+            return np.zeros(PATH, np.float32)
+        outer = step.up.up if step.up else None
+        around = self.total(outer)
+        return (self.total(step) - around + 0.6 * around * min(1.0, 6 / outer.depth if outer else 1.0)) / 2
+
+    def __call__(self, page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+        """One row for each block from ``start`` to ``stop``."""
+        own = page[start:stop]
+        out = np.zeros((len(own), PATH + WORDS + COUNTS), np.float32)
+        for k, b in enumerate(own):
+            found = b.text.lower().split()
             n = len(b.text)
             out[k, :PATH] = self.path(b.path)
-            out[k, PATH : PATH + WORDS] = sum((self.words[w.lower()] for w in found[:40]), np.zeros(WORDS, np.float32)) / max(len(found[:40]), 1) ** 0.5 / 3
-            out[k, PATH + WORDS :] = (np.log1p(n) / 4, b.linked / n, np.log1p(len(found)) / 3, sum(b.text.count(c) for c in ".!?") / len(found) if found else 0, sum(map(str.isupper, b.text[:400])) / min(n, 400), k / len(page), len(b.path) / 8, 1.0)
+            if found:
+                out[k, PATH : PATH + WORDS] = np.add.reduce([self.words[w] for w in found]) / len(found) ** 0.5 / 3
+            marks = sum(b.text.count(c) for c in ".!?") / len(found) if found else 0
+            depth = min(b.path.depth if b.path else 0, 16)
+            out[k, PATH + WORDS :] = (np.log1p(n) / 4, b.linked / n, np.log1p(len(found)) / 3, marks, sum(map(str.isupper, b.text)) / n, (start + k) / len(page), depth / 8, 1.0)
         return out
 
 
@@ -187,11 +249,11 @@ class Labeller:
         s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
         return s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
 
-    def _run(self, way: str, x: np.ndarray, on: np.ndarray, keep: bool):
-        """x: (pages, blocks, inputs); on: which blocks a page has."""
+    def _run(self, way: str, x: np.ndarray, on: np.ndarray, keep: bool, before: tuple | None = None):
+        """(states, what the gradient needs, last state) from x: (pages, blocks, inputs); on: which blocks a page has; before: the state to start from."""
         b, t, _ = x.shape
         pre = x @ self.p["x" + way] + self.p["c" + way]
-        h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+        h, c = before or (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
         out, memory = np.zeros((b, t, HIDDEN), np.float32), []
         for k in range(t) if way == "f" else range(t - 1, -1, -1):
             i, f, o, g = self._gates(pre[:, k] + h @ self.p["h" + way])
@@ -202,7 +264,19 @@ class Labeller:
             c = np.where(live, fresh, c)
             h = np.where(live, o * np.tanh(fresh), h)
             out[:, k] = h
-        return out, memory
+        return out, memory, (h, c)
+
+    def of_long_page(self, page: list[Block], describe: Describer, chunk: int = CHUNK) -> np.ndarray:
+        """The margins of one page, ``chunk`` blocks at a time, forwards and then backwards."""
+        out = np.full(len(page), self.p["ob"][0], np.float64)
+        parts = [(a, min(a + chunk, len(page))) for a in range(0, len(page), chunk)]
+        for n, way in enumerate("fb"):
+            state = None
+            for a, b in parts if way == "f" else parts[::-1]:
+                x = describe(page, a, b)
+                states, _, state = self._run(way, x[None], np.ones((1, b - a), bool), False, state)
+                out[a:b] += states[0] @ self.p["o"][n * HIDDEN : (n + 1) * HIDDEN] + (x @ self.p["o"][2 * HIDDEN :] if way == "f" else 0)
+        return out
 
     def margins(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
         both = [self._run(way, x, on, False)[0] for way in "fb"]
@@ -263,10 +337,10 @@ _SIDE = re.compile(r"^(nav|footer|header|aside|form|menu|button|select|dialog)\b
 
 def own_labels(page: list[Block]) -> np.ndarray | None:
     """1 for blocks of an article or main element outside side elements; None if the page has no such element."""
-    main = [any(re.match(r"(article|main)\b", s) for s in b.path) for b in page]
+    main = [any(re.match(r"(article|main)\b", s) for s in steps(b.path)) for b in page]
     if not any(main):
         return None
-    return np.array([float(m and not any(_SIDE.search(s) for s in b.path)) for m, b in zip(main, page, strict=True)])
+    return np.array([float(m and not any(_SIDE.search(s) for s in steps(b.path))) for m, b in zip(main, page, strict=True)])
 
 
 # Names that pages give to their parts, for composed pages.
@@ -292,7 +366,7 @@ def compose(r: random.Random, main: list[str], side: list[str]) -> tuple[list[Bl
 
     def put(path: tuple[str, ...], text: str, linked: bool, y: float) -> None:
         if text:
-            blocks_.append(Block((*frame, *path), text, len(text) if linked else 0))
+            blocks_.append(Block(path_of((*frame, *path)), text, len(text) if linked else 0))
             labels.append(y)
 
     def some(texts: list[str], words: int) -> str:
@@ -346,7 +420,7 @@ def learn(pages: list[list[Block]], composed: int = COMPOSED) -> Labeller:
     for page in pages:
         y = own_labels(page)
         if y is not None and 0 < y.sum() < len(y):
-            examples.append((describe(page[:80]), y[:80]))
+            examples.append((describe(page[:TRAINED]), y[:TRAINED]))
             main.append([b.text for b, v in zip(page, y, strict=True) if v])
             side += [b.text for b, v in zip(page, y, strict=True) if not v]
     if not main:
@@ -357,24 +431,27 @@ def learn(pages: list[list[Block]], composed: int = COMPOSED) -> Labeller:
         at = r.randrange(len(own))
         page, y = compose(r, own[at : at + r.randint(1, 14)], side)
         if len(y):
-            examples.append((describe(page[:80]), y[:80]))
+            examples.append((describe(page[:TRAINED]), y[:TRAINED]))
     model.train(examples)
     return model
 
 
 def extract(pages: list[list[Block]], model: Labeller, describe: Describer) -> list[str]:
-    """The main blocks of each page; pages of like length go through the labeller together."""
+    """The main blocks of each page; pages of like length go through the labeller together, at most ``CHUNK`` blocks, the filling up to the longest page included."""
     out = [""] * len(pages)
+    chosen = lambda k, z: "\n".join(b.text for b, m in zip(pages[k], z, strict=False) if m > 0)
+    group: list[int] = []
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-    at = 0
-    while at < len(order):
-        size = max(1, min(64, 20_000 // len(pages[order[at]])))
-        group = order[at : at + size]
-        at += size
-        x, on, _ = padded([(describe(pages[k]), np.zeros(len(pages[k]))) for k in group])
-        z = model.margins(x, on)
-        for row, k in enumerate(group):
-            out[k] = "\n".join(b.text for b, m in zip(pages[k], z[row], strict=False) if m > 0)
+    for at, k in enumerate(order):
+        if len(pages[k]) > CHUNK:
+            out[k] = chosen(k, model.of_long_page(pages[k], describe))
+            continue
+        group.append(k)
+        if at + 1 == len(order) or len(group) == 64 or (len(group) + 1) * len(pages[order[at + 1]]) > CHUNK:
+            x, on, _ = padded([(describe(pages[j]), np.zeros(len(pages[j]))) for j in group])
+            for j, z in zip(group, model.margins(x, on), strict=True):
+                out[j] = chosen(j, z)
+            group = []
     return out
 
 
@@ -384,18 +461,16 @@ def _extract(shared):
         for batch in batches:
             found = batch.column(2).to_pylist()
             texts: list[str] = []
-            for k in range(0, len(found), 512):
-                texts += extract([blocks(h) for h in found[k : k + 512]], model, describe)
+            for part in portions(found):
+                texts += extract([blocks(h) for h in found[part]], model, describe)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
-    chosen = pages.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i")).where("i is not null").orderBy("h", "i").limit(sample)
-    # at most ``sample`` ids
-    texts = pages.join(F.broadcast(chosen), F.col(id_col) == F.col("i")).orderBy("h", "i").select(html_col).limit(sample).toArrow().column(0).to_pylist()
-    model = learn([blocks(h) for h in texts])
+    """One row per page: page_id, url, text, n_chars. Learns from at most ``sample`` pages of at most ``LONGEST`` characters."""
+    short = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"), F.xxhash64(id_col).alias("i")).where(F.length("html") <= LONGEST)
+    model = learn([blocks(h) for h in short.orderBy("i", "h").select("html").limit(sample).toArrow().column(0).to_pylist()])
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     return pages.select(id_col, url_col, html_col).mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(model)), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
