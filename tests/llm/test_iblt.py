@@ -45,4 +45,14 @@ def test_edge_rows(spark):
     got = iblt.fingerprints(docs, ranges=3).collect()
     assert sorted((x.doc_id or 9, x.near_next) for x in got) == [(1, 0.0), (3, 0.0), (3, 1.0), (9, 0.0)]
     assert iblt.fingerprints(docs.limit(1), ranges=2).first().near_next == 1.0
+    many = [(7, f"t{k}") for k in range(40)] + [(None, f"n{k}") for k in range(40)] + [(k, f"x{k}") for k in range(20)]
+    wide = spark.createDataFrame([(i, t, "d", 5) for i, t in many], "doc_id long, text string, d string, range int")
+    for table in (wide, wide.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        led = iblt.with_next(table.select("doc_id", "text", F.xxhash64("text").alias("h"), F.array(F.lit(1)).alias("d")), 16).select("text", "next_text").collect()
+        follow = {x.text: x.next_text for x in led}
+        assert len(led) == len(many) and sorted(follow.values()) == sorted(follow)
+        h = {x.text: x.h for x in table.select("text", F.xxhash64("text").alias("h")).collect()}
+        named = (lambda i: str(i)) if table is not wide else (lambda i: i)
+        line = sorted(many, key=lambda x: (x[0] is None, named(x[0]) if x[0] is not None else named(0), h[x[1]]))
+        assert all(follow[line[k][1]] == line[(k + 1) % len(line)][1] for k in range(len(line)))
     assert iblt.fingerprints(docs.limit(0), ranges=2).count() == 0
