@@ -6,13 +6,16 @@ signature (one hash pass, one minimum a bin, empty bins filled by optimal
 densification) cut into bands; classes that share a band form a bucket.
 
 Every bucket is resolved with star-shaped edges: each member is compared with one
-centre, the member that meets most others. What a star leaves open are pairs in
-which a member x failed against the centre c. Such a pair x, y can be linked only if
-x and y share shingles that c lacks, or if y is smaller than c by so much that what
-x shares with c would do. Both are found by joins: on rare shared shingles outside
-the centre (as many of the rarest as a prefix filter needs) and on sizes. So no link
-inside a bucket is lost, no bucket is capped, and pair counts stay near the number
-of members. Links are confirmed on the full shingle sets.
+centre, at first the member that meets most others. What a star leaves open are pairs
+of different components in which a member x failed against the centre c. Such a pair
+x, y can be linked only if x and y share shingles that c lacks, or if y is smaller than
+c by so much that what x shares with c would do. The first are found by lists of rare
+shared shingles outside the centre (as many of the rarest as a prefix filter needs): the
+members of a short list are compared with each other, a longer list is a group of its
+own and gets a star with a new centre among those that failed, and so on until no
+group is left. The second are found by sizes. So no link inside a bucket is lost, no
+bucket is capped, and a list makes at most ``SHORT`` pairs for each of its members.
+Links are confirmed on the full shingle sets.
 
 Defined results: null or word-less text has an empty set, links with nothing and
 is kept. Every row stands for itself: rows that share an id are linked only if their
@@ -35,6 +38,8 @@ from panelyard.llm.shared import MULTIPLIER, SECOND, distinct, mix, rolling, sig
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+#: The members of a list of at most so many are compared with each other, those of a longer one with a centre.
+SHORT = 8
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -155,43 +160,56 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return staged(label.join(roots.select(F.col("node").alias("comp"), "root").hint("merge"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")))
 
 
-def _stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, c, nx, nc, both, linked, added): every member against the centre of each of its buckets.
-
-    ``added``: what x has beyond c, where the centre has other members for x to be linked with.
-    """
+def _first_groups(members: DataFrame) -> DataFrame:
+    """(g, x, order) from (bucket, rep): the member that meets most others comes first; buckets with the same first one are one group."""
     sizes = members.groupBy("bucket").agg((F.count("*") - 1).alias("others"))
     degree = members.join(sizes.hint("merge"), "bucket").groupBy("rep").agg(F.sum("others").alias("degree"))
-    centres = members.join(degree.hint("merge"), "rep").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "rep")).alias("m")).select("bucket", F.col("m.rep").alias("b"))
-    rays = staged(members.join(centres.hint("merge"), "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
-    several = rays.groupBy("b").agg(F.count("*").alias("rays"))
-    found = _compared(rays.join(several.hint("merge"), "b"), sets)
+    ranked = staged(members.join(degree.hint("merge"), "rep"))
+    centres = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "rep")).alias("m")).select("bucket", F.xxhash64("m.rep").alias("g"))
+    return ranked.join(centres.hint("merge"), "bucket").select("g", F.col("rep").alias("x"), (-F.col("degree")).alias("order")).distinct()
+
+
+def _stars(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, x, c, nx, both, linked, added): every member against the centre of its group; ``added``: what x has beyond c."""
+    groups = staged(groups)
+    facts = groups.groupBy("g").agg(F.min(F.struct("order", "x")).alias("m"), F.count("*").alias("n")).select("g", F.col("m.x").alias("c"), "n")
+    rays = staged(groups.join(facts.hint("merge"), "g").where("x <> c").select("g", "x", "c", "n"))
+    pairs = rays.groupBy(F.col("x").alias("a"), F.col("c").alias("b")).agg(F.max("n").alias("n"))
+    found = _compared(pairs, sets)
     linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-    added = F.when(F.col("rays") > 1, F.array_except("sa", "sb"))
-    return staged(found.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("na").alias("nx"), F.col("nb").alias("nc"), "both", linked.alias("linked"), added.alias("added")))
+    # without a third member nothing can be left open
+    added = F.when(F.col("n") > 2, F.array_except("sa", "sb"))
+    found = found.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("na").alias("nx"), "both", linked.alias("linked"), added.alias("added"))
+    return staged(rays.drop("n").join(found.hint("merge"), ["x", "c"]))
 
 
-def _left_open(stars: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of a star that may be linked although one of them is not linked with the centre."""
+def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), groups (g, x, order)): what may be linked although one of the two is not linked with the centre, and lies in another component."""
     # a linked pair shares at least percent % of the larger set
     least = F.ceil(F.col("nx") * percent / 100)
-    open_ = stars.where("added is not null").groupBy("c").agg(F.count_if(~F.col("linked")).alias("failed")).where("failed > 0").select("c")
-    own = staged(stars.join(open_.hint("merge"), "c"))
-    token = own.select("c", "x", "linked", F.greatest(least - F.col("both"), F.lit(1)).alias("need"), F.explode("added").alias("token"))
-    common = token.groupBy("c", "token").agg(F.count("*").alias("times")).where("times > 1")
-    shared = token.join(common.hint("merge"), ["c", "token"])
-    line = Window.partitionBy("c", "x")
+    known = stars.where("added is not null").join(label.select(F.col("rep").alias("x"), "comp").hint("merge"), "x")
+    several = [F.count_if(~F.col("linked")).alias("failed"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")]
+    open_ = known.groupBy("g").agg(*several).where("failed > 0 and low <> high").select("g")
+    own = staged(known.join(open_.hint("merge"), "g", "left_semi"))
+    token = own.select("g", "x", "comp", "linked", F.greatest(least - F.col("both"), F.lit(1)).alias("need"), F.explode("added").alias("token"))
+    common = token.groupBy("g", "token").agg(F.count("*").alias("times")).where("times > 1")
+    shared = token.join(common.hint("merge"), ["g", "token"])
+    line = Window.partitionBy("g", "x")
     kept = shared.withColumns({"place": F.row_number().over(line.orderBy("times", "token")), "have": F.count("*").over(line)}).where("place <= have - need + 1")
-    kept = staged(kept.select("c", "x", "linked", "token"))
-    left, right = kept.where("not linked"), kept.select("c", "token", F.col("x").alias("y"))
-    by_token = left.join(right.hint("merge"), ["c", "token"]).where("x <> y").select("x", "y")
+    kept = staged(kept.select(F.xxhash64("g", "token").alias("list"), "x", "comp", "linked"))
+    lists = kept.groupBy("list").agg(*several).where("failed > 0 and low <> high").select("list", "n")
+    kept = staged(kept.join(lists.hint("merge"), "list"))
+    short = kept.where(F.col("n") <= SHORT)
+    left, right = short.where("not linked").select("list", "x", "comp"), short.select("list", F.col("x").alias("y"), F.col("comp").alias("other"))
+    by_token = left.join(right.hint("merge"), "list").where("x <> y and comp <> other").select("x", "y")
+    groups = kept.where(F.col("n") > SHORT).select(F.col("list").alias("g"), "x", F.col("linked").cast("long").alias("order"))
     # without a shared addition x and y share at most what x shares with c, so y must be small
     room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
-    wide = own.where("not linked").select("c", "x", "nx", "both", least.alias("lo"), room.alias("hi")).where("lo <= hi")
-    asked = wide.select("c", "x", "nx", F.explode(F.sequence("lo", "hi")).alias("ny"))
-    small = own.select("c", F.col("x").alias("y"), F.col("nx").cast("long").alias("ny"), F.col("both").alias("by"))
-    by_size = asked.join(small.hint("merge"), ["c", "ny"]).where((F.col("x") != F.col("y")) & ((100 + percent) * F.col("by") >= percent * (F.col("nx") + F.col("ny")))).select("x", "y")
-    return by_token.union(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    wide = own.where("not linked").select("g", "x", "comp", "nx", "both", least.alias("lo"), room.alias("hi")).where("lo <= hi")
+    asked = wide.select("g", "x", "comp", "nx", F.explode(F.sequence("lo", "hi")).alias("ny"))
+    small = own.select("g", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("nx").cast("long").alias("ny"), F.col("both").alias("by"))
+    by_size = asked.join(small.hint("merge"), ["g", "ny"]).where((F.col("comp") != F.col("other")) & ((100 + percent) * F.col("by") >= percent * (F.col("nx") + F.col("ny")))).select("x", "y")
+    return by_token.union(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), groups
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -213,13 +231,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # an id may have several texts: each is a set of its own
     sets = staged(source.join(holders.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "rep binary, shingles array<long>").dropDuplicates(["rep"]))
     label = wanted.select("rep", F.col("rep").alias("comp"))
-    stars = _stars(members, sets, percent)
-    label = _joined(label, stars.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b")))
-    pairs = _left_open(stars, percent)
-    ends = [label.select(F.col("rep").alias(k), F.col("comp").alias(f"c{k}")).hint("merge") for k in "ab"]
-    pairs = staged(pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b"))
-    if not pairs.isEmpty():
-        label = _joined(label, _compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    groups = _first_groups(members)
+    while True:
+        stars = _stars(groups, sets, percent)
+        label = _joined(label, stars.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b")))
+        pairs, groups = _left_open(stars, label, percent)
+        pairs = staged(pairs)
+        if not pairs.isEmpty():
+            found = staged(_compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+            label = _joined(label, found)
+        if groups.isEmpty():
+            break
     # classes of one component: the smallest id stands for all
     named = staged(classes.select("class", "doc_id").join(label.select(F.col("rep").alias("class"), "comp").hint("merge"), "class", "left").select("class", "doc_id", F.coalesce("comp", "class").alias("comp")))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("least"))
