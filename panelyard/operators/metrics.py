@@ -1,8 +1,7 @@
 """Metrics, thresholds and bootstrap.
 
 Score curves are sums over distinct scores, then running sums; keys (fold, arm,
-draw, feature) partition them. A single curve's running sums cross one task, but
-over distinct scores only, after the rows have been added up.
+draw, feature) and ranges of scores partition them.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.scans import quantiles, running
+
 
 def share(top: Column, bottom: Column, otherwise: float | None = 0.0) -> Column:
     """A ratio, and a stated value where nothing is below."""
@@ -22,9 +23,7 @@ def curve(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight
     """For each key and distinct score: positives and rows at it, at or above it, and in all."""
     weight = F.lit(1) if weight is None else weight
     by = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).alias("score")).agg(F.sum(weight * F.col(y)).alias("pos"), F.sum(weight).alias("all"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return by.withColumns({"tp": F.sum("pos").over(above), "flagged": F.sum("all").over(above), "positives": F.sum("pos").over(whole), "rows": F.sum("all").over(whole)})
+    return running(by, keys, "score", {"tp": F.col("pos"), "flagged": F.col("all")}, descending=True, totals={"tp": "positives", "flagged": "rows"})
 
 
 def pos_weight(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
@@ -63,8 +62,7 @@ def average_precision(df: DataFrame, keys: Sequence[str], y: str = "y", p: str =
 
 def rank_average_precision(df: DataFrame, keys: Sequence[str], order: Sequence[Column], y: str = "y", p: str = "p") -> DataFrame:
     """The rank form: every row on its own, ties in a stated order; 0 without positives."""
-    line = Window.partitionBy(*keys).orderBy(F.desc(p), *order)
-    ranked = df.withColumns({"_n": F.row_number().over(line), "_tp": F.sum(y).over(line.rowsBetween(Window.unboundedPreceding, 0))})
+    ranked = running(df, keys, p, {"_n": F.lit(1), "_tp": F.col(y)}, order=order, descending=True)
     by = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(y) == 1, F.col("_tp") / F.col("_n"))).alias("_sum"), F.sum(y).alias("_pos"))
     return by.select(*keys, share(F.col("_sum"), F.col("_pos")).alias("ap_rank"))
 
@@ -87,8 +85,7 @@ def threshold_for_sensitivity(df: DataFrame, keys: Sequence[str], target: Column
 
 def quantile_grid(df: DataFrame, shares: Sequence[float], p: str = "p") -> DataFrame:
     """The distinct quantiles of a score, one row each."""
-    grid = ", ".join(map(repr, shares))
-    return df.agg(F.expr(f"percentile({p}, array({grid}))").alias("q")).select(F.explode(F.array_distinct("q")).alias("t"))
+    return quantiles(df, p, shares).select(F.explode(F.array_distinct("q")).alias("t"))
 
 
 def counts_at(df: DataFrame, grid: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -132,8 +129,7 @@ def brier_score(df: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str =
 
 def reliability_table(df: DataFrame, bins: int = 15, y: str = "y", p: str = "p") -> DataFrame:
     """n, mean score and mean label in bins of equal counts; edges that coincide are one."""
-    edges = ", ".join(repr(k / bins) for k in range(bins + 1))
-    cut = df.agg(F.array_distinct(F.expr(f"percentile({p}, array({edges}))")).alias("edges"))
+    cut = quantiles(df, p, [k / bins for k in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     placed = df.crossJoin(F.broadcast(cut)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(p))))
     return placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
@@ -156,7 +152,7 @@ def threshold_for_budget(df: DataFrame, budgets: Sequence[float], week: str, p:
     asked = n.select("n", "low", "n_weeks", F.explode(F.array(*(F.lit(float(b)) for b in budgets))).alias("per_week"))
     asked = asked.withColumn("k", F.greatest(F.bround(F.col("per_week") * F.greatest("n_weeks", F.lit(1))).cast("long"), F.lit(1).cast("long")))
     by = df.groupBy(F.col(p).alias("score")).agg(F.count("*").alias("all"))
-    down = by.withColumn("upto", F.sum("all").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)))
+    down = running(by, [], "score", {"upto": F.col("all")}, descending=True)
     found = down.join(F.broadcast(asked), F.col("upto") >= F.col("k")).groupBy("per_week", "k", "n", "low").agg(F.max("score").alias("kth"))
     return asked.join(F.broadcast(found.select("per_week", "kth")), "per_week", "left").select("per_week", "k", F.when(F.col("k") >= F.col("n"), F.col("low")).otherwise(F.col("kth")).alias("threshold"))
 
@@ -212,9 +208,10 @@ def cluster_draws(df: DataFrame, cluster: str, draws: int) -> DataFrame:
     """(draw, cluster, times): clusters drawn with replacement by an md5 of draw and place."""
     from panelyard.operators.splits import hash_number
 
-    # one row for each cluster
+    # one array of the clusters, a dimension; the draws are spread over tasks
     members = df.select(cluster).distinct().agg(F.array_sort(F.collect_set(cluster)).alias("all"))
-    rows = members.select("all", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("all", "draw", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("pos"))
+    spread = df.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"))
+    rows = spread.crossJoin(F.broadcast(members)).select("all", "draw", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("pos"))
     return rows.select("draw", F.element_at("all", (hash_number(F.col("draw"), F.col("pos")) % F.size("all") + 1).cast("int")).alias(cluster)).groupBy("draw", cluster).agg(F.count("*").alias("times"))
 
 
@@ -227,7 +224,9 @@ def paired_fold_bootstrap(deltas: DataFrame, draws: int) -> DataFrame:
 
 def cluster_bootstrap_ci(df: DataFrame, cluster: str, draws: int, y: str = "y", p: str = "p") -> DataFrame:
     """Average precision with its interval over resampled clusters; draws with one class are left out."""
-    weighted = df.select(cluster, y, p).join(F.broadcast(cluster_draws(df, cluster, draws)), cluster)
+    # rows of one cluster and score are added up before the draws multiply them
+    added = df.groupBy(cluster, y, p).agg(F.count("*").alias("_rows"))
+    weighted = added.join(F.broadcast(cluster_draws(df, cluster, draws)), cluster).withColumn("times", F.col("times") * F.col("_rows"))
     both = weighted.groupBy("draw").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("draw")
     ap = average_precision(weighted, ["draw"], y, p, F.col("times")).join(both, "draw")
     ci = ap.agg(F.percentile("ap", F.lit(0.025)).alias("ci_low"), F.percentile("ap", F.lit(0.975)).alias("ci_high"), F.count("*").alias("n_draws"))
@@ -241,13 +240,15 @@ def verdict(low: Column, high: Column) -> Column:
 
 def cluster_bootstrap_compare(df: DataFrame, cluster: str, draws: int, base: str, candidate: str, y: str = "y") -> DataFrame:
     """Difference in average precision of two scores with its interval over clusters, and the verdict."""
-    arms = df.select(cluster, y, F.explode(F.array(F.struct(F.lit("base").alias("arm"), F.col(base).alias("p")), F.struct(F.lit("cand").alias("arm"), F.col(candidate).alias("p")))).alias("a")).select(cluster, y, "a.arm", "a.p")
-    weighted = arms.join(F.broadcast(cluster_draws(df, cluster, draws)), cluster)
+    # rows of one cluster and pair of scores are added up before arms and draws multiply them
+    added = df.groupBy(cluster, y, base, candidate).agg(F.count("*").alias("_rows"))
+    arms = added.select(cluster, y, "_rows", F.explode(F.array(F.struct(F.lit("base").alias("arm"), F.col(base).alias("p")), F.struct(F.lit("cand").alias("arm"), F.col(candidate).alias("p")))).alias("a")).select(cluster, y, "_rows", "a.arm", "a.p")
+    weighted = arms.join(F.broadcast(cluster_draws(df, cluster, draws)), cluster).withColumn("times", F.col("times") * F.col("_rows"))
     both = weighted.groupBy("draw").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("draw")
     ap = average_precision(weighted, ["draw", "arm"], y, "p", F.col("times")).join(both, "draw")
     gap = lambda: F.max(F.when(F.col("arm") == "cand", F.col("ap"))) - F.max(F.when(F.col("arm") == "base", F.col("ap")))
     ci = ap.groupBy("draw").agg(gap().alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high"))
-    own = average_precision(arms, ["arm"], y, "p").agg(gap().alias("delta"))
+    own = average_precision(arms, ["arm"], y, "p", F.col("_rows")).agg(gap().alias("delta"))
     n = df.agg(F.countDistinct(cluster).alias("n_folds"))
     return own.crossJoin(ci).crossJoin(n).withColumns({"unit": F.lit("districts"), "verdict": verdict(F.col("ci_low"), F.col("ci_high"))})
 
@@ -308,7 +309,11 @@ def dataset_audit(df: DataFrame, columns: Sequence[str], y: str = "y", alarm: fl
 
 
 def population_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns))
+    out = None
+    for c in columns:
+        one = quantiles(df, c, [0.5]).select(F.get("q", F.lit(0)).alias(c))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
 
 
 def rank_average(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.functions.scans import running
 from panelyard.operators.metrics import average_precision, roc_auc
 from panelyard.spec import DEFAULT, PanelSpec, at_least
 
@@ -68,11 +69,11 @@ def shuffled_labels(df: DataFrame, seeds: int, keys: Sequence[str], y: str = "y"
     """(seed, p, y): labels permuted by pairing the order of a hash with the order of the keys."""
     seed = F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")
     rows = df.select(*keys, y, "p", seed)
-    by_key = Window.partitionBy("seed").orderBy(*keys)
-    by_hash = Window.partitionBy("seed").orderBy(hash_number(F.col("seed"), *(F.col(k) for k in keys)), *keys)
-    left = rows.select("seed", "p", F.row_number().over(by_key).alias("_n"))
-    right = rows.select("seed", F.col(y).alias("y"), F.row_number().over(by_hash).alias("_n"))
-    return left.join(right, ["seed", "_n"]).drop("_n")
+    hashed = rows.withColumn("_h", hash_number(F.col("seed"), *(F.col(k) for k in keys)))
+    number = {"_n": F.lit(1)}
+    left = running(rows, ["seed"], keys[0], number, order=[F.col(k) for k in keys[1:]]).select("seed", "p", "_n")
+    right = running(hashed, ["seed"], "_h", number, order=[F.col(k) for k in keys]).select("seed", F.col(y).alias("y"), "_n")
+    return left.join(right.hint("merge"), ["seed", "_n"]).drop("_n")
 
 
 def permutation_null(df: DataFrame, seeds: int, keys: Sequence[str], y: str = "y") -> DataFrame:
@@ -100,5 +101,6 @@ def lag_contamination_check(df: DataFrame, stored: str, column: str, weeks: int,
 def stratified_folds(df: DataFrame, key: str, y: str, k: int, repeats: int) -> DataFrame:
     """``fold`` for each repeat: classes are dealt evenly, in the order of a hash."""
     rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    order = Window.partitionBy("repeat", y).orderBy(hash_number(F.col(key), F.col("repeat")), key)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    hashed = rows.withColumn("_h", hash_number(F.col(key), F.col("repeat")))
+    ran = running(hashed, ["repeat", y], "_h", {"_n": F.lit(1)}, order=[F.col(key)])
+    return ran.withColumn("fold", ((F.col("_n") - 1) % k).cast("int")).drop("_h", "_n")

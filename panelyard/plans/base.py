@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelyard.functions.scans import running
 from panelyard.operators import features, labels
 from panelyard.plans.fixtures import CTE, hot_panel
 
@@ -82,9 +83,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows with ``p``: the share of rows whose p3 is not higher, from counts by distinct score."""
-    from pyspark.sql import Window
+    return with_share(scored(spark, sf_dir), "p3", "p")
 
-    rows = scored(spark, sf_dir)
-    by = rows.groupBy("p3").count()
-    upto = by.select("p3", (F.sum("count").over(Window.orderBy("p3")) / F.sum("count").over(Window.partitionBy())).alias("p"))
-    return rows.join(F.broadcast(upto), "p3")
+
+def with_share(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``name``: the share of rows whose value is not higher; rows without a value are left out."""
+    by = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    upto = running(by, [], column, {"_upto": F.col("_n")}, totals={"_upto": "_rows"})
+    # one row for each distinct value, so joined by shuffle
+    return df.join(upto.select(column, (F.col("_upto") / F.col("_rows")).alias(name)).hint("merge"), column)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.functions.scans import quantiles
+
 THRESHOLD_SHARE = 0.85
 
 
@@ -63,7 +65,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_threshold(df: DataFrame, share: float = THRESHOLD_SHARE, rate: str = "inc", name: str = "thr") -> DataFrame:
     """``thr``: an exact quantile of the rate over all rows, the same for every row."""
-    cut = df.agg(F.expr(f"percentile({rate}, {share})").alias(name))
+    cut = quantiles(df, rate, [share]).select(F.get("q", F.lit(0)).alias(name))
     return df.crossJoin(F.broadcast(cut))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.functions import scans
 from panelyard.operators import metrics as M
 from panelyard.operators import splits as S
 from panelyard.plans import fixtures as fx
@@ -133,8 +134,8 @@ KTH = "(SELECT per_week, CASE WHEN k >= n THEN low ELSE (SELECT p3 FROM {v} ORDE
 
 def errors(spark, sf):
     rows = p3(spark, sf)
-    q = rows.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in ("inc", "a_sum")))
-    rows = rows.crossJoin(F.broadcast(q))
+    for c in ("inc", "a_sum"):
+        rows = rows.crossJoin(F.broadcast(scans.quantiles(rows, c, [0.25, 0.5, 0.75]).withColumnRenamed("q", f"q_{c}")))
     bucket = lambda c: F.size(F.filter(f"q_{c}", lambda e: e <= F.col(c)))
     return M.strata(rows, {"quarter": F.quarter("week_start"), "incidence": bucket("inc"), "exposure": bucket("a_sum")}, F.col("p3") >= F.col("thr") / 2)
 

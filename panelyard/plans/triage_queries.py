@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.scans import quantiles
 from panelyard.operators import features as X
 from panelyard.operators import labels as L
 from panelyard.operators import metrics as M
 from panelyard.operators import splits as S
 from panelyard.operators import triage as H
 from panelyard.plans import fixtures as fx
-from panelyard.plans.base import LAB, query, scored
+from panelyard.plans.base import LAB, query, scored, with_share
 from panelyard.plans.metric_queries import SHUFFLED, UNSEEN, auc_sql, p1, p3
 from panelyard.streaming import incremental as I  # noqa: E741
 
@@ -19,18 +20,11 @@ W = "PARTITION BY entity ORDER BY week_start"
 ADVICE = "CASE WHEN risk IS NULL AND flag THEN 'no outbreak forecast; confirm' WHEN risk IS NULL THEN 'no outbreak forecast; routine care' WHEN flag AND risk >= 0.5 THEN 'confirm and start vector control' WHEN flag THEN 'confirm' WHEN risk >= 0.5 THEN 'maintain surveillance' ELSE 'routine care' END"
 
 
-def shares(df, column: str):
-    """Share of rows not above the row's value, from counts by distinct value."""
-    by = df.groupBy(column).count()
-    upto = by.select(column, (F.sum("count").over(Window.orderBy(column)) / F.sum("count").over(Window.partitionBy())).alias(f"{column}_share"))
-    return df.join(F.broadcast(upto), column)
-
-
 def risks(spark, sf):
     """All panel rows with two risks between 0 and 1, the second only where a place is quiet."""
     rows = L.eligible_mask(fx.hot_panel(spark, sf))
     rows = X.naive_baselines(rows)
-    rows = shares(shares(rows, "inc"), "moving_average")
+    rows = with_share(with_share(rows, "inc", "inc_share"), "moving_average", "moving_average_share")
     return rows.select(
         "entity", "week_start", "cases", "inc", (F.col("hot") == 1).alias("currently_in_outbreak"), F.col("inc_share").alias("continuation_risk"),
         F.when(F.col("eligible"), F.col("moving_average_share")).alias("emergence_risk"),
@@ -61,7 +55,7 @@ def assessed(spark, sf):
 
 
 def advice(spark, sf):
-    people = fx.table(spark, sf, "customer").crossJoin(F.broadcast(fx.table(spark, sf, "customer").agg(F.percentile("c_acctbal", F.lit(0.5)).alias("m"))))
+    people = fx.table(spark, sf, "customer").crossJoin(F.broadcast(quantiles(fx.table(spark, sf, "customer"), "c_acctbal", [0.5]).select(F.get("q", F.lit(0)).alias("m"))))
     patients = people.select("c_custkey", F.col("c_nationkey").cast("long").alias("area"), (F.col("c_acctbal") < F.col("m")).alias("flag"))
     areas = assessed(spark, sf).select(F.col("entity").alias("area"), F.col("headline_risk").alias("risk"))
     return H.case_area_advice(patients, areas).select("c_custkey", "area", "flag", "advice")

@@ -8,6 +8,7 @@ cluster in shared storage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +46,24 @@ def weekly_counts(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy("event_type", week.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").cast("date").alias("week_start"), "n", "total")
 
 
-def stream_weekly_counts(spark: SparkSession, path: str, where: str) -> DataFrame:
-    """Counts kept up to date: each batch's complete weeks replace the table's."""
-    out = f"{where}/out"
+def to_batches(stream: DataFrame, where: str, mode: str, change: Callable[[DataFrame], DataFrame] = lambda b: b) -> DataFrame:
+    """Each batch's rows in a folder of their own, and all of them with ``batch``.
+
+    A batch that runs again after a crash overwrites its own folder only, and a run
+    with nothing new finds all that earlier runs have written.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{where}/out/batch={number}")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    drain(stream.writeStream.outputMode(mode).foreachBatch(write), where)
+    return stream.sparkSession.read.parquet(f"{where}/out")
 
-    drain(weekly_counts(event_stream(spark, path)).writeStream.outputMode("complete").foreachBatch(replace), where)
-    return spark.read.parquet(out)
+
+def stream_weekly_counts(spark: SparkSession, path: str, where: str) -> DataFrame:
+    """Counts kept up to date: a batch writes the weeks that it changed, a reader takes the latest of each; closed weeks leave the state."""
+    rows = to_batches(weekly_counts(event_stream(spark, path)), where, "update")
+    latest = F.max_by(F.struct("n", "total"), "batch").alias("r")
+    return rows.groupBy("event_type", "week_start").agg(latest).select("event_type", "week_start", "r.*")
 
 
 def stream_dedup(spark: SparkSession, path: str, where: str, keys: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
@@ -63,18 +73,11 @@ def stream_dedup(spark: SparkSession, path: str, where: str, keys: tuple[str, ..
 
 
 def stream_upsert(spark: SparkSession, path: str, where: str) -> DataFrame:
-    """One row for each user, the latest; a batch merges into a new version of the table."""
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
-        if number:
-            old = spark.read.parquet(f"{where}/v{number - 1}")
-            fresh = old.unionByName(fresh).groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
-        fresh.write.mode("overwrite").parquet(f"{where}/v{number}")
-        latest["n"] = number
-
-    latest = {"n": 0}
-    drain(event_stream(spark, path).writeStream.foreachBatch(merge), where)
-    return spark.read.parquet(f"{where}/v{latest['n']}")
+    """One row for each user, the latest: a batch writes its own latest rows, a reader merges them."""
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
+
+    return newest(to_batches(event_stream(spark, path), where, "append", newest))
 
 
 def stream_late_data(spark: SparkSession, path: str, where: str, delays: tuple[str, ...] = ("1 hour", "14 days")) -> DataFrame:
