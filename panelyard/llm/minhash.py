@@ -39,7 +39,7 @@ from panelyard.llm.shared import MULTIPLIER, SECOND, distinct, mix, rolling, sig
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: The members of a list of at most so many are compared with each other, those of a longer one with a centre.
-SHORT = 8
+SHORT = 128
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -197,11 +197,14 @@ def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFr
     line = Window.partitionBy("g", "x")
     kept = shared.withColumns({"place": F.row_number().over(line.orderBy("times", "token")), "have": F.count("*").over(line)}).where("place <= have - need + 1")
     kept = staged(kept.select(F.xxhash64("g", "token").alias("list"), "x", "comp", "linked"))
-    lists = kept.groupBy("list").agg(*several).where("failed > 0 and low <> high").select("list", "n")
-    kept = staged(kept.join(lists.hint("merge"), "list"))
+    # shingles of one changed place have the same members: one list stands for all lists of equal members
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "x", "linked")).alias(f"same{k}") for k in (1, 2)]
+    lists = kept.groupBy("list").agg(*several, *same).where("failed > 0 and low <> high").groupBy("n", "same1", "same2").agg(F.min("list").alias("list"))
+    kept = staged(kept.join(lists.select("list", "n").hint("merge"), "list"))
     short = kept.where(F.col("n") <= SHORT)
-    left, right = short.where("not linked").select("list", "x", "comp"), short.select("list", F.col("x").alias("y"), F.col("comp").alias("other"))
-    by_token = left.join(right.hint("merge"), "list").where("x <> y and comp <> other").select("x", "y")
+    left, right = short.where("not linked").select("list", "x", "comp"), short.select("list", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("linked").alias("joined"))
+    # of two that failed each meets the other once
+    by_token = left.join(right.hint("merge"), "list").where("comp <> other and (joined or x < y)").select("x", "y")
     groups = kept.where(F.col("n") > SHORT).select(F.col("list").alias("g"), "x", F.col("linked").cast("long").alias("order"))
     # without a shared addition x and y share at most what x shares with c, so y must be small
     room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
