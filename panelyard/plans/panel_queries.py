@@ -9,6 +9,7 @@ from panelyard.operators import panel as P
 from panelyard.plans import fixtures as fx
 from panelyard.plans.base import query
 from panelyard.sources import readers as R
+from panelyard.streaming.incremental import work_dir
 
 WEEK_NO = "(datediff('day', DATE '1995-01-02', week_start)//7)"
 PANEL_DOUBLES = "a_sum a_mean a_max b_mean b_max b_min c_mean"
@@ -22,6 +23,17 @@ def both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return fx.cases(spark, sf), fx.second_source(spark, sf)
 
 
+def outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly cases written in each format below the shared folder, and read again."""
+    rows, where, found = fx.cases(spark, sf).select("entity", "week_start", "cases"), work_dir(spark), None
+    for kind in ("parquet", "csv", "json"):
+        R.write_outputs(rows, f"{where}/{kind}", kind)
+        reader = spark.read.schema(rows.schema).option("header", kind == "csv")
+        again = reader.format(kind).load(f"{where}/{kind}").withColumn("kind", F.lit(kind))
+        found = again if found is None else found.unionByName(again)
+    return found
+
+
 def stated(spark: SparkSession, sf: str) -> DataFrame:
     """Cases with the weekly total that a report would state: off by 5 % every tenth week, absent every thirteenth."""
     rows = fx.cases(spark, sf)
@@ -203,6 +215,7 @@ QUERIES = [
     query("parse_table_rows", lambda s, d: R.parse_table_rows(report_text(s, d), "truth", "text", place_names(s, d), 20), "SELECT week_start truth, entity_name \"name\", prev prev_week, cases, cum cumulative FROM rep JOIN places USING (week_start) WHERE n >= 20", longs="prev_week cases cumulative", ctes=REPORT),
     query("extract_stated_total", lambda s, d: R.extract_stated_total(report_text(s, d), "text", "cases were reported").select("truth", "stated_total"), "SELECT week_start truth, sum(cases) stated_total FROM rep GROUP BY 1", longs="stated_total", ctes=REPORT),
     query("nested_json_metrics", json_metrics, "SELECT event_type, avg((props->>'$.k')::DOUBLE) mean_k, 0 n_absent, count(*) n FROM events GROUP BY 1", "mean_k", "n_absent n"),
+    query("write_outputs", outputs, "SELECT entity, week_start, cases, k kind FROM cases, (VALUES ('parquet'), ('csv'), ('json')) v(k)", longs="cases"),
     # panels
     query("snap_to_week", lambda s, d: P.snap_to_week(fx.table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day"), "SELECT o_orderkey, o_orderdate::DATE \"day\", date_trunc('week', o_orderdate)::DATE week_start FROM orders"),
     query("weekly_counts", lambda s, d: P.weekly_counts(fx.lines(s, d), "entity", "day", (F.col("l_returnflag") == "R").cast("long")), "SELECT * FROM cases"),
