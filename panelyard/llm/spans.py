@@ -147,10 +147,12 @@ def remove_repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
     # rows of equal id and text have the same runs, which count once
     found = staged(texts.mapInArrow(_runs_of(least_sentences, least_words), f"doc_id {kind}, row long, first int, run long, run2 long"))
-    place = F.struct("doc_id", "row", "first")
-    repeated = found.groupBy("run", "run2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").select("run", "run2", "kept")
-    # written, so that both sides of the join are shuffled and a run that a third of all texts hold is split
-    later = found.join(staged(repeated).hint("merge"), ["run", "run2"]).where(place != F.col("kept"))
+    place, h = F.struct("doc_id", "row", "first"), F.xxhash64("doc_id", "row", "first")
+    # few bytes a run tell which runs have several places; tables are written, so that both sides of a join are shuffled and a run that a third of all texts hold is split
+    several = staged(found.groupBy("run").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("run"))
+    again = staged(found.join(several.hint("merge"), "run", "left_semi"))
+    kept = staged(again.groupBy("run", "run2").agg(F.min(place).alias("kept")))
+    later = again.join(kept.hint("merge"), ["run", "run2"]).where(place != F.col("kept"))
     span_doc, span_row, firsts, copy, key = fresh(docs, "doc", "row", "firsts", "copy", "key")
     # one row of spans for each text: bounded by the text's own sentences
     spans = later.groupBy(F.col("doc_id").alias(span_doc), F.col("row").alias(span_row)).agg(F.array_sort(F.collect_set("first")).alias(firsts))
