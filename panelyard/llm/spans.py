@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from panelyard.llm.shared import SECOND, fresh, mix, powers, row_key, staged, word_hashes
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 LEAST_SENTENCES, LEAST_WORDS, PIECE = 3, 15, 8
 
 
@@ -47,14 +46,13 @@ def _cut(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     stops = [m.end() for m in _CUT.finditer(text)]
     if text and (not stops or stops[-1] != len(text)):
         stops.append(len(text))
-    begins = [0, *stops[:-1]]
-    words: list[bytes] = []
-    upto = np.zeros(len(stops) + 1, np.int64)
-    for k, (a, b) in enumerate(zip(begins, stops, strict=False)):
-        words += text[a:b].encode("utf-8", "surrogatepass").lower().split()
-        upto[k + 1] = len(words)
-    h = word_hashes(words)
     ends = np.array(stops, np.int64)
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = (letters == 32) | ((letters >= 9) & (letters <= 13))
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(space) else np.zeros(0, np.int64)
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    upto = np.concatenate(([0], np.searchsorted(starts, ends)))
+    h = word_hashes(words)
     if np.diff(upto).max(initial=0) <= PIECE:
         return ends, upto[1:], words, h
     # where a sentence starts, it takes the place of the word with the least hash
@@ -62,12 +60,7 @@ def _cut(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     keyed[upto[:-1][upto[:-1] < len(words)]] = 0
     windows = np.lib.stride_tricks.sliding_window_view(keyed, PIECE)
     fresh = np.setdiff1d(windows.argmin(axis=1) + np.arange(len(windows)), upto)
-    inside = np.searchsorted(upto, fresh, side="right") - 1
-    places: list[int] = []
-    for k, n in zip(*np.unique(inside, return_counts=True), strict=True):
-        starts = [m.start() for m in _WORD.finditer(text, begins[k], stops[k])]
-        places += [starts[j] for j in (fresh[len(places) : len(places) + n] - upto[k]).tolist()]
-    return np.sort(np.concatenate((ends, np.array(places, np.int64)))), np.sort(np.concatenate((upto[1:], fresh))), words, h
+    return np.sort(np.concatenate((ends, starts[fresh]))), np.sort(np.concatenate((upto[1:], fresh))), words, h
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
