@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import mix, rolling, signed, staged
+from panelyard.llm.shared import mix, portions, rolling, signed, staged
 
 WIDTH, SHARE = 5, 0.8
 #: Bits of the filter of item windows, as a power of two: at least, at most (8 MB).
 LEAST_BITS, MOST_BITS = 16, 26
-#: Words whose code is remembered in a worker.
-MOST_REMEMBERED = 200_000
+#: A worker forgets the codes of words beyond so many, and looks up the words of about so many characters at once.
+MOST_REMEMBERED, PORTION = 400_000, 4_000_000
 
 # Unit words and signs.
 UNITS = frozenset(
@@ -49,50 +50,61 @@ _EDGE = "\"'“”‘’()[]{}<>.,;:!?*_"
 WORD_FOR_WORD = 0x9D5C3B1A7F2E4680
 NUM, NAME, UNIT = (xxhash.xxh3_64_intdigest(x) for x in (b"<num>", b"<name>", b"<unit>"))
 #: Bits of a word's code.
-IS_SLOT, IS_CAPITAL, ENDS = 1, 2, 4
+IS_NUM, IS_UNIT, IS_CAPITAL, ENDS = 1, 2, 4, 8
 
 
-class _Codes(dict):
-    """word -> number; for each number the token hash, the value hash and the bits."""
+class _Codes:
+    """What a worker remembers of words: for each a number, and by number the value hash and the bits."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.token: list[int] = []
-        self.value: list[int] = []
-        self.bits: list[int] = []
-
-    def __missing__(self, word: str) -> int:
-        bare = word.strip(_EDGE) or word
-        low = bare.lower()
-        value = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-        bits = ENDS if word.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":") else 0
-        token = value
-        if _NUMBER.fullmatch(bare) or low in _WORDS:
-            token, bits = NUM, bits | IS_SLOT
-        elif low in UNITS:
-            token, bits = UNIT, bits | IS_SLOT
-        elif bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()):
-            bits |= IS_CAPITAL
-        self.token.append(token)
-        self.value.append(value)
-        self.bits.append(bits)
-        self[word] = n = len(self.token) - 1
-        return n
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.token, np.uint64), np.array(self.value, np.uint64), np.array(self.bits, np.int8)
+        self.number: dict[str, int] = {}
+        self.value, self.bits = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+
+    def learn(self, words: set[str]) -> None:
+        """Number words that are new."""
+        number, digest = self.number, xxhash.xxh3_64_intdigest
+        value, bits = [], []
+        for word in words:
+            number[word] = len(number)
+            bare = word.strip(_EDGE)
+            # only what was stripped can end a sentence
+            b = 0 if bare == word else ENDS if word.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":") else 0
+            bare = bare or word
+            low = bare.lower()
+            first = bare[0]
+            if low in _WORDS or ((first.isdigit() or first in "+-$€£") and _NUMBER.fullmatch(bare)):
+                b |= IS_NUM
+            elif low in UNITS:
+                b |= IS_UNIT
+            elif first.isupper() and not (len(bare) > 1 and bare.isupper()):
+                b |= IS_CAPITAL
+            value.append(digest(low.encode("utf-8", "surrogatepass")))
+            bits.append(b)
+        self.value = np.concatenate((self.value, np.array(value, np.uint64)))
+        self.bits = np.concatenate((self.bits, np.array(bits, np.int8)))
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(value hashes, bits) of the words of some texts."""
+        self.learn(set(words).difference(self.number))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return self.value[at], self.bits[at]
 
 
 def canonical(texts: list[str | None], codes: _Codes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(token hashes, value hashes, is a slot) of each text."""
-    ids = [np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in ((t or "").split() for t in texts)]
-    token, value, bits = codes.arrays()
-    for i in ids:
-        b = bits[i] if len(i) else np.zeros(0, np.int8)
-        starts = np.ones(len(i), bool)
-        starts[1:] = (b[:-1] & ENDS) > 0
-        name = ((b & IS_CAPITAL) > 0) & ~starts
-        yield np.where(name, np.uint64(NAME), token[i] if len(i) else np.zeros(0, np.uint64)), value[i] if len(i) else np.zeros(0, np.uint64), name | ((b & IS_SLOT) > 0)
+    """(token hashes, value hashes, is a slot) of each text; all words of the texts are looked up together."""
+    words = [(t or "").split() for t in texts]
+    ends = np.cumsum([0, *map(len, words)])
+    value, bits = codes.of(list(chain.from_iterable(words)))
+    starts = np.ones(len(bits) + 1, bool)
+    starts[1:] = (bits & ENDS) > 0
+    starts[ends] = True
+    name = ((bits & IS_CAPITAL) > 0) & ~starts[:-1]
+    token = value.copy()
+    for mark, placeholder in ((bits & IS_NUM, NUM), (bits & IS_UNIT, UNIT), (name, NAME)):
+        token[mark > 0] = np.uint64(placeholder)
+    slot = name | ((bits & (IS_NUM | IS_UNIT)) > 0)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield token[a:b], value[a:b], slot[a:b]
 
 
 def keyed(token: np.ndarray, value: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
@@ -100,7 +112,8 @@ def keyed(token: np.ndarray, value: np.ndarray, slot: np.ndarray, width: int) ->
     h = rolling(token, width)
     slots = np.concatenate(([0], np.cumsum(slot)))
     bare = np.flatnonzero(slots[width:] - slots[:-width] == width) if len(h) else np.zeros(0, np.int64)
-    h[bare] = rolling(value, width)[bare] ^ np.uint64(WORD_FOR_WORD)
+    if len(bare):
+        h[bare] = rolling(value, width)[bare] ^ np.uint64(WORD_FOR_WORD)
     return h ^ np.uint64(width)
 
 
@@ -153,32 +166,34 @@ def _windows(width: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
+        wanted = None if shared is None else shared.value
         for batch in batches:
-            if len(codes) > MOST_REMEMBERED:
-                codes = _Codes()
-            wanted = None if shared is None else shared.value
-            at, pos, keys, length, slots, sizes = [], [], [], [], [], []
-            for k, (token, value, slot) in enumerate(canonical(batch.column(1).to_pylist(), codes)):
-                v = signed(mix(value))
-                for where, h, w in _found(token, value, slot, width, wanted):
-                    if not len(where):
-                        continue
-                    at.append(np.full(len(where), k))
-                    pos.append(where)
-                    keys.append(signed(h))
-                    length.append(np.full(len(where), len(token)))
-                    sizes.append(np.full(len(where), w))
-                    # words that are compared as they are need no slots
-                    slots += [v[p + np.flatnonzero(slot[p : p + w])] if w == width else v[:0] for p in where.tolist()]
-            if not at:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys)),
-                    pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())),
-                ],
-                ["owner", "pos", "window", "n_tokens", "width", "slots"],
-            )
+            owners, texts = batch.column(0), batch.column(1).to_pylist()
+            for part in portions(texts, PORTION):
+                if len(codes.number) > MOST_REMEMBERED:
+                    codes = _Codes()
+                at, pos, keys, length, slots, sizes = [], [], [], [], [], []
+                for k, (token, value, slot) in enumerate(canonical(texts[part], codes), part.start):
+                    for where, h, w in _found(token, value, slot, width, wanted):
+                        if not len(where):
+                            continue
+                        v = signed(mix(value))
+                        at.append(np.full(len(where), k))
+                        pos.append(where)
+                        keys.append(signed(h))
+                        length.append(np.full(len(where), len(token)))
+                        sizes.append(np.full(len(where), w))
+                        # words that are compared as they are need no slots
+                        slots += [v[p + np.flatnonzero(slot[p : p + w])] if w == width else v[:0] for p in where.tolist()]
+                if not at:
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        owners.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys)),
+                        pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())),
+                    ],
+                    ["owner", "pos", "window", "n_tokens", "width", "slots"],
+                )
 
     return run
 
