@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.windows import clip, full, past_z, ratio_to, rolling_mean, rolling_sum, rows_since, run_length
@@ -162,14 +162,19 @@ def published_index_lags(df: DataFrame, index: DataFrame, lags: Sequence[int] =
     return joined.withColumn("index_trend", F.col("index_lag0") - F.col("index_lag3"))
 
 
-def haversine_pairs(places: DataFrame, floor_km: float = 25.0) -> DataFrame:
+def haversine_pairs(places: DataFrame, floor_km: float = 25.0, blocks: int = 16) -> DataFrame:
     """(entity, other, km, weight = population of other / km^2) for ordered pairs of places, distances at least ``floor_km``.
 
-    ``places`` is a dimension; pairs are its square, so it must be small.
+    Pairs are the square of the places, by definition. Both sides are dealt into blocks and
+    each pair of blocks meets in a group of its own, so no side is broadcast or held whole.
     """
-    a = places.select("entity", F.radians("lat").alias("lat_a"), F.radians("lon").alias("lon_a"))
-    b = places.select(F.col("entity").alias("other"), F.radians("lat").alias("lat_b"), F.radians("lon").alias("lon_b"), F.col("population").alias("pop_b"))
-    pairs = a.join(F.broadcast(b), F.col("entity") != F.col("other"))
+    def block(key: str, name: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name)
+
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    a = places.select("entity", F.radians("lat").alias("lat_a"), F.radians("lon").alias("lon_a"), block("entity", "_a"), F.explode(every).alias("_b"))
+    b = places.select(F.col("entity").alias("other"), F.radians("lat").alias("lat_b"), F.radians("lon").alias("lon_b"), F.col("population").alias("pop_b"), block("entity", "_b"), F.explode(every).alias("_a"))
+    pairs = a.join(b.hint("merge"), ["_a", "_b"]).where("entity <> other")
     h = F.pow(F.sin((F.col("lat_b") - F.col("lat_a")) / 2), 2) + F.cos("lat_a") * F.cos("lat_b") * F.pow(F.sin((F.col("lon_b") - F.col("lon_a")) / 2), 2)
     km = F.greatest(2 * 6371.0 * F.asin(F.sqrt(h)), F.lit(floor_km))
     return pairs.select("entity", "other", km.alias("km"), (F.col("pop_b") / (km * km)).alias("weight"))
