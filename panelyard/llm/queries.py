@@ -77,11 +77,30 @@ def op10_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.transducer import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.infill import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity_severity, op2_quality_machine, op3_minhash_near_dedup, op4_mix_sources, op5_repeated_spans,
         op6_html_main_text, op7_context_tree_score, op8_suffix_dedup, op9_template_decontamination, op10_bloom_fingerprints,
+        op11_simhash_near_dedup, op12_filter_interaction_audit, op13_fill_in_middle,
     )
 }
 
@@ -107,5 +126,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source, class, chance > 0 A
 done AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN chance = 1 OR (chance > 0 AND place <= draws) THEN 1 ELSE 0 END ELSE 0 END::BIGINT copies FROM ranked)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT taken, copies, chance FROM done"""
 
-#: SQL for the one operator that it can express at a bearable price; the others have brute-force tests.
-ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL}
+AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 100)::INT a, (100 * len(list_distinct(w)) < 80 * len(w))::INT b, (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT c,
+    regexp_matches(t, '[#$%&*|]')::INT d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT e FROM d),
+said AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) good, max(coalesce(toxic = 1, false)::INT) toxic FROM labels GROUP BY 1),
+cells AS (SELECT part, [a, b, c, d, e] fails, a + b + c + d + e k, count(*) n, coalesce(sum(good), 0) ng, coalesce(sum(toxic), 0) nt FROM f LEFT JOIN said USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) x, unnest([1, 2, 3, 4, 5]) i),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x filter_order, [p.i, q.i, r.i, s.i, t.i] ids FROM letter p, letter q, letter r, letter s, letter t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS "filter", ids[step] own, ids[1:step - 1] before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) step)),
+seen AS (SELECT *, fails[own] = 1 bad, len(list_filter(before, lambda i: fails[i] = 1)) > 0 gone FROM cells, steps)
+SELECT part, filter_order, step::INTEGER step, "filter", coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0)::BIGINT kept, coalesce(sum(n) FILTER (bad AND NOT gone), 0)::BIGINT removed, coalesce(sum(n) FILTER (bad AND gone), 0)::BIGINT redundant,
+    coalesce(sum(n) FILTER (bad AND k = 1), 0)::BIGINT unique_fails, coalesce(sum(ng) FILTER (bad AND NOT gone), 0)::BIGINT good_lost, coalesce(sum(nt) FILTER (bad AND NOT gone), 0)::BIGINT toxic_lost,
+    (SELECT coalesce(sum(n), 0) FROM seen z WHERE z.part = seen.part AND z.own = seen.own AND z.bad AND NOT z.gone)::BIGINT shapley
+FROM seen GROUP BY part, filter_order, step, "filter", own"""
+
+INFILL_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) h FROM documents),
+g AS (SELECT *, len(u) n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) y, ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 OR t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') plain, ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 spm FROM d),
+s AS (SELECT *, coalesce(array_to_string(u[1:least(x, y)], ''), '') prefix, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') middle, coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') suffix FROM g)
+SELECT doc_id, n::BIGINT n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END form, CASE WHEN NOT plain THEN length(prefix) END::BIGINT prefix_chars, CASE WHEN NOT plain THEN length(middle) END::BIGINT middle_chars,
+    sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) output_sha256, sha256(t) restored_sha256 FROM s"""
+
+#: SQL for the operators that it can express at a bearable price; the others have brute-force tests.
+ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL, "op12_filter_interaction_audit": AUDIT_SQL, "op13_fill_in_middle": INFILL_SQL}
