@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.blocks import weighted_sums
+from panelyard.functions.streams import past_quantile
 from panelyard.functions.windows import clip, full, past_z, ratio_to, rolling_mean, rolling_sum, rows_since, run_length
 from panelyard.spec import DEFAULT, PanelSpec, at_least
 
@@ -91,8 +93,8 @@ def long_memory(df: DataFrame, column: str, spec: PanelSpec = DEFAULT) -> DataFr
 
 
 def expanding_quantile(df: DataFrame, column: str, share: float = 0.25, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Quantile of all earlier rows of the entity, by linear interpolation."""
-    return df.withColumn(f"{column}_past_q", F.percentile(column, F.lit(share)).over(spec.past()))
+    """Quantile of all earlier rows of the entity, by linear interpolation; every row costs the logarithm of its history."""
+    return past_quantile(df, [spec.entity], [spec.week], column, share, f"{column}_past_q")
 
 
 def dry_spell_run(df: DataFrame, column: str, wet: str, spec: PanelSpec = DEFAULT, cap: int = 52) -> DataFrame:
@@ -141,11 +143,11 @@ def national_phase(df: DataFrame, spec: PanelSpec = DEFAULT, start: int = 260) -
     by = df.groupBy(spec.week).agg((F.sum(spec.count) / F.greatest(F.sum(spec.population), F.lit(1)) * 1e5).alias("nat_inc"), F.avg("hot").alias("nat_share_hot"))
     w = Window.orderBy(spec.week)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    surged = by.withColumns({
-        "nat_z": past_z(F.col("nat_inc"), past, F.stddev_samp("nat_inc"), 1e-9, 2),
-        "_surge": F.coalesce(F.col("nat_inc") >= F.percentile("nat_inc", F.lit(0.75)).over(past), F.lit(False)),
+    cut = past_quantile(by, [], [spec.week], "nat_inc", 0.75, "_cut")
+    surged = cut.withColumns({
+        "nat_z": past_z(F.col("nat_inc"), past, F.stddev_samp("nat_inc"), 1e-9, 2), "_surge": F.coalesce(F.col("nat_inc") >= F.col("_cut"), F.lit(False)),
     })
-    return surged.withColumn("weeks_since_surge", rows_since(F.col("_surge"), w, start, start)).drop("_surge")
+    return surged.withColumn("weeks_since_surge", rows_since(F.col("_surge"), w, start, start)).drop("_surge", "_cut")
 
 
 def published_index_lags(df: DataFrame, index: DataFrame, lags: Sequence[int] = (0, 2, 3, 6, 9, 12), delay: int = 1, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -162,12 +164,19 @@ def published_index_lags(df: DataFrame, index: DataFrame, lags: Sequence[int] =
     return joined.withColumn("index_trend", F.col("index_lag0") - F.col("index_lag3"))
 
 
-def haversine_pairs(places: DataFrame, floor_km: float = 25.0, blocks: int = 16) -> DataFrame:
+#: Places of one block in ``haversine_pairs``.
+PLACES = 256
+
+
+def haversine_pairs(places: DataFrame, floor_km: float = 25.0, blocks: int | None = None) -> DataFrame:
     """(entity, other, km, weight = population of other / km^2) for ordered pairs of places, distances at least ``floor_km``.
 
-    Pairs are the square of the places, by definition. Both sides are dealt into blocks and
-    each pair of blocks meets in a group of its own, so no side is broadcast or held whole.
+    Pairs are the square of the places, by definition. Both sides are dealt into blocks of
+    about ``PLACES`` and each pair of blocks meets in a group of its own, so no side is
+    broadcast or held whole, and groups stay as large however many places there are.
     """
+    blocks = blocks or max(1, -(-places.count() // PLACES))
+
     def block(key: str, name: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name)
 
@@ -181,9 +190,10 @@ def haversine_pairs(places: DataFrame, floor_km: float = 25.0, blocks: int = 16)
 
 
 def force(df: DataFrame, pairs: DataFrame, name: str, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Weighted rate of other places in the same week, over rows of ``df``: (entity, week, force)."""
-    rows = df.select(F.col(spec.entity).alias("other"), spec.week, F.col(spec.rate).alias("_rate"))
-    return rows.join(pairs.select("entity", "other", "weight"), "other").groupBy("entity", spec.week).agg((F.sum(F.col("weight") * F.col("_rate")) / 1e6).alias(name))
+    """Weighted rate of other places in the same week, over rows of ``df``: (entity, week, force); 0 where nothing pushes."""
+    rates = df.select(F.col(spec.entity).alias("other"), F.col(spec.week).alias("at"), F.col(spec.rate).alias("value"))
+    pushed = weighted_sums(pairs.select(F.col("entity").alias("row"), "other", "weight"), rates)
+    return pushed.select(F.col("row").alias(spec.entity), F.col("at").alias(spec.week), (F.col("total") / 1e6).alias(name))
 
 
 def importation_force(df: DataFrame, pairs: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -192,8 +202,8 @@ def importation_force(df: DataFrame, pairs: DataFrame, spec: PanelSpec = DEFAULT
     Entities that have no pair get null; a week without hot places elsewhere has 0.
     """
     pushed = force(df.where("hot = 1"), pairs, "import_force", spec)
-    known = pairs.select("entity").distinct().withColumn("_known", F.lit(True))
-    joined = df.join(pushed, [spec.entity, spec.week], "left").join(known, spec.entity, "left")
+    known = pairs.select(F.col("entity").alias(spec.entity)).distinct().withColumn("_known", F.lit(True))
+    joined = df.join(pushed.hint("merge"), [spec.entity, spec.week], "left").join(known.hint("merge"), spec.entity, "left")
     filled = joined.withColumn("import_force", F.when(F.col("_known"), F.coalesce("import_force", F.lit(0.0)))).drop("_known")
     return filled.withColumns({"import_lag2": F.lag("import_force", 2).over(spec.w), "import_roll4": rolling_mean(F.col("import_force"), spec.w, 4)})
 
@@ -201,7 +211,7 @@ def importation_force(df: DataFrame, pairs: DataFrame, spec: PanelSpec = DEFAULT
 def hub_force(df: DataFrame, pairs: DataFrame, hubs: Sequence[int], spec: PanelSpec = DEFAULT) -> DataFrame:
     """Pressure from hub places, hot or not."""
     pushed = force(df.where(F.col(spec.entity).isin(list(hubs))), pairs, "hub_force", spec)
-    return df.join(pushed, [spec.entity, spec.week], "left").withColumn("hub_force", F.coalesce("hub_force", F.lit(0.0)))
+    return df.join(pushed.hint("merge"), [spec.entity, spec.week], "left").withColumn("hub_force", F.coalesce("hub_force", F.lit(0.0)))
 
 
 def pivot_panel(df: DataFrame, entities: Sequence[int], column: str, spec: PanelSpec = DEFAULT) -> DataFrame:

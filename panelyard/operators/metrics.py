@@ -1,4 +1,4 @@
-"""Metrics, thresholds and bootstrap.
+"""Metrics and thresholds.
 
 Score curves are sums over distinct scores, then running sums; keys (fold, arm,
 draw, feature) and ranges of scores partition them.
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.functions.scans import quantiles, running
+from panelyard.functions.scans import quantiles, quantiles_by, running
 
 
 def share(top: Column, bottom: Column, otherwise: float | None = 0.0) -> Column:
@@ -153,6 +153,7 @@ def threshold_for_budget(df: DataFrame, budgets: Sequence[float], week: str, p:
     asked = asked.withColumn("k", F.greatest(F.bround(F.col("per_week") * F.greatest("n_weeks", F.lit(1))).cast("long"), F.lit(1).cast("long")))
     by = df.groupBy(F.col(p).alias("score")).agg(F.count("*").alias("all"))
     down = running(by, [], "score", {"upto": F.col("all")}, descending=True)
+    # asked: a row for each budget
     found = down.join(F.broadcast(asked), F.col("upto") >= F.col("k")).groupBy("per_week", "k", "n", "low").agg(F.max("score").alias("kth"))
     return asked.join(F.broadcast(found.select("per_week", "kth")), "per_week", "left").select("per_week", "k", F.when(F.col("k") >= F.col("n"), F.col("low")).otherwise(F.col("kth")).alias("threshold"))
 
@@ -204,64 +205,6 @@ def cheapest_policy(policies: DataFrame, target: float = 0.9) -> DataFrame:
     return best.select("policy", "b.setting", "b.recall", "b.precision", "b.alerts_per_week")
 
 
-def cluster_draws(df: DataFrame, cluster: str, draws: int) -> DataFrame:
-    """(draw, cluster, times): clusters drawn with replacement by an md5 of draw and place."""
-    from panelyard.operators.splits import hash_number
-
-    # one array of the clusters, a dimension; the draws are spread over tasks
-    members = df.select(cluster).distinct().agg(F.array_sort(F.collect_set(cluster)).alias("all"))
-    spread = df.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"))
-    rows = spread.crossJoin(F.broadcast(members)).select("all", "draw", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("pos"))
-    return rows.select("draw", F.element_at("all", (hash_number(F.col("draw"), F.col("pos")) % F.size("all") + 1).cast("int")).alias(cluster)).groupBy("draw", cluster).agg(F.count("*").alias("times"))
-
-
-def paired_fold_bootstrap(deltas: DataFrame, draws: int) -> DataFrame:
-    """Mean of per-fold deltas with the 2.5 and 97.5 percentiles over resampled folds: (fold, delta)."""
-    drawn = cluster_draws(deltas, "fold", draws).join(F.broadcast(deltas), "fold").groupBy("draw").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("m"))
-    ci = drawn.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
-    return deltas.agg(F.avg("delta").alias("delta"), F.count("*").alias("n_folds")).crossJoin(ci)
-
-
-def cluster_bootstrap_ci(df: DataFrame, cluster: str, draws: int, y: str = "y", p: str = "p") -> DataFrame:
-    """Average precision with its interval over resampled clusters; draws with one class are left out."""
-    # rows of one cluster and score are added up before the draws multiply them
-    added = df.groupBy(cluster, y, p).agg(F.count("*").alias("_rows"))
-    weighted = added.join(F.broadcast(cluster_draws(df, cluster, draws)), cluster).withColumn("times", F.col("times") * F.col("_rows"))
-    both = weighted.groupBy("draw").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("draw")
-    ap = average_precision(weighted, ["draw"], y, p, F.col("times")).join(both, "draw")
-    ci = ap.agg(F.percentile("ap", F.lit(0.025)).alias("ci_low"), F.percentile("ap", F.lit(0.975)).alias("ci_high"), F.count("*").alias("n_draws"))
-    own = average_precision(df.withColumn("_one", F.lit(1)), ["_one"], y, p).select("ap")
-    return own.crossJoin(ci)
-
-
-def verdict(low: Column, high: Column) -> Column:
-    return F.when(low > 0, "SHIP").when(high < 0, "REGRESSION").otherwise("noise")
-
-
-def cluster_bootstrap_compare(df: DataFrame, cluster: str, draws: int, base: str, candidate: str, y: str = "y") -> DataFrame:
-    """Difference in average precision of two scores with its interval over clusters, and the verdict."""
-    # rows of one cluster and pair of scores are added up before arms and draws multiply them
-    added = df.groupBy(cluster, y, base, candidate).agg(F.count("*").alias("_rows"))
-    arms = added.select(cluster, y, "_rows", F.explode(F.array(F.struct(F.lit("base").alias("arm"), F.col(base).alias("p")), F.struct(F.lit("cand").alias("arm"), F.col(candidate).alias("p")))).alias("a")).select(cluster, y, "_rows", "a.arm", "a.p")
-    weighted = arms.join(F.broadcast(cluster_draws(df, cluster, draws)), cluster).withColumn("times", F.col("times") * F.col("_rows"))
-    both = weighted.groupBy("draw").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("draw")
-    ap = average_precision(weighted, ["draw", "arm"], y, "p", F.col("times")).join(both, "draw")
-    gap = lambda: F.max(F.when(F.col("arm") == "cand", F.col("ap"))) - F.max(F.when(F.col("arm") == "base", F.col("ap")))
-    ci = ap.groupBy("draw").agg(gap().alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high"))
-    own = average_precision(arms, ["arm"], y, "p", F.col("_rows")).agg(gap().alias("delta"))
-    n = df.agg(F.countDistinct(cluster).alias("n_folds"))
-    return own.crossJoin(ci).crossJoin(n).withColumns({"unit": F.lit("districts"), "verdict": verdict(F.col("ci_low"), F.col("ci_high"))})
-
-
-def ship_rule(by_fold: DataFrame, by_cluster: DataFrame) -> DataFrame:
-    """Ship only if both intervals lie above 0."""
-    a = by_fold.select(F.col("delta").alias("fold_delta"), F.col("ci_low").alias("fold_low"), F.col("ci_high").alias("fold_high"))
-    b = by_cluster.select(F.col("delta").alias("cluster_delta"), F.col("ci_low").alias("cluster_low"), F.col("ci_high").alias("cluster_high"))
-    helps = lambda k: F.col(f"{k}_low") > 0
-    sure = lambda k: (F.col(f"{k}_low") > 0) | (F.col(f"{k}_high") < 0)
-    return a.crossJoin(b).withColumns({"fold_significant": sure("fold"), "cluster_significant": sure("cluster"), "ship": helps("fold") & helps("cluster")})
-
-
 def strata(df: DataFrame, buckets: dict[str, Column], flag: Column, y: str = "y") -> DataFrame:
     """n, positives, recall, precision, misses and false alarms for each stratum and bucket."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("stratum"), b.cast("string").alias("bucket")) for k, b in buckets.items())))
@@ -287,7 +230,7 @@ def single_feature_auc(df: DataFrame, columns: Sequence[str], y: str = "y", leas
     """AUC of each column either way round; columns with few rows or one class are left out."""
     rows = melted(df, columns, y)
     enough = rows.groupBy("feature").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).where(f"n >= {least} and lo < hi").select("feature", "n")
-    auc = roc_auc(rows, ["feature"], "y", "value").join(enough, "feature")
+    auc = roc_auc(rows, ["feature"], "y", "value").join(enough.hint("merge"), "feature")
     return auc.select("feature", "n", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("auc"))
 
 
@@ -308,17 +251,28 @@ def dataset_audit(df: DataFrame, columns: Sequence[str], y: str = "y", alarm: fl
     return leaky.crossJoin(apart).withColumn("verdict", F.when((F.col("leaky") == "") & (F.col("disjoint") == ""), "PASS").otherwise("REJECT"))
 
 
+def quantile_row(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """One row with the exact quantiles of each column, an array each; all columns in one pass."""
+    q = quantiles_by(melted(df.withColumn("_y", F.lit(0)), columns, "_y"), ["feature"], "value", shares)
+    return q.agg(*(F.max(F.when(F.col("feature") == c, F.col("q"))).alias(c) for c in columns))
+
+
 def population_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    out = None
-    for c in columns:
-        one = quantiles(df, c, [0.5]).select(F.get("q", F.lit(0)).alias(c))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    return quantile_row(df, columns, [0.5]).select(*(F.get(c, F.lit(0)).alias(c) for c in columns))
 
 
 def rank_average(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Mean of two scores' ranks, ties at their average rank, within each key."""
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
+    """Mean of two scores' ranks, ties at their average rank, within each key; a null ranks first.
 
-    return df.withColumn("rank_mean", (mean_rank(a) + mean_rank(b)) / 2)
+    Ranks come from counts by distinct score, joined back; no task sees a whole key.
+    """
+    def with_rank(rows: DataFrame, c: str, name: str) -> DataFrame:
+        by = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+        ran = running(by, keys, c, {"_upto": F.col("_n")}).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(c).alias("_at"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+        met = F.col(c).eqNullSafe(F.col("_at"))
+        for i, k in enumerate(keys):
+            met &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return rows.join(ran.hint("merge"), met).drop("_at", *(f"_k{i}" for i in range(len(keys))))
+
+    ranked = with_rank(with_rank(df, a, "_rank_a"), b, "_rank_b")
+    return ranked.withColumn("rank_mean", (F.col("_rank_a") + F.col("_rank_b")) / 2).drop("_rank_a", "_rank_b")

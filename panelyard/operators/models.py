@@ -7,15 +7,14 @@ scoring is a Spark job over all rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +40,10 @@ def weighted(df: DataFrame, y: str = "y") -> DataFrame:
     return df.crossJoin(F.broadcast(ratio)).withColumn("_weight", F.when(F.col(y) == 1, F.col("_r")).otherwise(1.0)).drop("_r")
 
 
-def boosted(columns: Sequence[str], seed: int, y: str = "y") -> Pipeline:
-    model = GBTClassifier(labelCol=y, weightCol="_weight", maxIter=ROUNDS, maxDepth=DEPTH, subsamplingRate=0.85, seed=seed)
-    return Pipeline(stages=[*prepared(columns), model])
+def boosted(columns: Sequence[str], seed: int, y: str = "y", params: dict | None = None) -> Pipeline:
+    """Boosted trees; ``params`` override those of the classifier by their Spark names."""
+    own = {"maxIter": ROUNDS, "maxDepth": DEPTH, "subsamplingRate": 0.85} | (params or {})
+    return Pipeline(stages=[*prepared(columns), GBTClassifier(labelCol=y, weightCol="_weight", seed=seed, **own)])
 
 
 def probability(scored: DataFrame, name: str = "p") -> DataFrame:
@@ -52,10 +52,10 @@ def probability(scored: DataFrame, name: str = "p") -> DataFrame:
     return out.select(*(c for c in out.columns if not c.startswith("_f_")))
 
 
-def seed_ensemble(train: DataFrame, columns: Sequence[str], seeds: Sequence[int], y: str = "y") -> list[PipelineModel]:
+def seed_ensemble(train: DataFrame, columns: Sequence[str], seeds: Sequence[int], y: str = "y", params: dict | None = None) -> list[PipelineModel]:
     """Boosted trees that differ by seed."""
     rows = weighted(train, y)
-    return [boosted(columns, s, y).fit(rows) for s in seeds]
+    return [boosted(columns, s, y, params).fit(rows) for s in seeds]
 
 
 def ensemble_score(models: Sequence[PipelineModel], df: DataFrame, name: str = "p") -> DataFrame:
@@ -122,17 +122,6 @@ def screening_models(train: DataFrame, rows: DataFrame, columns: Sequence[str],
     return stack([probability(m.fit(weighted(train)).transform(rows)).withColumn("model", F.lit(name)) for name, m in models.items()])
 
 
-def nested_cv(df: DataFrame, columns: Sequence[str], outer: Sequence[int], fold: str = "fold", inner: int = 2) -> DataFrame:
-    """Out-of-fold scores; each outer fold picks its regularisation by cross-validation on its own training rows."""
-    parts = []
-    for k in outer:
-        model = LogisticRegression(labelCol="y", maxIter=15)
-        grid = ParamGridBuilder().addGrid(model.regParam, [0.001, 0.1]).build()
-        search = CrossValidator(estimator=Pipeline(stages=[*prepared(columns), model]), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=inner, seed=7, parallelism=2)
-        parts.append(probability(search.fit(df.where(F.col(fold) != k).withColumn("y", F.col("y").cast("double"))).transform(df.where(F.col(fold) == k))))
-    return stack(parts)
-
-
 def sigmoid_calibration(train: DataFrame, rows: DataFrame, least: int = 8, y: str = "y", p: str = "p") -> DataFrame:
     """``q``: Platt scaling of the logit, or the score itself if the smaller class has too few rows."""
     few = train.agg(F.least(F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).alias("n")).first()["n"]
@@ -176,13 +165,38 @@ def transfer_eval(source: DataFrame, local: DataFrame, target: DataFrame, column
     return stack(parts)
 
 
-def candidate_search(df: DataFrame, arms: dict[str, Sequence[str]], folds: Sequence[int], keep: Sequence[str], baseline: str, year: str = "yr") -> DataFrame:
-    """(arm, fold, keep.., y, p): out-of-fold scores of each arm's features, the baseline as an arm of its own."""
-    parts = [oof_predictions(df, columns, folds, (1,), year).select(F.lit(a).alias("arm"), "fold", *keep, "y", "p") for a, columns in arms.items()]
+@dataclass(frozen=True)
+class Arm:
+    """A candidate: its features, parameters that override those of the classifier, and seeds of its ensemble."""
+
+    columns: Sequence[str]
+    params: dict = field(default_factory=dict)
+    seeds: Sequence[int] = (1,)
+
+
+def candidate_search(df: DataFrame, arms: dict[str, Arm | Sequence[str]], folds: Sequence[int], keep: Sequence[str], baseline: str, year: str = "yr") -> DataFrame:
+    """(arm, fold, keep.., y, p): out-of-fold scores of each arm, the baseline as an arm of its own.
+
+    Arms may differ by features, by parameters or by both; a bare list of columns has the default parameters.
+    """
+    parts = []
+    for name, arm in arms.items():
+        arm = arm if isinstance(arm, Arm) else Arm(arm)
+        fit = lambda train, columns, seeds, params=arm.params: seed_ensemble(train, columns, seeds, params=params)
+        parts.append(oof_predictions(df, arm.columns, folds, arm.seeds, year, fit).select(F.lit(name).alias("arm"), "fold", *keep, "y", "p"))
     base = df.where(F.col(year).isin(list(folds))).select(F.lit("baseline").alias("arm"), F.col(year).cast("int").alias("fold"), *keep, "y", F.col(baseline).cast("double").alias("p"))
     return stack([*parts, base])
 
 
+def arm_table(long: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """(arm, fold, ap, gain over the baseline arm of the fold); fold -1 holds all folds pooled."""
+    pooled = long.withColumn("fold", F.explode(F.array("fold", F.lit(-1))))
+    ap = average_precision(pooled, ["arm", "fold"])
+    base = ap.where(F.col("arm") == baseline).select("fold", F.col("ap").alias("_base"))
+    # a row for each fold
+    return ap.join(F.broadcast(base), "fold", "left").select("arm", "fold", "ap", (F.col("ap") - F.col("_base")).alias("gain"))
+
+
 def with_risk(df: DataFrame, models: Sequence[PipelineModel], name: str, where: Column | None = None) -> DataFrame:
     """A model's risk as a column; null on rows that the model is not asked about."""
     scored = ensemble_score(models, df, name)

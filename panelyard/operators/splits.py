@@ -44,7 +44,7 @@ def scores_by(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p") ->
     """n, positives, prevalence, average precision and ROC AUC for each group."""
     base = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("positives"), F.avg(y).alias("prevalence"))
     ap, auc = average_precision(df, keys, y, p), roc_auc(df, keys, y, p)
-    return base.join(ap, list(keys), "left").join(auc, list(keys), "left")
+    return base.join(ap.hint("merge"), list(keys), "left").join(auc.hint("merge"), list(keys), "left")
 
 
 def horizon_sweep(df: DataFrame, horizons: Sequence[int], p: str = "inc", spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -67,13 +67,10 @@ def threshold_sweep(df: DataFrame, thresholds: DataFrame, horizon: int, p: str =
 
 def shuffled_labels(df: DataFrame, seeds: int, keys: Sequence[str], y: str = "y") -> DataFrame:
     """(seed, p, y): labels permuted by pairing the order of a hash with the order of the keys."""
-    seed = F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")
-    rows = df.select(*keys, y, "p", seed)
-    hashed = rows.withColumn("_h", hash_number(F.col("seed"), *(F.col(k) for k in keys)))
-    number = {"_n": F.lit(1)}
-    left = running(rows, ["seed"], keys[0], number, order=[F.col(k) for k in keys[1:]]).select("seed", "p", "_n")
-    right = running(hashed, ["seed"], "_h", number, order=[F.col(k) for k in keys]).select("seed", F.col(y).alias("y"), "_n")
-    return left.join(right.hint("merge"), ["seed", "_n"]).drop("_n")
+    from panelyard.operators.refits import permuted
+
+    numbered, labels = permuted(df.select(*keys, y, "p"), seeds, keys, y)
+    return labels.join(numbered.select("_n", "p").hint("merge"), "_n").select("seed", "p", "y")
 
 
 def permutation_null(df: DataFrame, seeds: int, keys: Sequence[str], y: str = "y") -> DataFrame:

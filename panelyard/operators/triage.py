@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.scans import running
 from panelyard.operators.metrics import average_precision, roc_auc, share
 
 # Names of bands and of triage groups in their order of display.
@@ -66,9 +67,8 @@ def entity_history_tail(df: DataFrame, n: int, entity: str = "entity", week: str
 
 
 def triage_board(assessed: DataFrame, entity: str = "entity") -> DataFrame:
-    """Rows of each group by headline risk, with place in and size of the group."""
-    line = Window.partitionBy("triage").orderBy(F.desc_nulls_last("headline_risk"), entity)
-    return assessed.withColumns({"place": F.row_number().over(line), "group_size": F.count("*").over(Window.partitionBy("triage"))})
+    """Rows of each group by headline risk, with place in and size of the group; a group is dealt out in ranges."""
+    return running(assessed, ["triage"], "headline_risk", {"place": F.lit(1)}, order=[F.col(entity)], descending=True, totals={"place": "group_size"})
 
 
 def case_area_advice(patients: DataFrame, areas: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -91,7 +91,7 @@ def arms(df: DataFrame, scores: dict[str, str], keys: Sequence[str] = ()) -> Dat
 def model_leaderboard(df: DataFrame, scores: dict[str, str], baseline: str) -> DataFrame:
     """Average precision and ROC AUC of each score, the baseline's on the same rows, and the lift over it."""
     long = arms(df, scores)
-    table = average_precision(long, ["arm"]).join(roc_auc(long, ["arm"]), "arm")
+    table = average_precision(long, ["arm"]).join(F.broadcast(roc_auc(long, ["arm"])), "arm")  # a row for each arm
     base = table.where(F.col("arm") == baseline).select(F.col("ap").alias("baseline_ap"))
     return table.crossJoin(F.broadcast(base)).withColumns({"lift": share(F.col("ap"), F.col("baseline_ap"), None), "rank": F.row_number().over(Window.orderBy(F.desc("ap"), "arm"))})
 
@@ -128,7 +128,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
         each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.round(F.col(c).cast("double"), decimals).alias("v")) for c in columns)))
         return df.select(*keys, each.alias("c")).select(*keys, "c.column", F.col("c.v").alias(name), F.lit(True).alias(f"in_{name}"))
 
-    both = cells(left, "left_value").join(cells(right, "right_value"), [*keys, "column"], "full")
+    both = cells(left, "left_value").join(cells(right, "right_value").hint("merge"), [*keys, "column"], "full")
     kind = F.when(F.col("in_right_value").isNull(), "only_left").when(F.col("in_left_value").isNull(), "only_right").when(~F.col("left_value").eqNullSafe(F.col("right_value")), "changed")
     return both.withColumn("kind", kind).where("kind is not null").drop("in_left_value", "in_right_value")
 

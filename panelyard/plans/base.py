@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.functions.scans import running
+from panelyard.functions.scans import running, written
 from panelyard.operators import features, labels
 from panelyard.plans.fixtures import CTE, hot_panel
 
@@ -77,8 +77,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.plans.fixtures import meta
 
+    # written, since most queries read these rows several times
     rows = labelled(spark, sf_dir).where("eligible and y is not null").join(F.broadcast(meta(spark, sf_dir).select("entity", "n_regionkey")), "entity")
-    return rows.select("entity", "week_start", "yr", "cases", "inc", "population", "area", "n_regionkey", "a_sum", "thr", "y", "p1", "p2", "p3", "weeks_to_crossing")
+    return written(rows.select("entity", "week_start", "yr", "cases", "inc", "population", "area", "n_regionkey", "a_sum", "thr", "y", "p1", "p2", "p3", "weeks_to_crossing"))
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.functions.scans import quantiles
+from panelyard.functions.scans import quantiles, written
 
 THRESHOLD_SHARE = 0.85
 
@@ -72,7 +72,8 @@ def with_threshold(df: DataFrame, share: float = THRESHOLD_SHARE, rate: str = "i
 def hot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.spec import at_least
 
-    return with_threshold(panel(spark, sf_dir)).withColumn("hot", at_least(F.col("inc"), F.col("thr")).cast("int"))
+    # written: read once for the threshold and once for the rows
+    return with_threshold(written(panel(spark, sf_dir))).withColumn("hot", at_least(F.col("inc"), F.col("thr")).cast("int"))
 
 
 def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:

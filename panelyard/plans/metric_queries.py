@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.functions import scans
+from panelyard.operators import bootstrap as B
 from panelyard.operators import metrics as M
 from panelyard.operators import splits as S
 from panelyard.plans import fixtures as fx
@@ -13,7 +13,7 @@ from panelyard.plans.base import LAB, SCALED, query, scaled, scored
 from panelyard.plans.feature_queries import W, contaminated_lags
 
 SC = LAB + SCALED
-DRAWS = 60
+FOLD_DRAWS, DRAWS = B.FOLD_DRAWS, B.CLUSTER_DRAWS
 
 
 def one(df):
@@ -89,7 +89,7 @@ ARMS = """, arms AS (SELECT entity, yr, y, 'base' arm, p1 p FROM scored UNION AL
 FOLD_DELTA = ARMS + f""", fold_ap AS (SELECT * FROM {auc_sql('arms', 'yr, arm')}),
 deltas AS (SELECT yr fold, max(CASE WHEN arm = 'cand' THEN ap END) - max(CASE WHEN arm = 'base' THEN ap END) delta FROM fold_ap GROUP BY 1),
 fold_boot AS (SELECT (SELECT avg(delta) FROM deltas) delta, (SELECT count(*) FROM deltas) n_folds, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high
-  FROM (SELECT draw, sum(times * delta) / sum(times) m FROM {draws_sql('deltas', 'fold', DRAWS)} JOIN deltas USING (fold) GROUP BY 1))
+  FROM (SELECT draw, sum(times * delta) / sum(times) m FROM {draws_sql('deltas', 'fold', FOLD_DRAWS)} JOIN deltas USING (fold) GROUP BY 1))
 """
 CLUSTER = ARMS + f""", weighted AS (SELECT a.*, draw, times FROM arms a JOIN {draws_sql('scored', 'entity', DRAWS)} d USING (entity)),
 both_classes AS (SELECT draw FROM weighted GROUP BY 1 HAVING min(y) < max(y)),
@@ -100,19 +100,43 @@ cluster_boot AS (SELECT (SELECT max(CASE WHEN arm = 'cand' THEN ap END) - max(CA
 """
 
 
-def fold_scores(spark, sf):
+def scores_of(rows):
     from panelyard.operators.triage import arms
 
-    return M.average_precision(arms(scored(spark, sf), {"base": "p1", "cand": "p3"}, ["yr"]), ["yr", "arm"])
+    return M.average_precision(arms(rows, {"base": "p1", "cand": "p3"}, ["yr"]), ["yr", "arm"])
 
 
-def fold_deltas(spark, sf):
+def fold_scores(spark, sf):
+    return scores_of(scored(spark, sf))
+
+
+def deltas_of(rows):
     gap = F.max(F.when(F.col("arm") == "cand", F.col("ap"))) - F.max(F.when(F.col("arm") == "base", F.col("ap")))
-    return fold_scores(spark, sf).groupBy(F.col("yr").alias("fold")).agg(gap.alias("delta"))
+    return scores_of(rows).groupBy(F.col("yr").alias("fold")).agg(gap.alias("delta"))
+
+
+def fold_deltas(spark, sf):
+    return deltas_of(scored(spark, sf))
 
 
 def ships(spark, sf):
-    return M.ship_rule(M.paired_fold_bootstrap(fold_deltas(spark, sf), DRAWS), M.cluster_bootstrap_compare(scored(spark, sf), "entity", DRAWS, "p1", "p3"))
+    rows = scored(spark, sf)
+    return B.ship_rule(B.paired_fold_bootstrap(deltas_of(rows), FOLD_DRAWS), B.cluster_bootstrap_compare(rows, "entity", DRAWS, "p1", "p3"))
+
+
+def both_forms(spark, sf):
+    rows = p3(spark, sf)
+    return M.average_precision(rows, ["yr"]).join(M.rank_average_precision(rows, ["yr"], [F.col("entity"), F.col("week_start")]), "yr")
+
+
+def yearly(rows):
+    return M.confusion_at_threshold(rows, F.col("thr") / 2, ["yr"]).join(S.scores_by(rows, ["yr"]).drop("n"), "yr")
+
+
+def points(rows):
+    half = M.confusion_at_threshold(rows, 0.5).withColumns({"point": F.lit("half"), "threshold": F.lit(0.5)})
+    best = F.broadcast(M.best_balanced_threshold(one(rows), ["one"]).select("threshold"))
+    return half.unionByName(M.confusion_at_threshold(rows.crossJoin(best), F.col("threshold"), ["threshold"]).withColumn("point", F.lit("balanced")))
 
 
 def split3(spark, sf):
@@ -134,8 +158,8 @@ KTH = "(SELECT per_week, CASE WHEN k >= n THEN low ELSE (SELECT p3 FROM {v} ORDE
 
 def errors(spark, sf):
     rows = p3(spark, sf)
-    for c in ("inc", "a_sum"):
-        rows = rows.crossJoin(F.broadcast(scans.quantiles(rows, c, [0.25, 0.5, 0.75]).withColumnRenamed("q", f"q_{c}")))
+    cuts_ = M.quantile_row(rows, ("inc", "a_sum"), [0.25, 0.5, 0.75])
+    rows = rows.crossJoin(F.broadcast(cuts_.withColumnsRenamed({c: f"q_{c}" for c in cuts_.columns})))
     bucket = lambda c: F.size(F.filter(f"q_{c}", lambda e: e <= F.col(c)))
     return M.strata(rows, {"quarter": F.quarter("week_start"), "incidence": bucket("inc"), "exposure": bucket("a_sum")}, F.col("p3") >= F.col("thr") / 2)
 
@@ -220,11 +244,11 @@ QUERIES = [
     # metrics
     query("pos_weight", lambda s, d: M.pos_weight(p3(s, d), ["yr"]), "SELECT yr, count(*) FILTER (y = 0)::DOUBLE / greatest(count(*) FILTER (y = 1), 1) pos_weight FROM scored GROUP BY 1", "pos_weight", ctes=LAB),
     query("confusion_at_threshold", lambda s, d: M.confusion_at_threshold(p3(s, d), F.col("thr") / 2, ["yr"], week="week_start"), rates_sql(confusion_sql("p3 >= thr / 2", "yr", ", count(DISTINCT week_start) n_weeks FROM scored GROUP BY 1"), ", (tp + fp)::DOUBLE / greatest(n_weeks, 1) flagged_per_week"), RATES + " flagged_per_week", COUNTS, LAB),
-    query("binary_report", lambda s, d: M.confusion_at_threshold(p3(s, d), F.col("thr") / 2, ["yr"]).join(S.scores_by(p3(s, d), ["yr"]).drop("n"), "yr").withColumns({"f1": M.share(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), "lift": F.col("ap") / F.nullif(F.col("prevalence"), F.lit(0.0)), "trivial_accuracy": F.greatest("prevalence", 1 - F.col("prevalence"))}), f"SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END f1, ap / nullif(prevalence, 0) lift, greatest(prevalence, 1 - prevalence) trivial_accuracy FROM ({rates_sql(confusion_sql('p3 >= thr / 2', 'yr', ' FROM scored GROUP BY 1'))}) JOIN (SELECT yr, sum(y) positives, avg(y) prevalence FROM scored GROUP BY 1) USING (yr) JOIN {auc_sql('scored', 'yr', p='p3')} USING (yr)", RATES + " f1 lift trivial_accuracy prevalence ap roc_auc", COUNTS + " positives", LAB),
+    query("binary_report", lambda s, d: yearly(p3(s, d)).withColumns({"f1": M.share(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), "lift": F.col("ap") / F.nullif(F.col("prevalence"), F.lit(0.0)), "trivial_accuracy": F.greatest("prevalence", 1 - F.col("prevalence"))}), f"SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END f1, ap / nullif(prevalence, 0) lift, greatest(prevalence, 1 - prevalence) trivial_accuracy FROM ({rates_sql(confusion_sql('p3 >= thr / 2', 'yr', ' FROM scored GROUP BY 1'))}) JOIN (SELECT yr, sum(y) positives, avg(y) prevalence FROM scored GROUP BY 1) USING (yr) JOIN {auc_sql('scored', 'yr', p='p3')} USING (yr)", RATES + " f1 lift trivial_accuracy prevalence ap roc_auc", COUNTS + " positives", LAB),
     query("threshold_for_sensitivity", lambda s, d: M.threshold_for_sensitivity(one(p3(s, d)), ["one"], 0.9).select("threshold"), f"SELECT ({sens_sql('scored', 'p3', 0.9)}) threshold", "threshold", ctes=LAB),
     query("threshold_for_f1", lambda s, d: M.threshold_for_f1(p3(s, d), F1_GRID), f"SELECT t threshold, 2.0::DOUBLE * tp / (fl + pos_all) f1 FROM {at_grid('scored', 'p3', F1_GRID)} ORDER BY f1 DESC, t DESC LIMIT 1", "threshold f1", ctes=LAB),
     query("best_balanced_threshold", lambda s, d: M.best_balanced_threshold(one(p3(s, d)), ["one"]).drop("one"), f"SELECT s threshold, (tp / pos_all + ((n_all - pos_all) - (fl - tp)) / (n_all - pos_all)) / 2 balanced_accuracy FROM {CURVE.format(p='p3', rows='scored')} ORDER BY 2 DESC, 1 LIMIT 1", "threshold balanced_accuracy", ctes=LAB),
-    query("average_precision", lambda s, d: M.average_precision(p3(s, d), ["yr"]).join(M.rank_average_precision(p3(s, d), ["yr"], [F.col("entity"), F.col("week_start")]), "yr"), f"SELECT yr, ap, ap_rank FROM {auc_sql('scored', 'yr', p='p3')} JOIN (SELECT yr, sum(CASE WHEN y = 1 THEN tp::DOUBLE / n END) / sum(y) ap_rank FROM (SELECT yr, y, row_number() OVER o n, sum(y) OVER (PARTITION BY yr ORDER BY p3 DESC, entity, week_start ROWS UNBOUNDED PRECEDING) tp FROM scored WINDOW o AS (PARTITION BY yr ORDER BY p3 DESC, entity, week_start)) GROUP BY 1) USING (yr)", "ap ap_rank", ctes=LAB),
+    query("average_precision", both_forms, f"SELECT yr, ap, ap_rank FROM {auc_sql('scored', 'yr', p='p3')} JOIN (SELECT yr, sum(CASE WHEN y = 1 THEN tp::DOUBLE / n END) / sum(y) ap_rank FROM (SELECT yr, y, row_number() OVER o n, sum(y) OVER (PARTITION BY yr ORDER BY p3 DESC, entity, week_start ROWS UNBOUNDED PRECEDING) tp FROM scored WINDOW o AS (PARTITION BY yr ORDER BY p3 DESC, entity, week_start)) GROUP BY 1) USING (yr)", "ap ap_rank", ctes=LAB),
     query("roc_auc", lambda s, d: M.roc_auc(p3(s, d), ["yr"]), f"SELECT yr, roc_auc FROM {auc_sql('scored', 'yr', p='p3')}", "roc_auc", ctes=LAB),
     query("brier_score", lambda s, d: M.brier_score(scaled(s, d), ["yr"]), "SELECT yr, avg(pow(p - y, 2)) brier FROM scaled GROUP BY 1", "brier", ctes=SC),
     query("expected_calibration_error", lambda s, d: M.expected_calibration_error(scaled(s, d)), "SELECT sum(n * abs(mean_y - mean_p)) / sum(n) ece FROM rel", "ece", ctes=RELIABILITY),
@@ -238,9 +262,9 @@ QUERIES = [
     query("alert_policy_topk", lambda s, d: M.alert_policy_topk(p3(s, d), 14, "week_start", [F.col("entity")]), "SELECT * FROM topk", "recall precision alerts_per_week", ctes=POLICY),
     query("cheapest_policy", lambda s, d: M.cheapest_policy(policies(s, d), 0.9), "SELECT policy, setting, recall, \"precision\", alerts_per_week FROM pol WHERE recall >= 0.9 QUALIFY row_number() OVER (PARTITION BY policy ORDER BY alerts_per_week, setting) = 1", "setting recall precision alerts_per_week", ctes=POLICY),
     query("fold_scores", fold_scores, "SELECT yr, arm, ap FROM fold_ap", "ap", ctes=LAB + FOLD_DELTA),
-    query("paired_fold_bootstrap", lambda s, d: M.paired_fold_bootstrap(fold_deltas(s, d), DRAWS), "SELECT * FROM fold_boot", "delta ci_low ci_high", ctes=LAB + FOLD_DELTA),
-    query("cluster_bootstrap_ci", lambda s, d: M.cluster_bootstrap_ci(p3(s, d), "entity", DRAWS), "SELECT (SELECT ap FROM own_ap WHERE arm = 'cand') ap, quantile_cont(ap, 0.025) ci_low, quantile_cont(ap, 0.975) ci_high, count(*) n_draws FROM draw_ap WHERE arm = 'cand'", "ap ci_low ci_high", ctes=LAB + CLUSTER),
-    query("cluster_bootstrap_compare", lambda s, d: M.cluster_bootstrap_compare(scored(s, d), "entity", DRAWS, "p1", "p3"), "SELECT *, (SELECT count(DISTINCT entity) FROM scored) n_folds, 'districts' unit, CASE WHEN ci_low > 0 THEN 'SHIP' WHEN ci_high < 0 THEN 'REGRESSION' ELSE 'noise' END verdict FROM cluster_boot", "delta ci_low ci_high", ctes=LAB + CLUSTER),
+    query("paired_fold_bootstrap", lambda s, d: B.paired_fold_bootstrap(fold_deltas(s, d), FOLD_DRAWS), "SELECT * FROM fold_boot", "delta ci_low ci_high", ctes=LAB + FOLD_DELTA),
+    query("cluster_bootstrap_ci", lambda s, d: B.cluster_bootstrap_ci(p3(s, d), "entity", DRAWS), "SELECT (SELECT ap FROM own_ap WHERE arm = 'cand') ap, quantile_cont(ap, 0.025) ci_low, quantile_cont(ap, 0.975) ci_high, count(*) n_draws FROM draw_ap WHERE arm = 'cand'", "ap ci_low ci_high", ctes=LAB + CLUSTER),
+    query("cluster_bootstrap_compare", lambda s, d: B.cluster_bootstrap_compare(scored(s, d), "entity", DRAWS, "p1", "p3"), "SELECT *, (SELECT count(DISTINCT entity) FROM scored) n_folds, 'districts' unit, CASE WHEN ci_low > 0 THEN 'SHIP' WHEN ci_high < 0 THEN 'REGRESSION' ELSE 'noise' END verdict FROM cluster_boot", "delta ci_low ci_high", ctes=LAB + CLUSTER),
     query("ship_rule", ships, "SELECT f.delta fold_delta, f.ci_low fold_low, f.ci_high fold_high, c.delta cluster_delta, c.ci_low cluster_low, c.ci_high cluster_high, f.ci_low > 0 OR f.ci_high < 0 fold_significant, c.ci_low > 0 OR c.ci_high < 0 cluster_significant, f.ci_low > 0 AND c.ci_low > 0 ship FROM fold_boot f, cluster_boot c", "fold_delta fold_low fold_high cluster_delta cluster_low cluster_high", ctes=LAB + FOLD_DELTA + CLUSTER.replace(ARMS, "")),
     query("error_strata", errors, "SELECT stratum, bucket, tp + fn + fp + tn n, tp + fn outbreaks, recall, \"precision\", fn, fp FROM (" + rates_sql(confusion_sql("p3 >= thr / 2", "stratum, bucket", " FROM (SELECT *, unnest([{'stratum': 'quarter', 'bucket': quarter(week_start)::VARCHAR}, {'stratum': 'incidence', 'bucket': len(list_filter(qi, lambda x: x <= inc))::VARCHAR}, {'stratum': 'exposure', 'bucket': len(list_filter(qa, lambda x: x <= a_sum))::VARCHAR}], recursive := true) FROM scored, (SELECT quantile_cont(inc, [0.25, 0.5, 0.75]) qi, quantile_cont(a_sum, [0.25, 0.5, 0.75]) qa FROM scored)) GROUP BY 1, 2")) + ")", "recall precision", "n outbreaks fn fp", LAB),
     query("momentum_errors", lambda s, d: M.momentum_errors(p3(s, d), F.col("p3") >= F.col("thr") / 2, F.col("inc") >= F.col("thr") / 2), "SELECT avg((inc >= thr / 2)::INT::DOUBLE) FILTER (p3 >= thr / 2 AND y = 0) false_alarm_share, avg((inc >= thr / 2)::INT::DOUBLE) FILTER (p3 < thr / 2 AND y = 0) true_negative_share FROM scored", "false_alarm_share true_negative_share", ctes=LAB),
@@ -248,6 +272,6 @@ QUERIES = [
     query("range_overlap", lambda s, d: M.range_overlap(docs(s, d), DOC_COLUMNS), "SELECT * FROM ranges", "min0 max0 min1 max1", ctes=SINGLE),
     query("dataset_audit", lambda s, d: M.dataset_audit(docs(s, d), DOC_COLUMNS), "SELECT *, CASE WHEN leaky = '' AND disjoint = '' THEN 'PASS' ELSE 'REJECT' END verdict FROM (SELECT coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM single WHERE auc >= 0.95), '') leaky, coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM ranges WHERE NOT (min0 <= max1 AND min1 <= max0)), '') disjoint)", ctes=SINGLE),
     query("population_medians", lambda s, d: M.population_medians(docs(s, d), DOC_COLUMNS), f"SELECT {', '.join(f'quantile_cont({c}, 0.5) {c}' for c in DOC_COLUMNS)} FROM doc", " ".join(DOC_COLUMNS), ctes=DOC),
-    query("screening_points", lambda s, d: M.confusion_at_threshold(scaled(s, d), 0.5).withColumn("point", F.lit("half")).withColumn("threshold", F.lit(0.5)).unionByName(M.confusion_at_threshold(scaled(s, d).crossJoin(F.broadcast(M.best_balanced_threshold(one(scaled(s, d)), ["one"]).select("threshold"))), F.col("threshold"), ["threshold"]).withColumn("point", F.lit("balanced"))), "SELECT 'half' point, 0.5::DOUBLE threshold, * FROM (" + rates_sql(confusion_sql("p >= 0.5", extra=" FROM scaled")) + ") UNION ALL SELECT 'balanced', threshold, * EXCLUDE (threshold) FROM (" + rates_sql(confusion_sql("p >= threshold", "threshold", f" FROM scaled, (SELECT s threshold FROM {CURVE.format(p='p', rows='scaled')} ORDER BY (tp / pos_all + ((n_all - pos_all) - (fl - tp)) / (n_all - pos_all)) / 2 DESC, 1 LIMIT 1) GROUP BY 1")) + ")", RATES + " threshold", COUNTS, SC),
+    query("screening_points", lambda s, d: points(scaled(s, d)), "SELECT 'half' point, 0.5::DOUBLE threshold, * FROM (" + rates_sql(confusion_sql("p >= 0.5", extra=" FROM scaled")) + ") UNION ALL SELECT 'balanced', threshold, * EXCLUDE (threshold) FROM (" + rates_sql(confusion_sql("p >= threshold", "threshold", f" FROM scaled, (SELECT s threshold FROM {CURVE.format(p='p', rows='scaled')} ORDER BY (tp / pos_all + ((n_all - pos_all) - (fl - tp)) / (n_all - pos_all)) / 2 DESC, 1 LIMIT 1) GROUP BY 1")) + ")", RATES + " threshold", COUNTS, SC),
     query("rank_average", lambda s, d: M.rank_average(scored(s, d), ["yr"], "p1", "p3").select("entity", "week_start", "rank_mean"), "SELECT entity, week_start, (rank() OVER (PARTITION BY yr ORDER BY p1) + (count(*) OVER (PARTITION BY yr, p1) - 1) / 2 + rank() OVER (PARTITION BY yr ORDER BY p3) + (count(*) OVER (PARTITION BY yr, p3) - 1) / 2) / 2 rank_mean FROM scored", "rank_mean", ctes=LAB),
 ]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelyard.functions.scans import written
 from panelyard.operators import calibration as C
 from panelyard.operators import features as X
 from panelyard.operators import labels as L
 from panelyard.operators import metrics as M
 from panelyard.operators import models as G
+from panelyard.operators import refits as R
 from panelyard.operators import splits as S
 from panelyard.operators import triage as H
 from panelyard.plans import fixtures as fx
@@ -21,6 +23,7 @@ COLUMNS = ("cases_lag1", "cases_roll4_mean", "growth1", "week_sin", "week_cos",
 #: Models train up to the year before and are tested from the year after.
 VALIDATION_END = 1999
 FOLDS, REPEATS = 3, 3
+REFITS, REFIT_FOLDS = 10, 5
 
 
 def rows(spark, sf):
@@ -33,8 +36,8 @@ def rows(spark, sf):
 
 
 def train_test(spark, sf):
-    """Kept once: every fit below reads these rows several times."""
-    df = rows(spark, sf).where("eligible and y is not null").cache()
+    """Written once: every fit below reads these rows several times."""
+    df = written(rows(spark, sf).where("eligible and y is not null"))
     return df.where("yr <= 1998"), df.where("yr >= 2000"), df
 
 
@@ -59,12 +62,12 @@ def oof(spark, sf):
 
 
 def isotonic(spark, sf):
-    found = oof(spark, sf).cache()
+    found = written(oof(spark, sf))
     return keyed(G.isotonic_calibration(found, found), "p", "q")
 
 
 def report(spark, sf):
-    found = oof(spark, sf).cache()
+    found = written(oof(spark, sf))
     return G.calibration_report(G.isotonic_calibration(found, found))
 
 
@@ -74,19 +77,23 @@ def blended(spark, sf):
 
 
 def screening(spark, sf):
-    d = docs(spark, sf).withColumn("h", S.hash_number(F.col("doc_id")) % 3).cache()
+    d = written(docs(spark, sf).withColumn("h", S.hash_number(F.col("doc_id")) % 3))
     return G.screening_models(d.where("h > 0"), d.where("h = 0"), ("n_chars", "spaces", "lines", "digits")).select("doc_id", "model", "p")
 
 
 def nested(spark, sf):
     """Each document's out-of-fold score, averaged over the repeats; ``fold`` is that of the first repeat."""
-    d = S.stratified_folds(docs(spark, sf), "doc_id", "y", FOLDS, REPEATS).cache()
-    parts = [G.nested_cv(d.where(F.col("repeat") == r), ("n_chars", "spaces", "lines"), range(FOLDS)) for r in range(1, REPEATS + 1)]
-    return G.stack(parts).groupBy("doc_id").agg(F.min_by("fold", "repeat").alias("fold"), F.avg("p").alias("p"))
+    return R.nested_search(docs(spark, sf), ("n_chars", "spaces", "lines"), "doc_id", FOLDS, REPEATS).select("doc_id", "fold", "p")
+
+
+def refits(spark, sf):
+    """Refits on permuted labels of the emergence rows."""
+    _, _, df = train_test(spark, sf)
+    return R.refit_null(df, COLUMNS, ("entity", "week_start"), REFITS, REFIT_FOLDS)
 
 
 def platt(spark, sf):
-    df = scaled(spark, sf).cache()
+    df = written(scaled(spark, sf))
     return keyed(G.sigmoid_calibration(df.where("yr <= 1998"), df.where("yr > 1998")), "p", "q")
 
 
@@ -101,7 +108,7 @@ def tweedie(spark, sf):
 
 
 def hazard(spark, sf):
-    frame = L.hazard_frame(rows(spark, sf).withColumn("eligible", F.coalesce("eligible", F.lit(False)))).cache()
+    frame = written(L.hazard_frame(rows(spark, sf).withColumn("eligible", F.coalesce("eligible", F.lit(False)))))
     return G.hazard_model(frame.where("yr <= 1998"), frame.where("yr >= 2000"), COLUMNS, ("entity", "week_start"))
 
 
@@ -119,7 +126,7 @@ def transfer(spark, sf):
 
 def frontier(spark, sf, with_emergence: bool):
     """Scores of the last two weeks, the last row of each place."""
-    panel = rows(spark, sf).cache()
+    panel = written(rows(spark, sf))
     going = L.continuation_label(panel, 2).where("yr <= 1998")
     risk = G.with_risk(panel.drop("y"), G.seed_ensemble(going, COLUMNS, (1,)), "continuation_risk")
     names = ["inc", "continuation_risk"]
@@ -140,14 +147,15 @@ def dual_forecast(spark, sf):
 
 
 def candidates(spark, sf):
+    """Arms that differ by features or by parameters alone; by fold and pooled, with the gain over the baseline."""
     _, _, df = train_test(spark, sf)
-    long = G.candidate_search(df, {"history": COLUMNS[:3], "all": COLUMNS}, fold_years(df), ["entity"], "inc")
-    return M.average_precision(long, ["arm", "fold"])
+    arms = {"history": COLUMNS[:3], "all": COLUMNS, "all_shallow": G.Arm(COLUMNS, {"maxDepth": 1, "stepSize": 0.2})}
+    return G.arm_table(written(G.candidate_search(df, arms, fold_years(df), ["entity"], "inc")))
 
 
 def prepared_batch(spark, sf):
     cohort = patients(spark, sf)
-    batch = cohort.where("l_orderkey % 10 = 0").withColumn("wbc", F.when(F.col("l_linenumber") != 2, F.col("wbc"))).drop("hct")
+    batch = cohort.withColumn("wbc", F.when(F.col("l_linenumber") != 2, F.col("wbc"))).drop("hct")
     filled, _ = C.batch_prepare(batch, cohort, ("plt", "wbc", "hct"), ("l_orderkey", "l_linenumber", "plt", "wbc", "hct"))
     return X.clinical_ratios(filled).select("l_orderkey", "l_linenumber", "wbc", "hct", "plt_wbc", "hct_plt")
 
@@ -168,11 +176,12 @@ QUERIES = [
     query("blend_fit_score", blended),
     query("screening_models", screening),
     query("nested_cv", nested),
+    query("permutation_null_refit", refits),
     query("sigmoid_calibration", platt),
     query("feature_importance", importance),
     query("tweedie_regression", tweedie),
     query("hazard_model", hazard),
-    query("batch_prepare", prepared_batch, "SELECT l_orderkey, l_linenumber, wbc, hct, plt / greatest(wbc, 1) plt_wbc, hct / greatest(plt / 1000, 1e-6) hct_plt FROM (SELECT l_orderkey, l_linenumber, plt, CASE WHEN l_linenumber <> 2 THEN wbc ELSE (SELECT quantile_cont(wbc, 0.5) FROM pat) END wbc, (SELECT quantile_cont(hct, 0.5) FROM pat) hct FROM pat WHERE l_orderkey % 10 = 0)", "wbc hct plt_wbc hct_plt", "l_linenumber", PATIENTS),
+    query("batch_prepare", prepared_batch, "SELECT l_orderkey, l_linenumber, wbc, hct, plt / greatest(wbc, 1) plt_wbc, hct / greatest(plt / 1000, 1e-6) hct_plt FROM (SELECT l_orderkey, l_linenumber, plt, CASE WHEN l_linenumber <> 2 THEN wbc ELSE (SELECT quantile_cont(wbc, 0.5) FROM pat) END wbc, (SELECT quantile_cont(hct, 0.5) FROM pat) hct FROM pat)", "wbc hct plt_wbc hct_plt", "l_linenumber", PATIENTS),
     query("continuation_forecast", continuation_forecast),
     query("dual_forecast", dual_forecast),
     query("candidate_search", candidates),

@@ -123,6 +123,27 @@ def report_text(spark: SparkSession, sf: str) -> DataFrame:
     return by.select(F.col("week_start").alias("truth"), caption.alias("caption"), text.alias("text"), "places", "total")
 
 
+def caption_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions with short months, dots, long dashes, ordinals and a title before them, by the number of the week."""
+    rep = report_text(spark, sf).withColumn("no", F.datediff("truth", F.lit("1995-01-02").cast("date")) / 7)
+    full = F.col("caption")
+    short = F.regexp_replace(full, r"\b(January|February|March|April|June|July|August|October|November|December)\b", "@$1")
+    short = F.regexp_replace(F.regexp_replace(short, r"@(\w{3})\w*", "$1."), "September", "Sept.")
+    kind = F.col("no").cast("int") % 4
+    made = F.when(kind == 0, full).when(kind == 1, short).when(kind == 2, F.regexp_replace(F.upper(short), " - ", " — ")).otherwise(F.concat(F.lit("Table 1: Week 7 ("), F.regexp_replace(full, " - ", "–"), F.lit(") of 25 places")))
+    return R.parse_caption_weeks(rep.select("truth", made.alias("caption")), "caption").select("truth", "week_start", "week_end")
+
+
+def inline_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows run together with sentences, with stray letters, asterisks and other spellings of names."""
+    rep = report_text(spark, sf)
+    names = place_names(spark, sf)
+    spelled = {n: n for n in names} | {n.title()[:4] + ".": n for n in names if sum(m[:4] == n[:4] for m in names) == 1}
+    line = lambda x, k: F.when(k % 4 == 0, x).when(k % 4 == 1, F.concat(F.lit("n "), F.regexp_replace(x, r"^(\D*\S) (11 12)", "$1* $2"))).when(k % 4 == 2, F.lower(x)).otherwise(F.regexp_replace(x, " ", "   "))
+    text = F.array_join(F.transform(F.split("text", "\n"), line), " reported by phone. ")
+    return R.parse_table_rows(rep.select("truth", text.alias("text")), "truth", "text", spelled, 20)
+
+
 REPORT = """, rep AS (SELECT c.*, entity_name, coalesce(lag(cases) OVER w, 0) prev, sum(cases) OVER w cum FROM cases c JOIN meta USING (entity) WINDOW w AS (PARTITION BY entity ORDER BY week_start)),
 places AS (SELECT week_start, count(*) n FROM rep GROUP BY 1)
 """
@@ -133,11 +154,9 @@ def place_names(spark: SparkSession, sf: str) -> list[str]:
     return [x[0] for x in fx.table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
 
 
-def glyphs(spark: SparkSession, sf: str, weeks: int = 40) -> DataFrame:
-    """The report lines of the last weeks as positioned glyphs, one column of x for each line."""
-    rep = report_text(spark, sf)
-    last = rep.agg(F.max("truth").alias("last"))
-    lines = rep.join(F.broadcast(last), F.col("truth") > F.date_sub("last", 7 * weeks)).select("truth", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+def glyphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The report lines of all weeks as positioned glyphs, one column of x for each line."""
+    lines = report_text(spark, sf).select("truth", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     chars = lines.select(F.col("truth").alias("page"), (3.0 * F.col("line")).alias("x0"), F.posexplode(F.split("t", "")).alias("pos", "ch"))
     return chars.where("ch <> ''").select("page", "x0", (-F.col("pos")).cast("double").alias("top"), "ch")
 
@@ -183,7 +202,7 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
 
 def rows_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Name runs and number runs set apart by 2, as a sideways table prints them."""
-    g = R.glyph_runs(glyphs(spark, sf, 8))
+    g = R.glyph_runs(glyphs(spark, sf))
     name = F.regexp_extract("run", r"^([A-Z]\S*)\s", 1)
     numbers = F.regexp_extract("run", r"^[A-Z]\S*\s+(.*)$", 1)
     rows = g.where(name != "").select("page", "x", name.alias("name"), numbers.alias("nums"))
@@ -208,10 +227,12 @@ QUERIES = [
     query("load_map_recode", map_recode, "SELECT c_custkey, c_custkey % 2 \"label\", CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE -1 END c_mktsegment_code FROM customer WHERE c_custkey % 7 <> 0", longs="label c_mktsegment_code"),
     query("category_codes", docs_codes, "SELECT doc_id, CASE WHEN lang IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 END lang_code FROM (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN lang END lang FROM documents)", longs="lang_code"),
     query("list_report_links", lambda s, d: R.list_report_links(fx.table(s, d, "pages").withColumn("html", F.concat(F.lit('<a href="/vol/'), (F.col("page_id") % 90).cast("string"), F.lit('/r'), F.col("page_id").cast("string"), F.lit('.pdf">'), "html")), r'href="([^"]*\.pdf)"', r"/vol/(\d+)/", 50), "SELECT '/vol/' || (page_id % 90) || '/r' || page_id || '.pdf' link, page_id % 90 number FROM pages WHERE page_id < 90 ORDER BY number DESC LIMIT 50", longs="number"),
-    query("glyph_runs", lambda s, d: R.glyph_runs(glyphs(s, d)).where("run not like '%cases were reported'").select("page", "run"), "SELECT week_start page, entity_name || ' 11 12 ' || (CASE WHEN prev = 0 THEN 'Nil' ELSE format('{:,}', prev::BIGINT) || CASE WHEN prev % 5 = 0 THEN '*' ELSE '' END END) || ' ' || (CASE WHEN cases = 0 THEN 'Nil' ELSE format('{:,}', cases) || CASE WHEN cases % 5 = 0 THEN '*' ELSE '' END END) || ' 1,234 ' || (CASE WHEN cum = 0 THEN 'Nil' ELSE format('{:,}', cum::BIGINT) || CASE WHEN cum % 5 = 0 THEN '*' ELSE '' END END) run FROM rep WHERE week_start > (SELECT max(week_start) FROM rep) - INTERVAL 280 DAY", ctes=REPORT),
+    query("glyph_runs", lambda s, d: R.glyph_runs(glyphs(s, d)).where("run not like '%cases were reported'").select("page", "run"), "SELECT week_start page, entity_name || ' 11 12 ' || (CASE WHEN prev = 0 THEN 'Nil' ELSE format('{:,}', prev::BIGINT) || CASE WHEN prev % 5 = 0 THEN '*' ELSE '' END END) || ' ' || (CASE WHEN cases = 0 THEN 'Nil' ELSE format('{:,}', cases) || CASE WHEN cases % 5 = 0 THEN '*' ELSE '' END END) || ' 1,234 ' || (CASE WHEN cum = 0 THEN 'Nil' ELSE format('{:,}', cum::BIGINT) || CASE WHEN cum % 5 = 0 THEN '*' ELSE '' END END) run FROM rep", ctes=REPORT),
     query("alias_canonicalise", lambda s, d: R.alias_canonicalise(fx.table(s, d, "nation").select(F.concat(F.lower("n_name"), F.lit(" 12 3")).alias("run")), "run", aliases(s, d)), "SELECT lower(n_name) || ' 12 3' run, n_name canonical FROM nation"),
-    query("rows_from_runs", rows_runs, "SELECT week_start page, entity_name canonical, '11 12 ' || regexp_replace(CASE WHEN prev = 0 THEN '' ELSE replace(format('{:,}', prev::BIGINT), ',', ' ') || ' ' END || CASE WHEN cases = 0 THEN '' ELSE replace(format('{:,}', cases), ',', ' ') || ' ' END || '1 234 ' || CASE WHEN cum = 0 THEN '' ELSE replace(format('{:,}', cum::BIGINT), ',', ' ') || ' ' END, '\\s+', ' ', 'g') || '0 0 0' numbers FROM rep WHERE week_start > (SELECT max(week_start) FROM rep) - INTERVAL 56 DAY AND (prev > 0)::INT + (cases > 0)::INT + (cum > 0)::INT >= 1", ctes=REPORT),
+    query("rows_from_runs", rows_runs, "SELECT week_start page, entity_name canonical, '11 12 ' || regexp_replace(CASE WHEN prev = 0 THEN '' ELSE replace(format('{:,}', prev::BIGINT), ',', ' ') || ' ' END || CASE WHEN cases = 0 THEN '' ELSE replace(format('{:,}', cases), ',', ' ') || ' ' END || '1 234 ' || CASE WHEN cum = 0 THEN '' ELSE replace(format('{:,}', cum::BIGINT), ',', ' ') || ' ' END, '\\s+', ' ', 'g') || '0 0 0' numbers FROM rep WHERE (prev > 0)::INT + (cases > 0)::INT + (cum > 0)::INT >= 1", ctes=REPORT),
     query("parse_caption_weeks", lambda s, d: R.parse_caption_weeks(report_text(s, d), "caption").select("caption", "week_start", "week_end"), "SELECT CASE WHEN month(week_start) = month(week_start + INTERVAL 6 DAY) THEN day(week_start) || 'th - ' || day(week_start + INTERVAL 6 DAY) || 'th ' || strftime(week_start, '%B %Y') WHEN year(week_start) = year(week_start + INTERVAL 6 DAY) THEN day(week_start) || ' ' || strftime(week_start, '%B') || ' - ' || day(week_start + INTERVAL 6 DAY) || ' ' || strftime(week_start + INTERVAL 6 DAY, '%B %Y') ELSE day(week_start) || ' ' || strftime(week_start, '%B %Y') || ' - ' || day(week_start + INTERVAL 6 DAY) || ' ' || strftime(week_start + INTERVAL 6 DAY, '%B %Y') END caption, week_start, (week_start + INTERVAL 6 DAY)::DATE week_end FROM places", ctes=REPORT),
+    query("parse_caption_forms", caption_forms, "SELECT week_start truth, week_start, (week_start + INTERVAL 6 DAY)::DATE week_end FROM places", ctes=REPORT),
+    query("parse_table_rows_inline", inline_rows, "SELECT week_start truth, entity_name \"name\", prev prev_week, cases, cum cumulative FROM rep JOIN places USING (week_start) WHERE n >= 20", longs="prev_week cases cumulative", ctes=REPORT),
     query("parse_table_rows", lambda s, d: R.parse_table_rows(report_text(s, d), "truth", "text", place_names(s, d), 20), "SELECT week_start truth, entity_name \"name\", prev prev_week, cases, cum cumulative FROM rep JOIN places USING (week_start) WHERE n >= 20", longs="prev_week cases cumulative", ctes=REPORT),
     query("extract_stated_total", lambda s, d: R.extract_stated_total(report_text(s, d), "text", "cases were reported").select("truth", "stated_total"), "SELECT week_start truth, sum(cases) stated_total FROM rep GROUP BY 1", longs="stated_total", ctes=REPORT),
     query("nested_json_metrics", json_metrics, "SELECT event_type, avg((props->>'$.k')::DOUBLE) mean_k, 0 n_absent, count(*) n FROM events GROUP BY 1", "mean_k", "n_absent n"),

@@ -138,6 +138,11 @@ def streamed(f):
     return lambda spark, sf: f(spark, sf, I.work_dir(spark))
 
 
+# A file's rows are held against the watermark that closed weeks in the file before: the latest time of all files before that one, less the delay.
+LATE = """, arrived AS (SELECT *, least(least(floor(((datediff('day', DATE '2024-01-01', ts::DATE) % 30 + 30) % 30) * 6 / 30)::INT, 5) + CASE WHEN event_id % 5 = 0 THEN (event_id // 5) % 4 ELSE 0 END, 5) file, date_trunc('week', ts)::DATE week_start FROM events),
+upto AS (SELECT k, (SELECT max(ts) FROM arrived WHERE file <= k - 2) latest FROM (SELECT unnest(range(0, 6)) k)),
+lates AS (SELECT delay, week_start, coalesce(week_start + INTERVAL 7 DAY <= date_trunc('milliseconds', latest) - span, false) late FROM arrived JOIN upto ON k = file, (VALUES ('1 hour', INTERVAL 1 HOUR), ('3 days', INTERVAL 3 DAY), ('14 days', INTERVAL 14 DAY)) v(delay, span))
+"""
 BOARD = ASSESS + f""", since AS (SELECT entity, week_start, hist_rate, flag, least(CASE WHEN mx IS NOT NULL THEN rn - mx ELSE 99 + rn END, 200) weeks_since_hot FROM (SELECT *, max(CASE WHEN prev = 1 THEN rn END) OVER ({W} ROWS UNBOUNDED PRECEDING) mx
   FROM (SELECT *, coalesce(lag(hot) OVER w, 0) prev, row_number() OVER w rn, avg(inc) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) hist_rate, row_number() OVER (PARTITION BY week_start ORDER BY inc DESC, entity) <= 3 flag FROM hp WINDOW w AS ({W}))))
 """
@@ -163,6 +168,6 @@ QUERIES = [
     query("stream_weekly_counts", streamed(I.stream_weekly_counts), "SELECT event_type, date_trunc('week', ts)::DATE week_start, count(*) n, sum(\"value\") total FROM events GROUP BY 1, 2", "total"),
     query("stream_dedup", streamed(I.stream_dedup), "SELECT DISTINCT user_id, event_type FROM events"),
     query("stream_upsert", lambda s, d: streamed(I.stream_upsert)(s, d).select("user_id", "event_id", "value"), "SELECT user_id, event_id, \"value\" FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1", "value"),
-    query("stream_late_data", streamed(I.stream_late_data)),
+    query("stream_late_data", streamed(I.stream_late_data), "SELECT delay, count(DISTINCT week_start) FILTER (NOT late) AS weeks, count(*) FILTER (NOT late) AS events, count(*) FILTER (late) AS dropped FROM lates GROUP BY 1", ctes=LATE),
     query("stream_alerts", lambda s, d: I.stream_alerts(s, d, I.work_dir(s), F.col("value") >= 40), "SELECT event_id, event_type, \"value\" FROM events WHERE \"value\" >= 40", "value"),
 ]

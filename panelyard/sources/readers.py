@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def rows_from_runs(runs: DataFrame, aliases: DataFrame, least: int = 8, near: fl
     full = named.where(F.col("canonical").isNotNull() & (F.size("numbers") >= least)).select("page", "canonical", "numbers")
     bare = named.where(F.col("canonical").isNotNull() & (F.size("numbers") < least)).select("page", F.col("x").alias("name_x"), "canonical")
     loose = named.where(F.col("canonical").isNull() & (F.size("numbers") >= least)).select("page", "x", "numbers")
-    pairs = bare.join(loose, "page").where(F.abs(F.col("x") - F.col("name_x")) < near).withColumn("d", F.abs(F.col("x") - F.col("name_x")))
+    pairs = bare.join(loose.hint("merge"), "page").where(F.abs(F.col("x") - F.col("name_x")) < near).withColumn("d", F.abs(F.col("x") - F.col("name_x")))
     best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("page", "name_x", "canonical").orderBy("d", "x"))).where("n = 1")
     once = best.withColumn("m", F.row_number().over(Window.partitionBy("page", "x").orderBy("d", "name_x"))).where("m = 1")
     return full.unionByName(once.select("page", "canonical", "numbers"))
@@ -146,45 +147,62 @@ def rows_from_runs(runs: DataFrame, aliases: DataFrame, least: int = 8, near: fl
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def month_number(name: Column) -> Column:
+    """1 to 12 for a month's name or a beginning of three letters or more, in any case; null for others."""
+    word = F.lower(name)
+    place = F.array_position(F.transform(F.array(*map(F.lit, MONTHS)), lambda m: m.startswith(word)), True)
+    return F.when((F.length(word) >= 3) & (place > 0), place)
+
+
 def parse_caption_weeks(df: DataFrame, caption: str) -> DataFrame:
-    """(week_start, week_end) of captions such as ``1st-7th March 2024``, ``28 February - 5 March 2024`` and ``30 December 2023 - 5 January 2024``."""
-    day, month, year = r"(\d{1,2})(?:st|nd|rd|th)?", r"([A-Za-z]+)", r"(\d{4})"
-    dash = r"\s*[-–]\s*"
+    """(week_start, week_end) of captions such as ``1st-7th March 2024``, ``27th Apr - 03rd May 2026``, ``28 Sept. — 4 Oct. 2024`` and ``30 December 2023 - 5 January 2024``."""
+    day, month, year = r"(\d{1,2})(?i:st|nd|rd|th)?", r"([A-Za-z]{3,})\.?", r"(\d{4})"
+    dash = r"\s*[-–—]\s*"
     text = F.col(caption)
 
     def date(d: Column, m: Column, y: Column) -> Column:
-        number = F.array_position(F.array(*(F.lit(x) for x in MONTHS)), F.lower(m))
+        number = month_number(m)
         return F.when(number > 0, F.try_to_timestamp(F.concat_ws("-", y, number.cast("string"), d), F.lit("yyyy-M-d")).cast("date"))
 
     def form(pattern: str, start: tuple, stop: tuple) -> tuple[Column, Column]:
         g = lambda k: F.regexp_extract(text, pattern, k)
-        made = [date(*(g(k) for k in x)) for x in (start, stop)]
-        return F.when(text.rlike(pattern), made[0]), F.when(text.rlike(pattern), made[1])
+        made = [F.when(text.rlike(pattern), date(*(g(k) for k in x))) for x in (start, stop)]
+        # half a range is none
+        return tuple(F.when(made[0].isNotNull() & made[1].isNotNull(), x) for x in made)
 
     forms = [
-        form(rf"{day}\s+{month}\s+{year}{dash}{day}\s+{month}\s+{year}", (1, 2, 3), (4, 5, 6)),
-        form(rf"{day}\s+{month}{dash}{day}\s+{month}\s+{year}", (1, 2, 5), (3, 4, 5)),
-        form(rf"{day}{dash}{day}\s+{month}\s+{year}", (1, 3, 4), (2, 3, 4)),
+        form(rf"{day}\s*{month}\s+{year}{dash}{day}\s*{month}\s+{year}", (1, 2, 3), (4, 5, 6)),
+        form(rf"{day}\s*{month}{dash}{day}\s*{month}\s+{year}", (1, 2, 5), (3, 4, 5)),
+        form(rf"{day}{dash}{day}\s*{month}\s+{year}", (1, 3, 4), (2, 3, 4)),
     ]
     start, stop = (F.coalesce(*(f[k] for f in forms)) for k in (0, 1))
     # a range over the turn of the year that states one year begins in the year before
     return df.withColumns({"week_start": F.when(start > stop, F.add_months(start, -12)).otherwise(start), "week_end": stop})
 
 
-def parse_table_rows(docs: DataFrame, key: str, text: str, names: Sequence[str], least: int = 20) -> DataFrame:
-    """(key, name, prev_week, cases, cumulative) from lines of a known name and six numbers; ``Nil`` is 0.
+def parse_table_rows(docs: DataFrame, key: str, text: str, names: Sequence[str] | Mapping[str, str], least: int = 20) -> DataFrame:
+    """(key, name, prev_week, cases, cumulative) from a known name and six numbers behind it; ``Nil`` is 0.
 
-    The third number is the week before, the fourth this week, the sixth the running
-    total. The first line of a name counts; documents with too few names go.
+    A row may stand anywhere in a line, behind words or stray letters; a name may have an
+    asterisk, any case and any white space inside. ``names``: the names, or spellings with
+    the name that each stands for. The third number is the week before, the fourth this
+    week, the sixth the running total; a row with a seventh number is none. The first row
+    of a name counts; documents with too few names go.
     """
-    number = r"((?:[\d,]+|Nil)\*?)"
-    pattern = "(?m)^(" + "|".join(sorted(names, key=len, reverse=True)) + r")\s+" + r"\s+".join([number] * 6) + r"\s*$"
-    lines = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "line"))
-    value = lambda k: F.regexp_replace(F.regexp_replace(F.regexp_extract("line", pattern, k), "[,*]", ""), "^Nil$", "0").try_cast("long")
-    rows = lines.select(key, "pos", F.regexp_extract("line", pattern, 1).alias("name"), value(4).alias("prev_week"), value(5).alias("cases"), value(7).alias("cumulative"))
+    known = dict(names) if isinstance(names, Mapping) else {n: n for n in names}
+    number = r"(?:\d[\d,]*|Nil)\*?"
+    spelled = "|".join(r"\s+".join(map(re.escape, n.split())) for n in sorted(known, key=len, reverse=True))
+    pattern = rf"(?i)(?<![A-Za-z])({spelled})\*?\s+({number}(?:[ \t]+{number}){{5}})(?![\w,*]|[ \t]+\d)"
+    found = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "row"))
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    # the names are a small dimension
+    canonical = F.create_map(*(F.lit(x) for n, c in known.items() for x in (" ".join(n.lower().split()), c)))
+    cells = F.split(F.regexp_extract("row", pattern, 2), r"[ \t]+")
+    value = lambda k: F.regexp_replace(F.regexp_replace(F.get(cells, F.lit(k)), "[,*]", ""), "(?i)^Nil$", "0").try_cast("long")
+    rows = found.select(key, "pos", F.element_at(canonical, plain(F.regexp_extract("row", pattern, 1))).alias("name"), value(2).alias("prev_week"), value(3).alias("cases"), value(5).alias("cumulative"))
     first = rows.groupBy(key, "name").agg(F.min_by(F.struct("prev_week", "cases", "cumulative"), "pos").alias("r")).select(key, "name", "r.*")
     enough = first.groupBy(key).count().where(F.col("count") >= least).select(key)
-    return first.join(enough, key)
+    return first.join(enough.hint("merge"), key)
 
 
 def extract_stated_total(df: DataFrame, text: str, phrase: str) -> DataFrame:
