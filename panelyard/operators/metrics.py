@@ -99,7 +99,7 @@ def counts_at(df: DataFrame, grid: DataFrame, y: str = "y", p: str = "p") -> Dat
     whole = Window.partitionBy()
     # one row for each threshold from here on
     every = cuts.select(F.posexplode("cuts").alias("at", "t")).select((F.col("at") + 1).alias("place"), "t").unionByName(cuts.select(F.lit(0).alias("place"), F.lit(None).cast("double").alias("t")))
-    filled = every.join(placed, "place", "left").fillna(0, ["pos", "all"])
+    filled = every.join(F.broadcast(placed), "place", "left").fillna(0, ["pos", "all"])
     ran = filled.withColumns({"tp": F.sum("pos").over(down), "flagged": F.sum("all").over(down), "positives": F.sum("pos").over(whole), "rows": F.sum("all").over(whole)})
     return ran.where("t is not null").select("t", "tp", "flagged", "positives", "rows")
 

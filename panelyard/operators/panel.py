@@ -20,12 +20,12 @@ def weekly_counts(events: DataFrame, entity: str, day: str, counted: Column) ->
     return snap_to_week(events, day).groupBy(F.col(entity).alias("entity"), "week_start").agg(F.sum(counted).alias("cases"))
 
 
-def weekly_exposure_rollup(daily: DataFrame, wet: float = 25.0) -> DataFrame:
-    """Week aggregates of daily exposure; ``a_days`` counts the days at or above ``wet``."""
+def weekly_exposure_rollup(daily: DataFrame, more: dict[str, Column] | None = None, wet: float = 25.0) -> DataFrame:
+    """Week aggregates of daily exposure; ``a_days`` counts the days at or above ``wet``. ``more``: further aggregates by name."""
     a, b, c = F.col("exposure_a"), F.col("exposure_b"), F.col("exposure_c")
     return snap_to_week(daily, "day").groupBy("entity", "week_start").agg(
         F.sum(a).alias("a_sum"), F.avg(a).alias("a_mean"), F.max(a).alias("a_max"), F.count_if(a >= wet).alias("a_days"),
-        F.avg(b).alias("b_mean"), F.max(b).alias("b_max"), F.min(b).alias("b_min"), F.avg(c).alias("c_mean"),
+        F.avg(b).alias("b_mean"), F.max(b).alias("b_max"), F.min(b).alias("b_min"), F.avg(c).alias("c_mean"), *(a.alias(k) for k, a in (more or {}).items()),
     )
 
 
