@@ -60,10 +60,23 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 class Step:
     """An open element that blocks lie in: its tag and names, the element around it, and its depth. Blocks share steps, however deep they lie."""
 
-    __slots__ = ("name", "up", "depth", "total")
+    __slots__ = ("name", "up", "depth", "total", "_main", "_side")
 
     def __init__(self, name: str, up: Step | None):
         self.name, self.up, self.depth, self.total = name, up, 1 + (up.depth if up else 0), None
+        self._main = self._side = None
+
+    def part(self) -> tuple[bool, bool]:
+        """Whether it lies in an article or main element, and in one whose names stand for the side; worked out once for each step."""
+        line, step = [], self
+        while step is not None and step._main is None:
+            line.append(step)
+            step = step.up
+        main, side = (step._main, step._side) if step is not None else (False, False)
+        for s in reversed(line):
+            s._main = main = main or bool(_MAIN.match(s.name))
+            s._side = side = side or bool(_SIDE.search(s.name))
+        return main, side
 
 
 def path_of(names: tuple[str, ...]) -> Step | None:
@@ -73,13 +86,6 @@ def path_of(names: tuple[str, ...]) -> Step | None:
     return step
 
 
-def steps(step: Step | None) -> Iterator[str]:
-    """The names from the innermost element to the outermost."""
-    while step is not None:
-        yield step.name
-        step = step.up
-
-
 class Block:
     __slots__ = ("path", "text", "linked")
 
@@ -181,9 +187,29 @@ class _Vectors(dict):
         return v
 
 
+#: Words hashed at a time.
+HASHED = 1 << 16
+_SEEDS = [9 + k for k in range(-(-WORDS // 128))]
+
+
+def word_sums(lines: list[list[str]]) -> np.ndarray:
+    """The sum of the fixed vectors of each line's words: a word's bits come from its hash, a set one counts 1 and another -1."""
+    out = np.zeros((len(lines), WORDS), np.float32)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    words = [w.encode("utf-8", "surrogatepass") for x in lines for w in x]
+    for a in range(0, len(words), HASHED):
+        part, own = words[a : a + HASHED], owner[a : a + HASHED]
+        digests = [np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed=k) for w in part]), np.uint8).reshape(len(part), 16) for k in _SEEDS]
+        bits = np.unpackbits(np.concatenate(digests, axis=1), axis=1)[:, :WORDS]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        count = np.diff(np.append(first, len(own)))
+        out[own[first]] += 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) - count[:, None]
+    return out
+
+
 class Describer:
     def __init__(self) -> None:
-        self.paths, self.words, self.names = _Vectors(PATH, 1), _Vectors(WORDS, 9), {}
+        self.paths, self.names = _Vectors(PATH, 1), {}
 
     def name(self, name: str) -> np.ndarray:
         found = self.names.get(name)
@@ -216,12 +242,11 @@ class Describer:
         """One row for each block from ``start`` to ``stop``."""
         own = page[start:stop]
         out = np.zeros((len(own), PATH + WORDS + COUNTS), np.float32)
-        for k, b in enumerate(own):
-            found = b.text.lower().split()
+        lines = [b.text.lower().split() for b in own]
+        out[:, PATH : PATH + WORDS] = word_sums(lines) / np.array([max(len(x), 1) ** 0.5 for x in lines], np.float32)[:, None] / np.float32(3)
+        for k, (b, found) in enumerate(zip(own, lines, strict=True)):
             n = len(b.text)
             out[k, :PATH] = self.path(b.path)
-            if found:
-                out[k, PATH : PATH + WORDS] = np.add.reduce([self.words[w] for w in found]) / len(found) ** 0.5 / 3
             marks = sum(b.text.count(c) for c in ".!?") / len(found) if found else 0
             depth = min(b.path.depth if b.path else 0, 16)
             out[k, PATH + WORDS :] = (np.log1p(n) / 4, b.linked / n, np.log1p(len(found)) / 3, marks, sum(map(str.isupper, b.text)) / n, (start + k) / len(page), depth / 8, 1.0)
@@ -332,15 +357,16 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return x, on, out
 
 
+_MAIN = re.compile(r"(article|main)\b")
 _SIDE = re.compile(r"^(nav|footer|header|aside|form|menu|button|select|dialog)\b|\b(ads?|advert\w*|promo\w*|sponsor\w*|comments?|replies|cookie\w*|consent|notice|banner|newsletter|subscribe|share|social|related|sidebar|breadcrumbs?|widget|popup|modal)\b")
 
 
 def own_labels(page: list[Block]) -> np.ndarray | None:
     """1 for blocks of an article or main element outside side elements; None if the page has no such element."""
-    main = [any(re.match(r"(article|main)\b", s) for s in steps(b.path)) for b in page]
-    if not any(main):
+    parts = [b.path.part() if b.path else (False, False) for b in page]
+    if not any(main for main, _ in parts):
         return None
-    return np.array([float(m and not any(_SIDE.search(s) for s in steps(b.path))) for m, b in zip(main, page, strict=True)])
+    return np.array([float(main and not side) for main, side in parts])
 
 
 # Names that pages give to their parts, for composed pages.

@@ -110,3 +110,28 @@ def test_labeller_gradient():
         down = loss()
         model.p[name][at] = old
         assert abs((up - down) / (2 * step) - grad[name][at]) < 0.02 * abs(grad[name][at]) + 1e-5
+
+
+def test_labels_of_deep_pages_take_linear_time():
+    import time
+
+    from panelyard.llm import htmltext
+
+    page = htmltext.blocks("<article>" + "<div>a" * 4000 + "<div class=comments>b" + "</div>" * 4001 + "</article><p>c")
+    began = time.perf_counter()
+    y = htmltext.own_labels(page)
+    assert time.perf_counter() - began < 0.5 and y.tolist() == [1.0] * 4000 + [0.0, 0.0]
+
+
+def test_word_sums_equal_single_vectors(monkeypatch):
+    import numpy as np
+
+    from panelyard.llm import htmltext
+
+    lines = [["a", "b", "a"], [], ["é" * 50], ["x"] * 9, []]
+    single = htmltext._Vectors(htmltext.WORDS, 9)
+    want = [np.add.reduce([single[w] for w in x]) if x else np.zeros(htmltext.WORDS) for x in lines]
+    for size in (htmltext.HASHED, 2):
+        monkeypatch.setattr(htmltext, "HASHED", size)
+        assert np.array_equal(htmltext.word_sums(lines), want)
+    assert htmltext.word_sums([[], []]).tolist() == [[0.0] * htmltext.WORDS] * 2 and htmltext.word_sums([]).shape == (0, htmltext.WORDS)
