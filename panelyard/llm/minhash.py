@@ -8,14 +8,17 @@ densification) cut into bands; classes that share a band form a bucket.
 Every bucket is resolved with star-shaped edges: each member is compared with one
 centre, at first the member that meets most others. What a star leaves open are pairs
 of different components in which a member x failed against the centre c. Such a pair
-x, y can be linked only if x and y share shingles that c lacks, or if y is smaller than
-c by so much that what x shares with c would do. The first are found by lists of rare
-shared shingles outside the centre (as many of the rarest as a prefix filter needs): the
-members of a short list are compared with each other, a longer list is a group of its
-own and gets a star with a new centre among those that failed, and so on until no
-group is left. The second are found by sizes. So no link inside a bucket is lost, no
-bucket is capped, and a list makes at most ``SHORT`` pairs for each of its members.
-Links are confirmed on the full shingle sets.
+x, y can be linked only if x and y share shingles that c lacks, or if what each shares
+with c would do. The first are found by lists of rare shared shingles outside the centre
+(as many of the rarest as a prefix filter needs): the members of a short list are
+compared with each other, a longer list is a group of its own and gets a star with a new
+centre among those that failed, and so on until no group is left. The second follow from
+what each lacks of c, short lists of shingles: members of a group are dealt into blocks,
+two blocks meet in one task, which counts what they lack together as a product of
+matrices and tells the links of two blocks as one edge a member. So no link inside a
+bucket is lost, no bucket is capped, a list makes at most ``SHORT`` pairs for each of its
+members, and two blocks at most an edge for each of theirs: a family gives no more rows
+than members times blocks. Links are confirmed on full sets, or by counts over them.
 
 Defined results: null or word-less text has an empty set, links with nothing and
 is kept. Every row stands for itself: rows that share an id are linked only if their
@@ -40,6 +43,8 @@ BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: The members of a list of at most so many are compared with each other, those of a longer one with a centre.
 SHORT = 128
+#: Members of a block, and shingles that two blocks are compared over at a time.
+BLOCK, TOKENS = 256, 1 << 14
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -153,6 +158,62 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumns({"na": F.size("sa"), "nb": F.size("sb"), "both": F.size(F.array_intersect("sa", "sb"))})
 
 
+def _lacking(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): edges that connect what is linked by its share of the centre, from two blocks of members; the second is null where a block meets itself."""
+    for batch in batches:
+        out: list[tuple[list, list]] = []
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            one = right.values is None or not len(right.values)
+            sides = [left.values] if one else [left.values, right.values]
+            names = [x for side in sides for x in side.field("x").to_pylist()]
+            n, both, linked = (np.concatenate([side.field(c).to_numpy(zero_copy_only=False) for side in sides]) for c in ("nx", "both", "linked"))
+            lists = [x.values.to_numpy(zero_copy_only=False) for side in sides for x in side.field("lacks")]
+            k = len(names) if one else len(left.values)
+            rows, columns = slice(0, k), slice(0, k) if one else slice(k, None)
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            tokens, place = np.unique(np.concatenate(lists), return_inverse=True)
+            shared = np.zeros((k, len(names[columns])), np.float32)
+            for start in range(0, len(tokens), TOKENS):
+                use = (place >= start) & (place < start + TOKENS)
+                has = np.zeros((len(names), min(TOKENS, len(tokens) - start)), np.float32)
+                has[owner[use], place[use] - start] = 1
+                shared += has[rows] @ has[columns].T
+            lacks = np.array([len(x) for x in lists], np.int64)
+            # of the centre's shingles both have those that neither lacks
+            common = both[rows, None] - lacks[None, columns] + shared.astype(np.int64)
+            near = (100 * common >= percent * (n[rows, None] + n[None, columns] - common)) & ~(linked[rows, None] & linked[None, columns])
+            i, j = np.nonzero(near)
+            low = groups_of(len(names), i, j if one else j + k)
+            moved = np.flatnonzero(low != np.arange(len(names)))
+            out.append(([names[m] for m in moved], [names[m] for m in low[moved]]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for o in out for x in o[c]], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+
+def _by_centre(own: DataFrame, percent: int, block: int | None = None) -> DataFrame:
+    """(a, b) from members of groups (g, x, nx, both, linked, lacks): every two blocks of a group meet in a task of their own."""
+    block = block or BLOCK
+    sizes = own.groupBy("g").agg(F.count("*").alias("m"))
+    dealt = own.join(sizes.hint("merge"), "g").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    met = dealt.select("g", "block", F.struct("x", "nx", "both", "linked", "lacks").alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "member")
+    side = lambda c: F.collect_list(F.when(F.col("block") == F.col(c), F.col("member")))
+    lists = met.groupBy("g", "p", "q").agg(side("p").alias("left"), side("q").alias("right"))
+    lists = lists.select("left", F.when(F.col("p") < F.col("q"), F.col("right")).alias("right"))
+    return lists.mapInArrow(lambda batches: _lacking(batches, percent), "a binary, b binary")
+
+
+def groups_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over edges (i, j)."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, before[j])
+        np.minimum.at(low, j, before[i])
+        low = low[low]
+        if np.array_equal(low, before):
+            return low
+
+
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, comp) after links (a, b) between reps."""
     ends = [label.select(F.col("rep").alias(k), F.col("comp").alias(f"c{k}")).hint("merge") for k in "ab"]
@@ -170,7 +231,7 @@ def _first_groups(members: DataFrame) -> DataFrame:
 
 
 def _stars(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, x, c, nx, both, linked, added): every member against the centre of its group; ``added``: what x has beyond c."""
+    """(g, x, c, nx, both, linked, added, lacks): every member against the centre of its group; ``added``: what x has beyond c, ``lacks``: what it lacks of c."""
     groups = staged(groups)
     facts = groups.groupBy("g").agg(F.min(F.struct("order", "x")).alias("m"), F.count("*").alias("n")).select("g", F.col("m.x").alias("c"), "n")
     rays = staged(groups.join(facts.hint("merge"), "g").where("x <> c").select("g", "x", "c", "n"))
@@ -178,13 +239,13 @@ def _stars(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     found = _compared(pairs, sets)
     linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
     # without a third member nothing can be left open
-    added = F.when(F.col("n") > 2, F.array_except("sa", "sb"))
-    found = found.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("na").alias("nx"), "both", linked.alias("linked"), added.alias("added"))
+    added, lacks = (F.when(F.col("n") > 2, F.array_except(*x)) for x in (("sa", "sb"), ("sb", "sa")))
+    found = found.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("na").alias("nx"), "both", linked.alias("linked"), added.alias("added"), lacks.alias("lacks"))
     return staged(rays.drop("n").join(found.hint("merge"), ["x", "c"]))
 
 
-def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), groups (g, x, order)): what may be linked although one of the two is not linked with the centre, and lies in another component."""
+def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (a, b), edges (a, b), groups (g, x, order)): what may be, and what is linked although one of the two is not linked with the centre, and lies in another component."""
     # a linked pair shares at least percent % of the larger set
     least = F.ceil(F.col("nx") * percent / 100)
     known = stars.where("added is not null").join(label.select(F.col("rep").alias("x"), "comp").hint("merge"), "x")
@@ -208,11 +269,9 @@ def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFr
     groups = kept.where(F.col("n") > SHORT).select(F.col("list").alias("g"), "x", F.col("linked").cast("long").alias("order"))
     # without a shared addition x and y share at most what x shares with c, so y must be small
     room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
-    wide = own.where("not linked").select("g", "x", "comp", "nx", "both", least.alias("lo"), room.alias("hi")).where("lo <= hi")
-    asked = wide.select("g", "x", "comp", "nx", F.explode(F.sequence("lo", "hi")).alias("ny"))
-    small = own.select("g", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("nx").cast("long").alias("ny"), F.col("both").alias("by"))
-    by_size = asked.join(small.hint("merge"), ["g", "ny"]).where((F.col("comp") != F.col("other")) & ((100 + percent) * F.col("by") >= percent * (F.col("nx") + F.col("ny")))).select("x", "y")
-    return by_token.union(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), groups
+    wide = own.where(~F.col("linked") & (least <= room)).select("g").distinct()
+    edges = _by_centre(own.join(wide.hint("merge"), "g", "left_semi").select("g", "x", "nx", "both", "linked", "lacks"), percent)
+    return by_token.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), edges, groups
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -238,11 +297,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     while True:
         stars = _stars(groups, sets, percent)
         label = _joined(label, stars.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b")))
-        pairs, groups = _left_open(stars, label, percent)
-        pairs = staged(pairs)
-        if not pairs.isEmpty():
-            found = staged(_compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
-            label = _joined(label, found)
+        pairs, edges, groups = _left_open(stars, label, percent)
+        pairs, edges = staged(pairs), staged(edges)
+        if not pairs.isEmpty() or not edges.isEmpty():
+            found = _compared(pairs, sets).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+            label = _joined(label, staged(found.unionByName(edges)))
         if groups.isEmpty():
             break
     # classes of one component: the smallest id stands for all

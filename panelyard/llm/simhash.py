@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.minhash import connected
+from panelyard.llm.minhash import connected, groups_of
 from panelyard.llm.shared import signed, staged
 
 BYTES, DISTANCE = 8, 3
@@ -104,18 +104,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE) -> tupl
     return i[near], j[near]
 
 
-def groups_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over edges (i, j)."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        np.minimum.at(low, i, before[j])
-        np.minimum.at(low, j, before[i])
-        low = low[low]
-        if np.array_equal(low, before):
-            return low
-
-
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) in one group, from pairs of member lists; the second is null where a list meets itself."""
     for batch in batches:

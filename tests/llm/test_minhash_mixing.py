@@ -92,3 +92,61 @@ def test_mix_edge_rows(spark):
     got = mix(docs).collect()
     assert len(got) == 4 and {x.source_size for x in got} == {0, 4}
     assert mix(docs.limit(0)).count() == 0
+
+
+def cut_family(r, n, cuts, words=602):
+    """One text and n - 1 copies of it with a few runs of ten words cut out: near the text, far from each other."""
+    base = [f"w{i}" for i in range(words)]
+    texts = [" ".join(base)]
+    while len(texts) < n:
+        gone = {k for _ in range(cuts) for s in [r.randrange(words - 10)] for k in range(s, s + 10)}
+        texts.append(" ".join(w for k, w in enumerate(base) if k not in gone))
+    return texts
+
+
+def test_families_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """All members miss the threshold with the centre: what is told is at most an edge a member, and components are right."""
+    from panelyard.llm import minhash
+
+    r = random.Random(12)
+    told = []
+    left_open = minhash._left_open
+
+    def counted(*args):
+        pairs, edges, groups = left_open(*args)
+        pairs, edges = minhash.staged(pairs), minhash.staged(edges)
+        told.append((pairs.count(), edges.count()))
+        return pairs, edges, groups
+
+    monkeypatch.setattr(minhash, "_left_open", counted)
+    for n, block in ((60, 256), (120, 16)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        # some members differ from another by little more than a cut
+        texts = cut_family(r, n, 8)
+        texts += [" ".join(t.split()[: -(k + 1)]) for k, t in enumerate(texts[1 : n // 4])]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        told.clear()
+        got = {x.doc_id: x for x in near_duplicates(docs, width=3, percent=85).collect()}
+        assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == components(texts, 3, 85)
+        blocks = -(-len(texts) // block)
+        assert sum(e for _, e in told) <= len(told) * len(texts) * max(blocks, 1)
+        assert sum(p for p, _ in told) <= 128 * len(texts)
+
+
+def test_recall_on_a_planted_corpus(spark):
+    """Copies at similarities from 0.6 to 1 among unrelated texts: every link at or above the threshold is found."""
+    r = random.Random(20)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(r.randint(30, 250))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for width, percent in ((3, 85), (5, 80)):
+        got = {x.doc_id: x.component_id for x in near_duplicates(docs, width=width, percent=percent).collect()}
+        assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts, width, percent)]
