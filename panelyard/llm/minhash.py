@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.shared import MULTIPLIER, SECOND, distinct, mix, rolling, signed, staged, word_hashes, words_of
@@ -189,11 +189,13 @@ def _lacking(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array([x for o in out for x in o[c]], pa.binary()) for c in (0, 1)], ["a", "b"])
 
 
-def _by_centre(own: DataFrame, percent: int, block: int | None = None) -> DataFrame:
-    """(a, b) from members of groups (g, x, nx, both, linked, lacks): every two blocks of a group meet in a task of their own."""
+def _by_centre(own: DataFrame, asked: Column, percent: int, block: int | None = None) -> DataFrame:
+    """(a, b) from members of groups (g, x, nx, both, linked, lacks) in which one is ``asked``: every two blocks of a group meet in a task of their own."""
     block = block or BLOCK
-    sizes = own.groupBy("g").agg(F.count("*").alias("m"))
-    dealt = own.join(sizes.hint("merge"), "g").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    sizes = own.groupBy("g").agg(F.count("*").alias("m"), F.max(asked).alias("any")).where("any").drop("any")
+    # written before it goes on, so that the join of a large group can be split
+    members = staged(own.select("g", "x", "nx", "both", "linked", "lacks").join(sizes.hint("merge"), "g"))
+    dealt = members.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     met = dealt.select("g", "block", F.struct("x", "nx", "both", "linked", "lacks").alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "member")
     side = lambda c: F.collect_list(F.when(F.col("block") == F.col(c), F.col("member")))
@@ -269,8 +271,7 @@ def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFr
     groups = kept.where(F.col("n") > SHORT).select(F.col("list").alias("g"), "x", F.col("linked").cast("long").alias("order"))
     # without a shared addition x and y share at most what x shares with c, so y must be small
     room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
-    wide = own.where(~F.col("linked") & (least <= room)).select("g").distinct()
-    edges = _by_centre(own.join(wide.hint("merge"), "g", "left_semi").select("g", "x", "nx", "both", "linked", "lacks"), percent)
+    edges = _by_centre(own, ~F.col("linked") & (least <= room), percent)
     return by_token.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), edges, groups
 
 
