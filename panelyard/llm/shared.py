@@ -10,16 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_STAGING = "/tmp/checkpoints"
+from panelyard.functions.scans import shared_folder
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, read from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STAGING).rstrip("/")
+    """The shared folder of the cluster, read from ``spark.checkpoint.dir``; a local one only for a local master."""
+    return shared_folder(spark)
 
 
 def staged(df: DataFrame) -> DataFrame:
