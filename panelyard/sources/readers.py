@@ -155,7 +155,7 @@ def month_number(name: Column) -> Column:
 
 
 def parse_caption_weeks(df: DataFrame, caption: str) -> DataFrame:
-    """(week_start, week_end) of captions such as ``1st-7th March 2024``, ``27th Apr - 03rd May 2026``, ``28 Sept. — 4 Oct. 2024`` and ``30 December 2023 - 5 January 2024``."""
+    """(week_start, week_end) of captions such as ``1st-7th March 2024``, ``29th Jan - 04th Feb 2025``, ``28 Sept. — 4 Oct. 2024`` and ``30 December 2023 - 5 January 2024``."""
     day, month, year = r"(\d{1,2})(?i:st|nd|rd|th)?", r"([A-Za-z]{3,})\.?", r"(\d{4})"
     dash = r"\s*[-–—]\s*"
     text = F.col(caption)
@@ -190,16 +190,16 @@ def parse_table_rows(docs: DataFrame, key: str, text: str, names: Sequence[str]
     of a name counts; documents with too few names go.
     """
     known = dict(names) if isinstance(names, Mapping) else {n: n for n in names}
-    number = r"(?:\d[\d,]*|Nil)\*?"
     spelled = "|".join(r"\s+".join(map(re.escape, n.split())) for n in sorted(known, key=len, reverse=True))
-    pattern = rf"(?i)(?<![A-Za-z])({spelled})\*?\s+({number}(?:[ \t]+{number}){{5}})(?![\w,*]|[ \t]+\d)"
+    # all cells behind a name are taken; how many there are is looked at below
+    pattern = rf"(?i)\b({spelled})\*?((?:[ \t]+(?:[\d,]+|nil)\*?(?!\w))++)"
     found = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "row"))
     plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
     # the names are a small dimension
     canonical = F.create_map(*(F.lit(x) for n, c in known.items() for x in (" ".join(n.lower().split()), c)))
-    cells = F.split(F.regexp_extract("row", pattern, 2), r"[ \t]+")
+    cells = F.split(F.trim(F.regexp_replace(F.regexp_extract("row", pattern, 2), "\t", " ")), " +")
     value = lambda k: F.regexp_replace(F.regexp_replace(F.get(cells, F.lit(k)), "[,*]", ""), "(?i)^Nil$", "0").try_cast("long")
-    rows = found.select(key, "pos", F.element_at(canonical, plain(F.regexp_extract("row", pattern, 1))).alias("name"), value(2).alias("prev_week"), value(3).alias("cases"), value(5).alias("cumulative"))
+    rows = found.where(F.size(cells) == 6).select(key, "pos", F.element_at(canonical, plain(F.regexp_extract("row", pattern, 1))).alias("name"), value(2).alias("prev_week"), value(3).alias("cases"), value(5).alias("cumulative"))
     first = rows.groupBy(key, "name").agg(F.min_by(F.struct("prev_week", "cases", "cumulative"), "pos").alias("r")).select(key, "name", "r.*")
     enough = first.groupBy(key).count().where(F.col("count") >= least).select(key)
     return first.join(enough.hint("merge"), key)

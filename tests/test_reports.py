@@ -7,9 +7,9 @@ import pytest
 from panelyard.sources import readers as R
 
 CAPTIONS = [
-    ("22nd - 28th June 2026", date(2026, 6, 22), date(2026, 6, 28)),
-    ("27th Apr - 03rd May 2026", date(2026, 4, 27), date(2026, 5, 3)),
-    ("Week 33 (10th - 16th August 2026)", date(2026, 8, 10), date(2026, 8, 16)),
+    ("3rd - 9th July 2023", date(2023, 7, 3), date(2023, 7, 9)),
+    ("29th Jan - 04th Feb 2025", date(2025, 1, 29), date(2025, 2, 4)),
+    ("Issue 12 (18th - 24th March 2024)", date(2024, 3, 18), date(2024, 3, 24)),
     ("28 Sept. — 4 Oct. 2024", date(2024, 9, 28), date(2024, 10, 4)),
     ("28Dec–3Jan 2025", date(2024, 12, 28), date(2025, 1, 3)),
     ("1ST-7TH MARCH 2024", date(2024, 3, 1), date(2024, 3, 7)),
@@ -25,11 +25,11 @@ def test_captions(spark):
 
 
 def test_rows_inside_lines(spark):
-    text = "as seen in Ratnapura Kandy 106 85 332 273 3045 6,636 and\nn Mannar* 3 1 1 Nil 116 92*\nnuwara   eliya 1 2 3 4 5 6\nN'Eliya 9 9 9 9 9 9\nKandy 1 1 1 1 1 1\nGalle 1 2 3 4 5 6 7\nXGalle 1 2 3 4 5 6\nJaffna 1 2 3"
-    names = {"Kandy": "Kandy", "Mannar": "Mannar", "Nuwara Eliya": "Nuwara Eliya", "N'Eliya": "Nuwara Eliya", "Galle": "Galle", "Jaffna": "Jaffna"}
-    df = spark.createDataFrame([(1, text), (2, "Kandy 1 2 3 4 5 6"), (3, None)], "k int, text string")
+    text = "as told by phone Peru 11 12 40 35 900 1,234 and\nx Chad* 3 1 7 Nil 20 51*\nsaudi   arabia 1 2 3 4 5 6\nKSA 9 9 9 9 9 9\nPeru 1 1 1 1 1 1\nCuba 1 2 3 4 5 6 7\nXCuba 1 2 3 4 5 6\nMali 1 2 3\nCuba 1 2 3 4 5 6th"
+    names = {"Peru": "Peru", "Chad": "Chad", "Saudi Arabia": "Saudi Arabia", "KSA": "Saudi Arabia", "Cuba": "Cuba", "Mali": "Mali"}
+    df = spark.createDataFrame([(1, text), (2, "Peru 1 2 3 4 5 6"), (3, None)], "k int, text string")
     got = {(x.k, x.name): (x.prev_week, x.cases, x.cumulative) for x in R.parse_table_rows(df, "k", "text", names, 3).collect()}
-    assert got == {(1, "Kandy"): (332, 273, 6636), (1, "Mannar"): (1, 0, 92), (1, "Nuwara Eliya"): (3, 4, 6)}
+    assert got == {(1, "Peru"): (40, 35, 1234), (1, "Chad"): (7, 0, 51), (1, "Saudi Arabia"): (3, 4, 6)}
 
 
 @pytest.mark.parametrize(("name", "number"), [("SEPT", 9), ("may", 5), ("Ju", None), ("jun", 6), ("x", None)])
