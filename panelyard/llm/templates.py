@@ -11,12 +11,20 @@ within a group, one value of the item always stands against one value in the
 document, and the other way round. A document is contaminated by an item if
 consistent groups cover ``share`` of the item's tokens.
 
+Items of one class, those with the same windows whose slots are equal and unequal at the same
+places, have the same matches. So documents meet classes, not items: a frame that thousands of
+items fill with other numbers is one class, or a few. A class is named by its smallest
+item id; `members` tells which items it has. Many classes may share a common phrase. So a document first
+meets each class by one run of the class's windows, the run that fewest classes share, chosen so long that a
+document that has none of them cannot cover ``share`` of the tokens; only then by all windows.
+
 Windows of documents pass a Bloom filter of the items' windows, of bounded size,
 before the join; the join decides.
 
 Defined results: null and word-less texts match nothing. An item of fewer tokens
 than ``width`` is found anywhere in a text, word for word. Rows that share an id count
-as one document; null ids are not reported. Repeated items count once for each id.
+as one document; null ids are not reported. Repeated items count once for each id; an id
+with several texts is in the class of each.
 Ids may be of any type. Extra columns are ignored.
 """
 
@@ -161,6 +169,21 @@ def _found(token: np.ndarray, value: np.ndarray, slot: np.ndarray, width: int, w
             yield where, h[where], w
 
 
+def numbered(value: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The slots' values by number, counted in the order in which they first occur; 0 elsewhere."""
+    out = np.zeros(len(value), np.int64)
+    _, first, back = np.unique(value[slot], return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    out[slot] = rank[back]
+    return out
+
+
+def shape(keys: np.ndarray, slots: np.ndarray, n_tokens: int) -> bytes:
+    """The name of an item's class: its windows, its length, and which of its slots are equal."""
+    return xxhash.xxh3_128_digest(b"%d %d " % (n_tokens, len(keys)) + keys.tobytes() + slots.tobytes())
+
+
 def _windows(width: int, shared):
     """shared: a broadcast filter that windows must pass, or None for all windows of items."""
 
@@ -172,12 +195,14 @@ def _windows(width: int, shared):
             for part in portions(texts, PORTION):
                 if len(codes.number) > MOST_REMEMBERED:
                     codes = _Codes()
-                at, pos, keys, length, slots, sizes = [], [], [], [], [], []
+                at, pos, keys, length, slots, sizes, shapes = [], [], [], [], [], [], []
                 for k, (token, value, slot) in enumerate(canonical(texts[part], codes), part.start):
                     for where, h, w in _found(token, value, slot, width, wanted):
                         if not len(where):
                             continue
-                        v = signed(mix(value))
+                        v = signed(mix(value)) if wanted is not None else numbered(value, slot)
+                        if wanted is None:
+                            shapes += [shape(h, v[slot] if w == width else v[:0], len(token))] * len(where)
                         at.append(np.full(len(where), k))
                         pos.append(where)
                         keys.append(signed(h))
@@ -187,40 +212,65 @@ def _windows(width: int, shared):
                         slots += [v[p + np.flatnonzero(slot[p : p + w])] if w == width else v[:0] for p in where.tolist()]
                 if not at:
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        owners.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys)),
-                        pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())),
-                    ],
-                    ["owner", "pos", "window", "n_tokens", "width", "slots"],
-                )
+                columns = {
+                    "owner": owners.take(pa.array(np.concatenate(at))), "pos": pa.array(np.concatenate(pos).astype(np.int32)), "window": pa.array(np.concatenate(keys)),
+                    "n_tokens": pa.array(np.concatenate(length).astype(np.int32)), "width": pa.array(np.concatenate(sizes).astype(np.int32)), "slots": pa.array(slots, pa.list_(pa.int64())),
+                }
+                yield pa.RecordBatch.from_pydict(columns | ({"shape": pa.array(shapes, pa.binary())} if wanted is None else {}))
 
     return run
 
 
 def windows(table: DataFrame, id_col: str, text_col: str, width: int = WIDTH, shared=None) -> DataFrame:
+    """Windows of the rows with an id; of items (no filter) with the class of the item."""
     kind = table.schema[id_col].dataType.simpleString()
     return table.select(F.col(id_col).alias("owner"), F.col(text_col).alias("text")).where("owner is not null").mapInArrow(
-        _windows(width, shared), f"owner {kind}, pos int, window long, n_tokens int, width int, slots array<long>"
+        _windows(width, shared), f"owner {kind}, pos int, window long, n_tokens int, width int, slots array<long>" + (", shape binary" if shared is None else "")
     )
 
 
+def members(benchmark: DataFrame, *, item_col: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(item_id, representative): the smallest item id of each class that the item is in; items without a word are in none."""
+    own = staged(windows(benchmark, item_col, item_text, width).select("owner", "shape").distinct())
+    least = own.groupBy("shape").agg(F.min("owner").alias("representative"))
+    return own.join(least.hint("merge"), "shape").select(F.col("owner").alias("item_id"), "representative").distinct()
+
+
+def seeds(items: DataFrame, share: float) -> DataFrame:
+    """(shape, window, width) of one run of windows of each class.
+
+    A document without any window of a run of n_tokens - ceil(share n_tokens) + width windows leaves so many tokens
+    uncovered that it misses ``share``. The windows of a class are cut into runs of at least that length (a
+    class of fewer windows is one run), and the run stays whose windows the fewest classes have.
+    """
+    common = items.groupBy("window", "width").agg(F.count("*").alias("n"))
+    least = F.col("item_tokens") - F.ceil(share * F.col("item_tokens")) + F.col("width")
+    runs = F.greatest(F.floor((F.col("item_tokens") - F.col("width") + 1) / least), F.lit(1))
+    rows = staged(items.join(common.hint("merge"), ["window", "width"]).select("shape", "window", "width", "n", F.least(F.floor(F.col("item_pos") / least), runs - 1).alias("run")))
+    rarest = rows.groupBy("shape", "run").agg(F.sum("n").alias("n")).groupBy("shape").agg(F.min(F.struct("n", "run")).alias("least"))
+    return rows.join(rarest.select("shape", F.col("least.run").alias("run")).hint("merge"), ["shape", "run"]).select("shape", "window", "width").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, covered, n_tokens) for each document and item that share a template."""
-    items = staged(windows(benchmark, item_col, item_text, width)).withColumnsRenamed({"owner": "item_id", "pos": "item_pos", "n_tokens": "item_tokens", "slots": "item_slots"})
+    """(doc_id, item_id, n_items, covered, n_tokens) for each document and class of items that it holds; item_id is the class's smallest, n_items its size."""
+    rows = staged(windows(benchmark, item_col, item_text, width))
+    classes = rows.groupBy("shape").agg(F.min("owner").alias("item_id"), F.countDistinct("owner").alias("n_items"))
+    items = staged(rows.drop("owner").dropDuplicates(["shape", "pos"])).withColumnsRenamed({"pos": "item_pos", "n_tokens": "item_tokens", "slots": "item_slots"})
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(items, width))
     hits = staged(windows(docs, id_col, text_col, width, wanted))
-    met = hits.join(items.hint("merge"), ["window", "width"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
-    met = met.where(F.size("slots") == F.size("item_slots"))
-    group = ["owner", "item_id", "offset"]
+    maybe = staged(hits.select("owner", "window", "width").distinct().join(seeds(items, share).hint("merge"), ["window", "width"]).select("owner", "shape").distinct())
+    met = maybe.join(items.hint("merge"), "shape").join(hits.drop("n_tokens").hint("merge"), ["owner", "window", "width"])
+    met = staged(met.where(F.size("slots") == F.size("item_slots")).withColumn("offset", F.col("pos") - F.col("item_pos")))
+    group = ["owner", "shape", "offset"]
     pairs = met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*group, F.col("s.item_slots").alias("x"), F.col("s.slots").alias("y")).distinct()
     clash = pairs.groupBy(*group).agg(F.count("*").alias("n"), F.countDistinct("x").alias("xs"), F.countDistinct("y").alias("ys")).where("n > xs or n > ys").select(*group)
     sound = met.join(clash.hint("merge"), group, "left_anti")
     token = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1))
-    covered = sound.select("owner", "item_id", "item_tokens", token.alias("t")).distinct().groupBy("owner", "item_id", "item_tokens").agg(F.count("*").alias("covered"))
-    return covered.where(F.col("covered") >= share * F.col("item_tokens")).select(F.col("owner").alias("doc_id"), "item_id", "covered", F.col("item_tokens").alias("n_tokens"))
+    covered = sound.select("owner", "shape", "item_tokens", token.alias("t")).distinct().groupBy("owner", "shape", "item_tokens").agg(F.count("*").alias("covered"))
+    covered = covered.where(F.col("covered") >= share * F.col("item_tokens"))
+    return covered.join(classes.hint("merge"), "shape").select(F.col("owner").alias("doc_id"), "item_id", "n_items", "covered", F.col("item_tokens").alias("n_tokens"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per contaminated document: doc_id, n_items, items (sorted)."""
-    return leaks(docs, benchmark, **options).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    """One row per contaminated document: doc_id, n_items (items of all its classes), items (the smallest of each class, sorted)."""
+    return leaks(docs, benchmark, **options).groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -82,3 +82,81 @@ def test_templates_see_through_new_numbers_and_names(spark):
     assert got == {(0, 1), (1, 1), (4, 2)}
     assert templates.contaminated(docs.limit(0), bench).count() == 0
     assert templates.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def own_tokens(text):
+    """(canonical token, value, is a slot) of each word, by the rules in the module's docstring."""
+    out, start = [], True
+    for word in (text or "").split():
+        bare = word.strip(templates._EDGE) or word
+        low = bare.lower()
+        if low in templates._WORDS or templates._NUMBER.fullmatch(bare):
+            kind = "<num>"
+        elif low in templates.UNITS:
+            kind = "<unit>"
+        else:
+            kind = "<name>" if bare[0].isupper() and not start and not (len(bare) > 1 and bare.isupper()) else None
+        out.append((kind or low, low, kind is not None))
+        start = bare != word and word.rstrip("\"'”’)")[-1:] in (".", "!", "?", ":")
+    return out
+
+
+def brute_leaks(doc, item, width=5, share=0.8):
+    """Tokens of the item that consistent matches cover, or None below the share: every window against every other."""
+    d, i = own_tokens(doc), own_tokens(item)
+    w, groups = min(width, len(i)), {}
+    for p in range(len(i) - w + 1) if i else ():
+        for q in range(len(d) - w + 1):
+            a, b = i[p : p + w], d[q : q + w]
+            bare = w < width or all(x[2] for x in a)
+            same = [x[1] for x in a] == [x[1] for x in b] if bare else [x[0] for x in a] == [x[0] for x in b]
+            if same and (w < width or all(x[2] for x in a) == all(x[2] for x in b)):
+                groups.setdefault(q - p, []).append((p, [] if w < width else [(x[1], y[1]) for x, y in zip(a, b, strict=True) if x[2]]))
+    covered = set()
+    for found in groups.values():
+        pairs = {x for _, slots in found for x in slots}
+        if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+            covered |= {t for p, _ in found for t in range(p, p + w)}
+    return len(covered) if i and len(covered) >= share * len(i) else None
+
+
+def test_templates_equal_brute_force(spark):
+    r = random.Random(31)
+    word = lambda: r.choice("a be cat dog eel fox gnu hen 3 4 5 kg Ann Bob ten.".split())
+    phrase = " ".join(word() for _ in range(14))
+    item = lambda: " ".join(word() for _ in range(r.randint(1, 16))) + r.choice(["", " " + phrase]) + " " + word()
+    bench = [(k, item()) for k in range(25)]
+    bench += [(25 + k, t.replace("3", "7").replace("Ann", "Zoe")) for k, (_, t) in enumerate(bench[:12])] + [(40, None), (41, "3 4 5 kg 3 4"), (42, "fox"), (43, "")]
+    docs = []
+    for k in range(70):
+        t = r.choice(bench)[1] or ""
+        t = t.replace("4", r.choice("468")).replace("Bob", r.choice(["Bob", "Eve"]))
+        if r.random() < 0.4:
+            words = t.split()
+            words[r.randrange(len(words)) if words else 0 :][:1] = [word()]
+            t = " ".join(words)
+        docs.append((k, " ".join([*(word() for _ in range(r.randint(0, 9))), t, *(word() for _ in range(r.randint(0, 9)))])))
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    of = {}
+    for x in templates.members(right).collect():
+        of.setdefault(x.representative, set()).add(x.item_id)
+    rows = templates.leaks(left, right).collect()
+    assert all(x.n_items == len(of[x.item_id]) for x in rows)
+    got = {(x.doc_id, i, x.covered) for x in rows for i in of[x.item_id]}
+    want = {(d, i, n) for d, t in docs for i, u in bench if (n := brute_leaks(t, u)) is not None}
+    assert got == want and len(want) > 70 and any(len(x) > 1 for x in of.values())
+
+
+def test_many_items_of_one_frame_are_one_class(spark):
+    frame = "A train leaves the old station at {} and travels {} miles before it meets Mr {} who left at {} with a heavy bag"
+    bench = spark.range(5000).selectExpr("id item_id", "format_string('" + frame.replace("{}", "%s") + "', id + 10000, id + 20000, concat('N', translate(string(id), '0123456789', 'abcdefghij')), id + 30000) text")
+    docs = spark.createDataFrame([(k, "Before it. " + frame.format(k + 1, k + 2000, "Smith", k + 7000) + " and after.") for k in range(200)] + [(200, "A train leaves the old station at noon.")], "doc_id long, text string")
+    rows = templates.leaks(docs, bench).collect()
+    assert sorted(x.doc_id for x in rows) == list(range(200))
+    assert {(x.item_id, x.n_items) for x in rows} == {(0, 5000)}
+
+
+def test_templates_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum dolor 5 sit. " * 60_000 + ITEM), (2, "lorem ipsum dolor 5 sit. " * 60_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in templates.leaks(docs, bench).collect()] == [(1, 1)]
