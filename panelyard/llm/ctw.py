@@ -1,12 +1,14 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A text is its tokens, joined by one space and closed by an end byte. Each byte is
-eight binary decisions; every decision has one context tree over the ``depth`` bytes
-before it. A tree node holds how often either bit followed, its
+eight binary decisions; every decision has one context tree over the ``depth`` symbols
+that it follows: up to five bytes before it, nearest first, then one symbol that hashes the
+word's beginning, however long, so a word of any length is known by all of it. A tree node holds how often either bit followed, its
 Krichevsky-Trofimov estimate, and the weighted probability that mixes the estimate
 with what its children say. Counts come from all training texts. Predictions mix
 the estimates of all depths along the path; where the training texts never reached
-a context, the path ends at the deepest one that they did reach.
+a context, the path ends at the deepest one that they did reach. Below a node with one
+child a level, down to the deepest, nothing new is said (same counts, same prediction), so those are left out.
 
 Counting, the tree, level by level, and the mixture are grouped sums and joins. The
 finished nodes go to the tasks that score, in slices of about ``most`` nodes and as
@@ -30,28 +32,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import MULTIPLIER, mix, portions, signed, staged, word_hashes, words_of
+from panelyard.llm.shared import MULTIPLIER, mix, portions, powers, signed, staged, word_hashes, words_of
 
-DEPTH = 4
-#: Nodes, and words, that a scoring task holds at once (12 and 16 bytes each).
-MOST = 8_000_000
+DEPTH = 6
+#: Of the symbols of a context, so many are bytes; what follows hashes the word's beginning.
+BYTES = 5
+#: Nodes, grams and words that a scoring task holds at once (12, at most 36, and 16 bytes each).
+MOST = 4_000_000
 GRAM, WORD, END = 0, 1, 2
 
 
+def beginnings(b: np.ndarray) -> np.ndarray:
+    """For each byte a 16-bit hash of its word's bytes before it (0 for the first), by running sums of a polynomial."""
+    up, down = powers(1 << len(b).bit_length())
+    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])))
+    start = np.zeros(len(b), np.int64)
+    apart = np.flatnonzero((b == 32) | (b == 10)) + 1
+    apart = apart[apart < len(b)]
+    start[apart] = apart
+    start = np.maximum.accumulate(start)
+    return mix((run[:-1] - run[start]) * down[start]) >> np.uint64(48)
+
+
 def streams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(codes of depth + 1 bytes, one for each byte of each text; number of bytes of each text; words)."""
+    """(codes of a byte and its depth context symbols, one for each byte of each text; number of bytes of each text; words)."""
     words = [words_of(t) for t in texts]
     data = [b" ".join(w) + b"\n" for w in words]
     size = np.array([len(x) for x in data], np.int64)
-    pad = b"\n" * depth
+    near = min(depth, BYTES)
+    pad = b"\n" * near
     b = np.frombuffer(b"".join(pad + x for x in data), np.uint8)
     own = np.ones(len(b), bool)
-    begin = np.concatenate(([0], np.cumsum(size + depth)[:-1]))
-    for k in range(depth):
+    begin = np.concatenate(([0], np.cumsum(size + near)[:-1]))
+    for k in range(near):
         own[begin + k] = False
     code = np.zeros(len(b), np.uint64)
-    for k in range(depth + 1):
-        code[depth:] = (code[depth:] << np.uint64(8)) | b[k : len(b) - depth + k]
+    if depth > near:
+        code |= beginnings(b) & np.uint64((1 << (8 * (depth - near))) - 1)
+    for k in range(near + 1):
+        code[near:] = (code[near:] << np.uint64(8)) | b[k : len(b) - near + k]
     return code[own], size, words
 
 
@@ -98,7 +117,7 @@ def _with_estimate(nodes: DataFrame, deepest: bool) -> DataFrame:
     kt = _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - math.log(math.pi) - _log_gamma(F.col("n0") + F.col("n1") + 1.0)
     nodes = nodes.withColumn("kt", kt)
     if deepest:
-        return nodes.withColumns({"weighted": F.col("kt"), "share": F.lit(1.0)})
+        return nodes.withColumns({"weighted": F.col("kt"), "share": F.lit(1.0), "line": F.lit(True)})
     high, low = F.greatest("kt", "kids"), F.least("kt", "kids")
     weighted = high + F.log1p(F.exp(low - high)) - math.log(2)
     # from the difference of the two: near 1e9 counts the logs are so large that kt - weighted can exceed log 2
@@ -108,7 +127,8 @@ def _with_estimate(nodes: DataFrame, deepest: bool) -> DataFrame:
 def tree(grams: DataFrame, depth: int) -> DataFrame:
     """(depth, context, node, p1): the mixed probability of bit 1 at each node if the path ends there.
 
-    ``grams``: (key, n), a key holding depth + 1 bytes. ``node``: the bits of the byte so far after a leading 1.
+    A node above which a line began (one child a level, all with the same counts) predicts as the line's first, and is left out.
+    ``grams``: (key, n), a key holding a byte and depth symbols. ``node``: the bits of the byte so far after a leading 1.
     """
     byte, context = F.col("key").bitwiseAND(F.lit(255)), F.shiftright("key", 8)
     bits = F.explode(F.array(*(F.struct((F.lit(1 << j) + F.shiftright(byte, 8 - j)).cast("int").alias("node"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8))))
@@ -117,20 +137,20 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     levels = [staged(_with_estimate(level, True))]
     for d in range(depth - 1, -1, -1):
         shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context")
-        level = levels[0].groupBy(shorter, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids"))
+        level = levels[0].groupBy(shorter, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids"), (F.min("line") & (F.count("*") == 1)).alias("line"))
         levels.insert(0, staged(_with_estimate(level, False)))
     own = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     path, out = None, None
     for d, level in enumerate(levels):
-        level = level.select("context", "node", own.alias("own"), "share")
+        level = level.select("context", "node", own.alias("own"), "share", "line")
         if path is None:
             level = level.withColumns({"before": F.lit(0.0), "rest": F.lit(1.0)})
         else:
             shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))
-            up = path.select(F.col("context").alias("up"), F.col("node").alias("up_node"), F.col("so_far").alias("before"), F.col("left").alias("rest"))
+            up = path.select(F.col("context").alias("up"), F.col("node").alias("up_node"), F.col("so_far").alias("before"), F.col("left").alias("rest")).where(~F.col("line"))
             level = level.join(up.hint("merge"), (shorter == F.col("up")) & (F.col("node") == F.col("up_node"))).drop("up", "up_node")
         mixed = level.withColumns({"so_far": F.col("before") + F.col("rest") * F.col("share") * F.col("own"), "left": F.col("rest") * (1 - F.col("share")), "p1": F.col("before") + F.col("rest") * F.col("own")})
-        path = staged(mixed.select("context", "node", "so_far", "left", "p1"))
+        path = staged(mixed.select("context", "node", "so_far", "left", "p1", "line"))
         part = path.select(F.lit(d).alias("depth"), "context", "node", "p1")
         out = part if out is None else out.unionByName(part)
     return out
@@ -186,7 +206,7 @@ class Slice:
 
     def _index(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing over the grams that training texts have."""
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 3 // 2).bit_length())
         size = 1 << self.bits
         self.slots, self.logs = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, np.float32)
         todo, at = np.arange(len(keys)), self._slot(keys)
@@ -300,7 +320,7 @@ def slices(nodes: DataFrame, grams: DataFrame, words: DataFrame, parts: int) ->
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, most: int = MOST) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Learns from the rows where ``held_out`` is not true. ``depth``: 2 to 6 bytes.
+    Learns from the rows where ``held_out`` is not true. ``depth``: 2 to 6 symbols.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -314,7 +334,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     total, distinct = of(WORD, "n") + ends, words + (1 if ends else 0)
     grams, word_rows = (counts.where(F.col("kind") == k).select("key", "n") for k in (GRAM, WORD))
     nodes = tree(grams, depth)
-    parts = min(65536, max(1, -(-max(nodes.count(), of(GRAM, "distinct"), words) // most)))
+    parts = max(1, -(-max(nodes.count(), of(GRAM, "distinct"), words) // most))
     if parts > 1:
         # every pass scores the same rows, so they are written with a number
         source = staged(source.withColumn("row", F.monotonically_increasing_id()))

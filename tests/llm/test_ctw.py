@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelyard.llm import ctw
+from panelyard.llm.shared import MULTIPLIER, mix
 
 
 def tokens(t):
@@ -36,8 +37,17 @@ class Brute:
         self.w = {}
 
     def steps(self, s):
-        s = b"\n" * self.depth + s
-        return ((s[k - self.depth : k], s[k]) for k in range(self.depth, len(s)))
+        near = min(self.depth, 5)
+        s = b"\n" * near + s
+        for k in range(near, len(s)):
+            word = s[:k].replace(b"\n", b" ").rpartition(b" ")[2]
+            yield self.beginning(word)[2 - self.depth + near :] + s[k - near : k], s[k]
+
+    @staticmethod
+    def beginning(word):
+        """The two symbols that name a word's beginning, the farther one first."""
+        h = sum((c + 1) * pow(int(MULTIPLIER), i, 2**64) for i, c in enumerate(word)) % 2**64
+        return int(mix(np.array([h], np.uint64))[0] >> np.uint64(48)).to_bytes(2, "big")
 
     @staticmethod
     def bits(byte):
@@ -84,9 +94,9 @@ def test_equals_brute_force(spark):
     train = [t for t, o in zip(texts, out, strict=True) if not o]
     c = Counter(w for t in train for w in [*tokens(t), None])
     n, v = sum(c.values()), len(c)
-    brute = Brute([s for s, o in zip(stream, out, strict=True) if not o], 3)
-    for most in (8_000_000, 300):
-        got = {x.doc_id: x for x in ctw.score(docs, held, depth=3, most=most).collect()}
+    for depth, most in ((3, 8_000_000), (3, 300), (6, 8_000_000), (6, 300)):
+        brute = Brute([s for s, o in zip(stream, out, strict=True) if not o], depth)
+        got = {x.doc_id: x for x in ctw.score(docs, held, depth=depth, most=most).collect()}
         for i, t in enumerate(texts):
             own = [*tokens(t), None]
             assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (out[i], len(own), sum(c[w] > 0 for w in own), n)
@@ -117,3 +127,19 @@ def test_rare_bytes_after_very_frequent_contexts(spark):
         assert np.isfinite(log(code)) and abs(log(code) - rare) < 0.5
     assert -1e-6 < log(b"xa") < 0
     assert np.isfinite(log(b"ya")) and np.isfinite(log(b"zz"))
+
+
+def test_held_out_texts_score_above_the_word_base(spark):
+    """With 14 MB to learn from; 1.4 MB (sf0.01) are too few for that."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    sums = {x.held_out: x for x in ctw.score(docs, held).groupBy("held_out").agg(F.sum("score").alias("own"), F.sum("base_score").alias("base")).collect()}
+    assert all(sums[k].own > sums[k].base for k in (True, False)), sums
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    text = "ab Abé " * 300_000
+    docs = spark.createDataFrame([(1, text, 7, 8, 9), (4, "ab abé", 7, 8, 9)], "doc_id long, text string, row int, held_out int, n_bytes int")
+    got = {x.doc_id: x for x in ctw.score(docs, F.col("doc_id") == 4, most=1000).collect()}
+    assert (got[1].n_tokens, got[4].n_tokens, got[4].n_known, got[4].held_out, got[1].held_out) == (600_001, 3, 3, True, False)
+    assert got[4].score > got[4].base_score - 3 and got[1].score > got[1].base_score
