@@ -134,11 +134,12 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     bits = F.explode(F.array(*(F.struct((F.lit(1 << j) + F.shiftright(byte, 8 - j)).cast("int").alias("node"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8))))
     rows = grams.select(context.alias("context"), bits.alias("b"), "n")
     level = rows.groupBy("context", "b.node").agg(F.sum(F.col("n") * (1 - F.col("b.bit"))).alias("n0"), F.sum(F.col("n") * F.col("b.bit")).alias("n1"))
-    levels = [staged(_with_estimate(level, True))]
+    # what the counts tell is worked out again, not written
+    levels = [_with_estimate(staged(level), True)]
     for d in range(depth - 1, -1, -1):
         shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context")
         level = levels[0].groupBy(shorter, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids"), (F.min("line") & (F.count("*") == 1)).alias("line"))
-        levels.insert(0, staged(_with_estimate(level, False)))
+        levels.insert(0, staged(_with_estimate(level, False).drop("kt", "kids")))
     own = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     path, out = None, None
     for d, level in enumerate(levels):
