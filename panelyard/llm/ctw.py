@@ -132,7 +132,8 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     """
     byte, context = F.col("key").bitwiseAND(F.lit(255)), F.shiftright("key", 8)
     bits = F.explode(F.array(*(F.struct((F.lit(1 << j) + F.shiftright(byte, 8 - j)).cast("int").alias("node"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8))))
-    rows = grams.select(context.alias("context"), bits.alias("b"), "n")
+    # dealt by context before the bits are told, an eighth of the rows; a context has at most 256 bytes
+    rows = grams.withColumn("context", context).repartition("context").select("context", bits.alias("b"), "n")
     level = rows.groupBy("context", "b.node").agg(F.sum(F.col("n") * (1 - F.col("b.bit"))).alias("n0"), F.sum(F.col("n") * F.col("b.bit")).alias("n1"))
     # what the counts tell is worked out again, not written
     levels = [_with_estimate(staged(level), True)]
