@@ -7,13 +7,16 @@ word's beginning, however long, so a word of any length is known by all of it. A
 Krichevsky-Trofimov estimate, and the weighted probability that mixes the estimate
 with what its children say. Counts come from all training texts. Predictions mix
 the estimates of all depths along the path; where the training texts never reached
-a context, the path ends at the deepest one that they did reach. Below a node with one
-child a level, down to the deepest, nothing new is said (same counts, same prediction), so those are left out.
+a context, the path ends at the deepest one that they did reach.
 
-Counting, the tree, level by level, and the mixture are grouped sums and joins. The
-finished nodes go to the tasks that score, in slices of about ``most`` nodes and as
-many words: nodes by a hash of the last two context bytes (the few of shorter contexts
-go with every slice), words by their hash. So a tree of any size needs bounded memory
+Grams are the distinct pairs of a context and its byte that any text has, with their counts in
+training texts (0 for those of held-out texts alone). Below contexts of ``cut`` bytes the tree is worked out
+in arrays, by tasks that hold whole subtrees: once upwards to the weighted probability of the subtree's root, and, when
+the few shorter contexts are mixed by grouped sums and joins, once downwards to the probability of every
+gram. ``cut`` is 3, or 4 once a subtree has over ``WIDE`` grams; below four bytes there are at most 2^24 grams.
+
+The grams and their logs go to the tasks that score, in slices of about ``most`` grams and as
+many words, by hash. So a model of any size needs bounded memory
 and only more passes. A pass reads the texts and writes a few sums for each row.
 
 Defined results: null text is empty and consists of the end alone. A null id is
@@ -32,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import MULTIPLIER, mix, portions, powers, signed, staged, word_hashes, words_of
+from panelyard.llm.shared import MULTIPLIER, distinct, mix, portions, powers, signed, staged, word_hashes, words_of
 
 DEPTH = 6
 #: Of the symbols of a context, so many are bytes; what follows hashes the word's beginning.
 BYTES = 5
-#: Nodes, grams and words that a scoring task holds at once (12, at most 36, and 16 bytes each).
-MOST = 4_000_000
+#: Grams and words that a scoring task holds at once (at most 36 and 16 bytes each).
+MOST = 5_500_000
+#: Grams of one subtree beyond which subtrees begin one byte deeper.
+WIDE = 1_000_000
+#: Grams that a task gets on average when subtrees are worked out.
+SHARE = 400_000
 GRAM, WORD, END = 0, 1, 2
 
 
@@ -55,7 +62,7 @@ def beginnings(b: np.ndarray) -> np.ndarray:
 
 
 def streams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(codes of a byte and its depth context symbols, one for each byte of each text; number of bytes of each text; words)."""
+    """(codes, one for each byte of each text: its depth context symbols, nearest first, then itself; number of bytes of each text; words)."""
     words = [words_of(t) for t in texts]
     data = [b" ".join(w) + b"\n" for w in words]
     size = np.array([len(x) for x in data], np.int64)
@@ -67,10 +74,12 @@ def streams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray
     for k in range(near):
         own[begin + k] = False
     code = np.zeros(len(b), np.uint64)
+    for k in range(1, near + 1):
+        code[near:] = (code[near:] << np.uint64(8)) | b[near - k : len(b) - k]
     if depth > near:
-        code |= beginnings(b) & np.uint64((1 << (8 * (depth - near))) - 1)
-    for k in range(near + 1):
-        code[near:] = (code[near:] << np.uint64(8)) | b[k : len(b) - near + k]
+        far = np.uint64(8 * (depth - near))
+        code = (code << far) | (beginnings(b) & np.uint64((1 << int(far)) - 1))
+    code = (code << np.uint64(8)) | b
     return code[own], size, words
 
 
@@ -86,18 +95,22 @@ def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = []
-            for part in portions(texts):
-                codes, _, words = streams(texts[part], depth)
-                found.append((np.unique(codes, return_counts=True), np.unique(word_hashes([w for ws in words for w in ws]), return_counts=True)))
-            if not found:
-                continue
-            gram, n = _added([x[0] for x in found])
-            word, c = _added([x[1] for x in found])
+            texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            train, held = [t for t, o in zip(texts, out, strict=True) if not o], [t for t, o in zip(texts, out, strict=True) if o]
+            nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            grams, found = [nothing], [nothing]
+            for part in portions(train):
+                codes, _, words = streams(train[part], depth)
+                grams.append(np.unique(codes, return_counts=True))
+                found.append(np.unique(word_hashes([w for ws in words for w in ws]), return_counts=True))
+            for part in portions(held):
+                codes = distinct(streams(held[part], depth)[0])
+                grams.append((codes, np.zeros(len(codes), np.int64)))
+            gram, n = _added(grams)
+            word, c = _added(found)
             kind = np.concatenate((np.full(len(gram), GRAM), np.full(len(word), WORD), [END])).astype(np.int32)
             keys = np.concatenate((signed(gram), signed(word), [0]))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate((n, c, [batch.num_rows])))], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate((n, c, [len(train)])))], ["kind", "key", "n"])
 
     return run
 
@@ -112,56 +125,179 @@ def _log_gamma(x: Column) -> Column:
     return series - F.log(product)
 
 
-def _with_estimate(nodes: DataFrame, deepest: bool) -> DataFrame:
-    """Adds the log of the node's estimate, of its weighted probability, and the share of its own estimate."""
+def _with_estimate(nodes: DataFrame) -> DataFrame:
+    """Adds the log of the node's weighted probability and the share of its own estimate."""
     kt = _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - math.log(math.pi) - _log_gamma(F.col("n0") + F.col("n1") + 1.0)
-    nodes = nodes.withColumn("kt", kt)
-    if deepest:
-        return nodes.withColumns({"weighted": F.col("kt"), "share": F.lit(1.0), "line": F.lit(True)})
     high, low = F.greatest("kt", "kids"), F.least("kt", "kids")
     weighted = high + F.log1p(F.exp(low - high)) - math.log(2)
     # from the difference of the two: near 1e9 counts the logs are so large that kt - weighted can exceed log 2
-    return nodes.withColumn("weighted", weighted).withColumn("share", 1 / (1 + F.exp(F.col("kids") - F.col("kt"))))
+    return nodes.withColumn("kt", kt).withColumns({"weighted": weighted, "share": 1 / (1 + F.exp(F.col("kids") - F.col("kt")))}).drop("kt", "kids")
 
 
-def tree(grams: DataFrame, depth: int) -> DataFrame:
-    """(depth, context, node, p1): the mixed probability of bit 1 at each node if the path ends there.
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    z = x + 8
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    product = x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return series - np.log(product)
 
-    A node above which a line began (one child a level, all with the same counts) predicts as the line's first, and is left out.
-    ``grams``: (key, n), a key holding a byte and depth symbols. ``node``: the bits of the byte so far after a leading 1.
-    """
-    byte, context = F.col("key").bitwiseAND(F.lit(255)), F.shiftright("key", 8)
-    bits = F.explode(F.array(*(F.struct((F.lit(1 << j) + F.shiftright(byte, 8 - j)).cast("int").alias("node"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8))))
-    # dealt by context before the bits are told, an eighth of the rows; a context has at most 256 bytes
-    rows = grams.withColumn("context", context).repartition("context").select("context", bits.alias("b"), "n")
-    level = rows.groupBy("context", "b.node").agg(F.sum(F.col("n") * (1 - F.col("b.bit"))).alias("n0"), F.sum(F.col("n") * F.col("b.bit")).alias("n1"))
-    # what the counts tell is worked out again, not written
-    levels = [_with_estimate(staged(level), True)]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context")
-        level = levels[0].groupBy(shorter, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids"), (F.min("line") & (F.count("*") == 1)).alias("line"))
-        levels.insert(0, staged(_with_estimate(level, False).drop("kt", "kids")))
-    own = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    path, out = None, None
-    for d, level in enumerate(levels):
-        level = level.select("context", "node", own.alias("own"), "share", "line")
-        if path is None:
-            level = level.withColumns({"before": F.lit(0.0), "rest": F.lit(1.0)})
-        else:
-            shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))
-            up = path.select(F.col("context").alias("up"), F.col("node").alias("up_node"), F.col("so_far").alias("before"), F.col("left").alias("rest")).where(~F.col("line"))
-            level = level.join(up.hint("merge"), (shorter == F.col("up")) & (F.col("node") == F.col("up_node"))).drop("up", "up_node")
-        mixed = level.withColumns({"so_far": F.col("before") + F.col("rest") * F.col("share") * F.col("own"), "left": F.col("rest") * (1 - F.col("share")), "p1": F.col("before") + F.col("rest") * F.col("own")})
-        path = staged(mixed.select("context", "node", "so_far", "left", "p1", "line"))
-        part = path.select(F.lit(d).alias("depth"), "context", "node", "p1")
-        out = part if out is None else out.unionByName(part)
+
+#: log gamma of k + 1/2 and of k + 1 for small counts k.
+SMALL = log_gamma(np.arange(4096) + 0.5), log_gamma(np.arange(4096) + 1.0)
+
+
+def _count_gamma(n: np.ndarray, whole: bool) -> np.ndarray:
+    out = SMALL[whole][np.minimum(n, 4095)]
+    large = np.flatnonzero(n > 4095)
+    out[large] = log_gamma(n[large] + (1.0 if whole else 0.5))
     return out
 
 
-def packed(nodes: DataFrame) -> DataFrame:
-    """(key, p): ``p`` is p1, or p1 - 1 where that is nearer to 0, so that a float holds the rarer bit's probability in full."""
-    key = F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("node").cast("long"))
-    return nodes.select(key.alias("key"), F.when(F.col("p1") > 0.5, F.col("p1") - 1).otherwise(F.col("p1")).cast("float").alias("p"))
+def log_estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov estimate of a sequence with these counts."""
+    return _count_gamma(n0, False) + _count_gamma(n1, False) - math.log(math.pi) - _count_gamma(n0 + n1, True)
+
+
+def _heads(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where a run of equal values begins, number of each place's run)."""
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+class Level:
+    """The nodes of one bit and one depth: counts, share of the own estimate, the node of each deeper one."""
+
+    def __init__(self, n0, n1, share, of):
+        self.n0, self.n1, self.share, self.of = n0, n1, share, of
+        self.own, self.none = (n1 + 0.5) / (n0 + n1 + 1.0), n0 + n1 == 0
+
+
+def subtrees(keys: np.ndarray, n: np.ndarray, bit: int, depth: int, cut: int) -> tuple[np.ndarray, np.ndarray, list[Level]]:
+    """(root context and node, log of its weighted probability, levels from depth to cut) for one bit of the byte.
+
+    ``keys``: sorted grams that make whole subtrees. A node nobody trained has the estimate 1 and changes nothing above it.
+    """
+    j = np.uint64(bit)
+    prefix = keys >> (np.uint64(8) - j)
+    head, of = _heads(prefix)
+    ones = n * ((keys >> (np.uint64(7) - j)) & np.uint64(1)).astype(np.int64)
+    n1 = np.add.reduceat(ones, head)
+    n0 = np.add.reduceat(n, head) - n1
+    name, weighted = prefix[head], log_estimate(n0, n1)
+    levels = [Level(n0, n1, np.ones(len(n0)), of)]
+    mask = np.uint64((1 << bit) - 1)
+    for _ in range(depth - cut):
+        up = ((name >> (j + np.uint64(8))) << j) | (name & mask)
+        order = np.argsort(up, kind="stable")
+        ordered = up[order]
+        head, number = _heads(ordered)
+        n0, n1, kids = (np.add.reduceat(x[order], head) for x in (n0, n1, weighted))
+        of = np.empty(len(order), np.int64)
+        of[order] = number
+        estimate = log_estimate(n0, n1)
+        with np.errstate(over="ignore"):
+            levels.append(Level(n0, n1, 1 / (1 + np.exp(kids - estimate)), of))
+        name, weighted = ordered[head], np.logaddexp(estimate, kids) - math.log(2)
+    return ((name >> j) << np.uint64(8)) | np.uint64(1 << bit) | (name & mask), weighted, levels
+
+
+def bit_of_grams(levels: list[Level], so_far: np.ndarray, left: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Probability of bit 1 for each gram, from what the nodes above the roots say (see ``tops``)."""
+    for k, level in enumerate(reversed(levels)):
+        if k:
+            so_far, left, p1 = so_far[of], left[of], p1[of]
+        before, rest = np.where(level.none, p1, so_far), np.where(level.none, 0.0, left)
+        p1 = before + rest * level.own
+        so_far, left, of = before + rest * level.share * level.own, rest * (1 - level.share), level.of
+    return p1[of]
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The columns of one partition, sorted by the first."""
+    columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not columns:
+        return []
+    columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
+
+
+def _upwards(depth: int, cut: int):
+    """Roots of the subtrees of a partition: context, node, counts, weighted probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(batches)
+        if held and len(held[0]):
+            for bit in range(8):
+                name, weighted, levels = subtrees(held[0].view(np.uint64), held[1], bit, depth, cut)
+                columns = signed(name >> np.uint64(8)), (name & np.uint64(255)).astype(np.int32), levels[-1].n0, levels[-1].n1, weighted
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "node", "n0", "n1", "weighted"])
+
+    return run
+
+
+def _downwards(depth: int, cut: int):
+    """log10 of the probability of each gram; rows of negative key tell what lies above a root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(batches)
+        if not held:
+            return
+        grams = int(np.searchsorted(held[0], 0))
+        keys, n = held[0][grams:].view(np.uint64), held[1][grams:].astype(np.int64)
+        if not len(keys):
+            return
+        # from -1 downwards
+        names, above = (-1 - held[0][:grams][::-1]).view(np.uint64), [c[:grams][::-1] for c in held[1:]]
+        logs = np.zeros(len(keys))
+        for bit in range(8):
+            name, _, levels = subtrees(keys, n, bit, depth, cut)
+            at = np.searchsorted(names, name)
+            p1 = bit_of_grams(levels, *(c[at] for c in above))
+            logs += np.log10(np.where((keys >> np.uint64(7 - bit)) & np.uint64(1) == 1, p1, 1 - p1))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(logs.astype(np.float32))], ["key", "log"])
+
+    return run
+
+
+def tops(roots: DataFrame, cut: int) -> DataFrame:
+    """(context, node, so_far, left, p1) for each root: what its path gave before it, the share that is left, and bit 1's probability if the path ends before it."""
+    levels = [roots]
+    for _ in range(cut):
+        level = levels[0].groupBy(F.shiftright("context", 8).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids"))
+        levels.insert(0, staged(_with_estimate(level)))
+    above = levels[0].select("context", "node", F.lit(0.0).alias("so_far"), F.lit(1.0).alias("left"), F.lit(0.5).alias("p1"))
+    for d in range(cut):
+        own, none = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0), F.col("n0") + F.col("n1") == 0
+        before, rest = F.when(none, F.col("p1")).otherwise(F.col("so_far")), F.when(none, 0.0).otherwise(F.col("left"))
+        level = levels[d].select("context", "node", "n0", "n1", "share")
+        both = level.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0), "p1": F.lit(0.5)}) if d == 0 else level.join(above.hint("merge"), ["context", "node"])
+        path = both.select(F.col("context").alias("up"), F.col("node").alias("up_node"), (before + rest * F.col("share") * own).alias("so_far"), (rest * (1 - F.col("share"))).alias("left"), (before + rest * own).alias("p1"))
+        below = levels[d + 1].select("context", "node")
+        above = below.join(path.hint("merge"), (F.shiftright("context", 8) == F.col("up")) & (F.col("node") == F.col("up_node"))).drop("up", "up_node")
+    return above
+
+
+def gram_logs(grams: DataFrame, depth: int, wide: int = WIDE, share: int = SHARE) -> DataFrame:
+    """(key, log): log10 of the probability of each gram's byte after its context.
+
+    ``grams``: (key, n), distinct keys that hold depth symbols, nearest first, and a byte; n is 0 for grams that only ask.
+    """
+    cut = min(3, depth)
+    root = lambda c: F.shiftright("key", 8 * (depth - c + 1))
+    sizes = grams.groupBy(root(cut)).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if sizes["all"] is None:
+        return grams.select("key", F.lit(0.0).cast("float").alias("log"))
+    if sizes["most"] > wide and depth > cut:
+        cut += 1
+    tasks = max(1, -(-sizes["all"] // share))
+    roots = staged(grams.select("key", "n").repartition(tasks, root(cut)).mapInArrow(_upwards(depth, cut), "context long, node int, n0 long, n1 long, weighted double"))
+    above = tops(roots, cut).select((-1 - F.shiftleft("context", 8).bitwiseOR(F.col("node").cast("long"))).alias("key"), F.col("so_far").alias("a"), F.col("left").alias("b"), F.col("p1").alias("c"))
+    nothing = F.lit(0.0)
+    rows = grams.select("key", F.col("n").cast("double").alias("a"), nothing.alias("b"), nothing.alias("c")).unionByName(above)
+    dealt = rows.repartition(tasks, F.when(F.col("key") < 0, F.shiftright(-1 - F.col("key"), 8)).otherwise(root(cut)))
+    return dealt.mapInArrow(_downwards(depth, cut), "key long, log float")
 
 
 def fetched(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -176,38 +312,16 @@ def fetched(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray
 
 
 class Slice:
-    """Nodes, grams and words that one scoring pass holds; nodes and words are sorted."""
+    """Grams and words that one scoring pass holds; words are sorted."""
 
-    def __init__(self, depth: int, part: int, parts: int, node_keys, p, grams, words, counts, total: int, distinct: int, ends: int):
+    def __init__(self, depth: int, part: int, parts: int, grams, logs, words, counts, total: int, distinct: int, ends: int):
         self.depth, self.part, self.parts, self.ends = depth, part, parts, ends
-        self.nodes, self.p = node_keys, p
         self.words, self.counts = words, counts
         self.total, self.distinct = total, distinct
-        self._index(grams, self.byte_logs(grams))
-
-    def byte_logs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each code after the others."""
-        out = np.zeros(len(codes))
-        byte, context = codes & np.uint64(255), codes >> np.uint64(8)
-        for j in range(8):
-            node = np.uint64(1 << j) + (byte >> np.uint64(8 - j))
-            bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-            p0, p1 = np.full(len(codes), 0.5), np.full(len(codes), 0.5)
-            todo = np.arange(len(codes))
-            for d in range(self.depth, -1, -1):
-                if not len(todo) or not len(self.nodes):
-                    break
-                key = node_key(d, context[todo] & np.uint64((1 << (8 * d)) - 1), node[todo])
-                at = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
-                hit = self.nodes[at] == key
-                p = self.p[at[hit]].astype(np.float64)
-                p0[todo[hit]], p1[todo[hit]] = np.where(p < 0, -p, 1 - p), np.where(p < 0, 1 + p, p)
-                todo = todo[~hit]
-            out += np.log10(np.where(bit == 1, p1, p0))
-        return out
+        self._index(grams, logs)
 
     def _index(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Open addressing over the grams that training texts have."""
+        """Open addressing over the grams."""
         self.bits = max(4, int(len(keys) * 3 // 2).bit_length())
         size = 1 << self.bits
         self.slots, self.logs = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, np.float32)
@@ -230,17 +344,12 @@ class Slice:
         out = self.logs[at].astype(np.float64)
         todo = np.flatnonzero(found != codes)
         at = at[todo]
-        unseen = []
         while len(todo):
-            empty = self.slots[at] == np.uint64(2**64 - 1)
-            unseen.append(todo[empty])
-            todo, at = todo[~empty], (at[~empty] + 1) & (len(self.slots) - 1)
+            # every gram of a text has its place, so the search ends
+            at = (at + 1) & (len(self.slots) - 1)
             hit = self.slots[at] == codes[todo]
             out[todo[hit]] = self.logs[at[hit]]
             todo, at = todo[~hit], at[~hit]
-        if unseen and len(rest := np.concatenate(unseen)):
-            distinct, back = np.unique(codes[rest], return_inverse=True)
-            out[rest] = self.byte_logs(distinct)[back]
         return out
 
     def word_counts(self, h: np.ndarray) -> np.ndarray:
@@ -255,10 +364,6 @@ def part_of(values: np.ndarray, parts: int) -> np.ndarray:
     return (mix(values) % np.uint64(parts)).astype(np.int64)
 
 
-def node_key(depth, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (np.uint64(depth) << np.uint64(56)) | (context.astype(np.uint64) << np.uint64(8)) | node.astype(np.uint64)
-
-
 def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
     run = np.concatenate(([0.0], np.cumsum(values)))
@@ -274,7 +379,7 @@ def _score_portion(m: Slice, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     base = np.log10((count + 1) / (m.total + m.distinct + 1))
     if m.parts > 1:
         logs = np.zeros(len(codes))
-        mine = part_of((codes >> np.uint64(8)) & np.uint64(65535), m.parts) == m.part
+        mine = part_of(codes, m.parts) == m.part
         logs[mine] = m.score(codes[mine])
         base[part_of(h, m.parts) != m.part] = 0
     else:
@@ -299,24 +404,21 @@ def _score(shared):
     return run
 
 
-def _of_part(part: int, parts: int, mask: int, shift: int):
-    """Rows whose key, shifted and masked, belongs to a part."""
+def _of_part(part: int, parts: int):
+    """Rows whose key belongs to a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)) & np.uint64(mask)
-            yield batch.filter(pa.array(part_of(keys, parts) == part))
+            yield batch.filter(pa.array(part_of(batch.column(0).to_numpy().view(np.uint64), parts) == part))
 
     return run
 
 
-def slices(nodes: DataFrame, grams: DataFrame, words: DataFrame, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(node keys, p, grams, words, their counts) of each part: tables of about ``MOST`` rows, whatever the corpus."""
-    low, deep = packed(nodes.where("depth < 2")), packed(nodes.where("depth >= 2"))
+def slices(logs: DataFrame, words: DataFrame, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(grams, their logs, words, their counts) of each part: tables of about ``MOST`` rows, whatever the corpus."""
     for part in range(parts):
-        own = [df if parts == 1 else df.mapInArrow(_of_part(part, parts, mask, shift), kind) for df, mask, shift, kind in ((deep, 65535, 8, "key long, p float"), (grams, 65535, 8, "key long, n long"), (words, (1 << 64) - 1, 0, "key long, n long"))]
-        node_keys, p = fetched(low.unionByName(own[0]), "key", "p")
-        yield node_keys, p, fetched(own[1], "key", "n")[0], *fetched(own[2], "key", "n")
+        own = [df if parts == 1 else df.mapInArrow(_of_part(part, parts), df.schema) for df in (logs, words)]
+        yield *fetched(own[0], "key", "log"), *fetched(own[1], "key", "n")
 
 
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, most: int = MOST) -> DataFrame:
@@ -328,23 +430,23 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     n_bytes = F.coalesce(F.length(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), n_bytes.alias("n_bytes"))
-    counts = source.where(~F.col("held_out")).select("text").mapInArrow(_count(depth), "kind int, key long, n long")
+    counts = source.select("text", "held_out").mapInArrow(_count(depth), "kind int, key long, n long")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     facts = {x["kind"]: x for x in counts.groupBy("kind").agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).collect()}
     of = lambda k, what: facts[k][what] if k in facts else 0
     ends, words = of(END, "n"), of(WORD, "distinct")
-    total, distinct = of(WORD, "n") + ends, words + (1 if ends else 0)
+    total, known = of(WORD, "n") + ends, words + (1 if ends else 0)
     grams, word_rows = (counts.where(F.col("kind") == k).select("key", "n") for k in (GRAM, WORD))
-    nodes = tree(grams, depth)
-    parts = max(1, -(-max(nodes.count(), of(GRAM, "distinct"), words) // most))
+    logs = staged(gram_logs(grams, depth))
+    parts = max(1, -(-max(of(GRAM, "distinct"), words) // most))
     if parts > 1:
         # every pass scores the same rows, so they are written with a number
         source = staged(source.withColumn("row", F.monotonically_increasing_id()))
     name = "row" if parts > 1 else "doc_id"
     schema = f"row {'long' if parts > 1 else kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     passes = None
-    for part, tables in enumerate(slices(nodes, grams, word_rows, parts)):
-        model = Slice(depth, part, parts, *tables, total, distinct, ends)
+    for part, tables in enumerate(slices(logs, word_rows, parts)):
+        model = Slice(depth, part, parts, *tables, total, known, ends)
         del tables
         shared = spark.sparkContext.broadcast(model)
         one = source.select(name, "text", "held_out", "n_bytes").mapInArrow(_score(shared), schema)

@@ -114,12 +114,11 @@ def test_edge_rows(spark):
 
 def test_rare_bytes_after_very_frequent_contexts(spark):
     n = 10**9
-    # after "x" always "a"; after "y" once "b"
-    grams = spark.createDataFrame([(ord("x") << 8 | ord("a"), n), (ord("y") << 8 | ord("b"), 1)], "key long, n long")
-    keys, p = ctw.fetched(ctw.packed(ctw.tree(grams, 1)), "key", "p")
-    none = np.zeros(0, np.uint64)
-    model = ctw.Slice(1, 0, 1, keys, p, none, none, none, 0, 0, 0)
-    log = lambda pair: float(model.byte_logs(np.array([pair[0] << 8 | pair[1]], np.uint64))[0])
+    # after "x" always "a"; after "y" once "b"; the others only ask
+    asked = [b"xb", b"xA", b"x\x01", b"ya", b"zz"]
+    rows = [(ord("x") << 8 | ord("a"), n), (ord("y") << 8 | ord("b"), 1)] + [(k[0] << 8 | k[1], 0) for k in asked]
+    logs = {x.key: x.log for x in ctw.gram_logs(spark.createDataFrame(rows, "key long, n long"), 1).collect()}
+    log = lambda pair: logs[pair[0] << 8 | pair[1]]
     # "b", "A" and \x01 leave the way of "a" at bit 7, 3 and 2; the bits after that were not seen here
     for code, unseen in ((b"xb", 1), (b"xA", 5), (b"x\x01", 6)):
         # the one "b" after "y" at most triples the estimate
@@ -129,6 +128,23 @@ def test_rare_bytes_after_very_frequent_contexts(spark):
     assert np.isfinite(log(b"ya")) and np.isfinite(log(b"zz"))
 
 
+def test_subtrees_cut_deeper_and_dealt_to_many_tasks(spark):
+    r = random.Random(3)
+    texts = [b" ".join(bytes(r.choice(b"abc") for _ in range(r.randint(1, 6))) for _ in range(20)) + b"\n" for _ in range(40)]
+    brute = Brute(texts[:30], 6)
+    counts = Counter(step for t in texts[:30] for step in brute.steps(t))
+    counts.update({step: 0 for t in texts[30:] for step in brute.steps(t)})
+    name = lambda context, byte: int.from_bytes(context[::-1] + bytes([byte]), "big")
+    grams = spark.createDataFrame([(name(*step), n) for step, n in counts.items()], "key long, n long")
+    for wide, share in ((1, 50), (10**6, 50), (10**6, 10**6)):
+        logs = {x.key: x.log for x in ctw.gram_logs(grams, 6, wide=wide, share=share).collect()}
+        assert len(logs) == len(counts)
+        for context, byte in counts:
+            p = [(brute.p1(context, node), bit) for node, bit in brute.bits(byte)]
+            own = sum(math.log10(0.5 if x is None else x if bit else 1 - x) for x, bit in p)
+            assert abs(logs[name(context, byte)] - own) < 1e-5 * max(1, abs(own))
+
+
 def test_held_out_texts_score_above_the_word_base(spark):
     """With 14 MB to learn from; 1.4 MB (sf0.01) are too few for that."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
