@@ -61,26 +61,36 @@ def beginnings(b: np.ndarray) -> np.ndarray:
     return mix((run[:-1] - run[start]) * down[start]) >> np.uint64(48)
 
 
-def streams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(codes, one for each byte of each text: its depth context symbols, nearest first, then itself; number of bytes of each text; words)."""
-    words = [words_of(t) for t in texts]
-    data = [b" ".join(w) + b"\n" for w in words]
-    size = np.array([len(x) for x in data], np.int64)
-    near = min(depth, BYTES)
+def _codes(data: list[bytes], depth: int) -> np.ndarray:
+    size, near = np.array([len(x) for x in data], np.int64), min(depth, BYTES)
     pad = b"\n" * near
     b = np.frombuffer(b"".join(pad + x for x in data), np.uint8)
     own = np.ones(len(b), bool)
     begin = np.concatenate(([0], np.cumsum(size + near)[:-1]))
     for k in range(near):
         own[begin + k] = False
-    code = np.zeros(len(b), np.uint64)
+    code, byte = np.zeros(len(b), np.uint64), np.uint64(8)
     for k in range(1, near + 1):
-        code[near:] = (code[near:] << np.uint64(8)) | b[near - k : len(b) - k]
+        np.left_shift(code, byte, out=code)
+        code[near:] |= b[near - k : len(b) - k]
     if depth > near:
-        far = np.uint64(8 * (depth - near))
-        code = (code << far) | (beginnings(b) & np.uint64((1 << int(far)) - 1))
-    code = (code << np.uint64(8)) | b
-    return code[own], size, words
+        far = 8 * (depth - near)
+        np.left_shift(code, np.uint64(far), out=code)
+        code |= beginnings(b) & np.uint64((1 << far) - 1)
+    np.left_shift(code, byte, out=code)
+    code |= b
+    return code[own]
+
+
+def streams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """(codes, one for each byte of each text: its depth context symbols, nearest first, then itself; number of bytes of each text; words).
+
+    Codes are made for about 100,000 characters at a time, so that their arrays stay in the processor's caches.
+    """
+    words = [words_of(t) for t in texts]
+    data = [b" ".join(w) + b"\n" for w in words]
+    parts = [_codes(data[part], depth) for part in portions(texts, 100_000)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(x) for x in data], np.int64), words
 
 
 def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,12 +311,10 @@ def gram_logs(grams: DataFrame, depth: int, wide: int = WIDE, share: int = SHARE
 
 
 def fetched(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, values) of a table of checked size, sorted by key; the table itself is let go."""
+    """(keys, values) of a table of checked size; the table itself is let go."""
     table = df.select(key, value).toArrow()
     keys, values = table[key].to_numpy().view(np.uint64), table[value].to_numpy()
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    del table, order
+    del table
     pa.default_memory_pool().release_unused()
     return keys, values
 
@@ -316,7 +324,8 @@ class Slice:
 
     def __init__(self, depth: int, part: int, parts: int, grams, logs, words, counts, total: int, distinct: int, ends: int):
         self.depth, self.part, self.parts, self.ends = depth, part, parts, ends
-        self.words, self.counts = words, counts
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
         self.total, self.distinct = total, distinct
         self._index(grams, logs)
 
@@ -453,6 +462,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
         if parts > 1:
             one = staged(one)
             shared.destroy()
+            # the next slice is fetched after this one is let go
+            del model, shared
         passes = one if passes is None else passes.unionByName(one)
     if parts > 1:
         sums = passes.groupBy("row").agg(F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")), F.first("n_bytes").alias("n_bytes"))
