@@ -102,6 +102,20 @@ def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[head], np.add.reduceat(n, head) if len(head) else n
 
 
+def _added_grams(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_added`` for keys below 2^56, sorted in place with the count in the low byte; larger counts stay rows of their own."""
+    keys, n = np.concatenate([x[0] for x in counts]), np.concatenate([x[1] for x in counts])
+    small = n < 256
+    large = keys[~small], n[~small]
+    keys = (keys[small] << np.uint64(8)) | n[small].astype(np.uint64)
+    keys.sort()
+    n = (keys & np.uint64(255)).astype(np.int64)
+    keys >>= np.uint64(8)
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, head) if len(head) else n
+    return np.concatenate((keys[head], large[0])), np.concatenate((n, large[1]))
+
+
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +130,8 @@ def _count(depth: int):
             for part in portions(held):
                 codes = distinct(streams(held[part], depth)[0])
                 grams.append((codes, np.zeros(len(codes), np.int64)))
-            gram, n = _added(grams)
+            gram, n = _added_grams(grams)
+            del grams
             word, c = _added(found)
             kind = np.concatenate((np.full(len(gram), GRAM), np.full(len(word), WORD), [END])).astype(np.int32)
             keys = np.concatenate((signed(gram), signed(word), [0]))
@@ -334,15 +349,18 @@ class Slice:
         self.bits = max(4, int(len(keys) * 3 // 2).bit_length())
         size = 1 << self.bits
         self.slots, self.logs = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, np.float32)
-        todo, at = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = self.slots[at] == np.uint64(2**64 - 1)
-            _, first = np.unique(at[free], return_index=True)
-            win = np.flatnonzero(free)[first]
-            self.slots[at[win]], self.logs[at[win]] = keys[todo[win]], values[todo[win]]
-            lost = np.ones(len(todo), bool)
-            lost[win] = False
-            todo, at = todo[lost], (at[lost] + 1) & (size - 1)
+        # some at a time, so that building takes little more than the table itself
+        for begin in range(0, len(keys), 1 << 19):
+            todo = np.arange(begin, min(begin + (1 << 19), len(keys)))
+            at = self._slot(keys[todo])
+            while len(todo):
+                free = np.flatnonzero(self.slots[at] == np.uint64(2**64 - 1))
+                _, first = np.unique(at[free], return_index=True)
+                win = free[first]
+                self.slots[at[win]], self.logs[at[win]] = keys[todo[win]], values[todo[win]]
+                lost = np.ones(len(todo), bool)
+                lost[win] = False
+                todo, at = todo[lost], (at[lost] + 1) & (size - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
