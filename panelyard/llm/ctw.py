@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.shared import MULTIPLIER, distinct, mix, portions, powers, signed, staged, word_hashes, words_of
+from panelyard.llm.shared import MULTIPLIER, mix, portions, powers, signed, staged, word_hashes, words_of
 
 DEPTH = 6
 #: Of the symbols of a context, so many are bytes; what follows hashes the word's beginning.
@@ -116,26 +116,36 @@ def _added_grams(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return np.concatenate((keys[head], large[0])), np.concatenate((n, large[1]))
 
 
+def _counted(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind, in batches that are small on both sides."""
+    for begin in range(0, len(keys), 1 << 17):
+        part = slice(begin, begin + (1 << 17))
+        columns = np.full(len(keys[part]), kind, np.int32), signed(keys[part]), n[part]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "n"])
+
+
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             train, held = [t for t, o in zip(texts, out, strict=True) if not o], [t for t, o in zip(texts, out, strict=True) if o]
+            del texts
             nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             grams, found = [nothing], [nothing]
-            for part in portions(train):
-                codes, _, words = streams(train[part], depth)
-                grams.append(np.unique(codes, return_counts=True))
-                found.append(np.unique(word_hashes([w for ws in words for w in ws]), return_counts=True))
-            for part in portions(held):
-                codes = distinct(streams(held[part], depth)[0])
-                grams.append((codes, np.zeros(len(codes), np.int64)))
-            gram, n = _added_grams(grams)
-            del grams
-            word, c = _added(found)
-            kind = np.concatenate((np.full(len(gram), GRAM), np.full(len(word), WORD), [END])).astype(np.int32)
-            keys = np.concatenate((signed(gram), signed(word), [0]))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate((n, c, [len(train)])))], ["kind", "key", "n"])
+            for own, learns in ((train, True), (held, False)):
+                for part in portions(own):
+                    codes, _, words = streams(own[part], depth)
+                    keys, n = np.unique(codes, return_counts=True)
+                    grams.append((keys, n if learns else np.zeros(len(keys), np.int64)))
+                    if learns:
+                        found.append(np.unique(word_hashes([w for ws in words for w in ws]), return_counts=True))
+                    del codes, words, keys, n
+                    if len(grams) > 4:
+                        grams = [_added_grams(grams)]
+            yield from _counted(END, np.zeros(1, np.uint64), np.array([len(train)], np.int64))
+            del train, held, own
+            yield from _counted(WORD, *_added(found))
+            yield from _counted(GRAM, *_added_grams(grams))
 
     return run
 
