@@ -45,6 +45,8 @@ BINS = BANDS * ROWS
 SHORT = 128
 #: Members of a block, and shingles that two blocks are compared over at a time.
 BLOCK, TOKENS = 256, 1 << 14
+#: Shingles outside the centre that one task counts at a time, about.
+PART = 1 << 15
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -204,6 +206,58 @@ def _by_centre(own: DataFrame, asked: Column, percent: int, block: int | None =
     return lists.mapInArrow(lambda batches: _lacking(batches, percent), "a binary, b binary")
 
 
+_MEMBER = "struct<x: binary, comp: binary, linked: boolean, need: int>"
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, part, members, who, tokens) from (g, parts, member, added): what the members of a group have beyond its centre, dealt by shingle, one row a batch for each part; ``who``: the places of the shingles' holders in ``members``."""
+    for batch in batches:
+        g, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "parts"))
+        added = batch.column("added")
+        tokens = added.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(added.offsets.to_numpy()))
+        part = (tokens.view(np.uint64) % parts[owner].astype(np.uint64)).astype(np.int32)
+        by = np.lexsort((owner, part, g[owner]))
+        tokens, owner, part, group = tokens[by], owner[by], part[by], g[owner[by]]
+        start = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])))) if len(by) else by
+        ends = np.append(start, len(by)).astype(np.int32)
+        # a holder comes once in a part
+        new = np.ones(len(by), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        new[start] = True
+        place = np.cumsum(new) - 1
+        first = np.append(place[start], new.sum()).astype(np.int32)
+        who = place - np.repeat(place[start], np.diff(ends))
+        members = pa.ListArray.from_arrays(pa.array(first), batch.column("member").take(pa.array(owner[new])))
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (who.astype(np.int32), tokens)]
+        yield pa.RecordBatch.from_arrays([pa.array(group[start]), pa.array(part[start]), members, *lists], ["g", "part", "members", "who", "tokens"])
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, x, comp, linked, need, token, times): shingles that members of different components share, one of them not linked with the centre."""
+    for batch in batches:
+        for g, pieces in zip(batch.column("g").to_pylist(), batch.column("pieces"), strict=True):
+            held = pieces.values.field("members")
+            sizes = np.diff(held.offsets.to_numpy())
+            members = held.flatten()
+            lists = pieces.values.field("tokens")
+            shift = np.repeat(np.cumsum(sizes) - sizes, np.diff(lists.offsets.to_numpy()))
+            who = pieces.values.field("who").flatten().to_numpy(zero_copy_only=False) + shift
+            tokens, place, times = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            comp = members.field("comp").dictionary_encode().indices.to_numpy(zero_copy_only=False)[who]
+            failed = np.zeros(len(tokens), bool)
+            failed[place[~members.field("linked").to_numpy(zero_copy_only=False)[who]]] = True
+            low, high = np.full(len(tokens), len(members)), np.full(len(tokens), -1)
+            np.minimum.at(low, place, comp)
+            np.maximum.at(high, place, comp)
+            use = (failed & (low < high))[place]
+            kept = members.take(pa.array(who[use]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(use.sum(), g)), *(kept.field(c) for c in ("x", "comp", "linked", "need")), pa.array(tokens[place[use]]), pa.array(times[place[use]])],
+                ["g", "x", "comp", "linked", "need", "token", "times"],
+            )
+
+
 def groups_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest place that each of n places reaches over edges (i, j)."""
     low = np.arange(n)
@@ -252,11 +306,14 @@ def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFr
     least = F.ceil(F.col("nx") * percent / 100)
     known = stars.where("added is not null").join(label.select(F.col("rep").alias("x"), "comp").hint("merge"), "x")
     several = [F.count_if(~F.col("linked")).alias("failed"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")]
-    open_ = known.groupBy("g").agg(*several).where("failed > 0 and low <> high").select("g")
-    own = staged(known.join(open_.hint("merge"), "g", "left_semi"))
-    token = own.select("g", "x", "comp", "linked", F.greatest(least - F.col("both"), F.lit(1)).alias("need"), F.explode("added").alias("token"))
-    common = token.groupBy("g", "token").agg(F.count("*").alias("times")).where("times > 1")
-    shared = token.join(common.hint("merge"), ["g", "token"])
+    parts = F.greatest(F.ceil(F.sum(F.size("added")) / PART), F.lit(1)).cast("int").alias("parts")
+    open_ = known.groupBy("g").agg(*several, parts).where("failed > 0 and low <> high").select("g", "parts")
+    own = staged(known.join(open_.hint("merge"), "g"))
+    # shingles stay in arrays until it is known which of them can matter: what an open pair shares, members of two components share, one of which failed
+    member = F.struct("x", "comp", "linked", F.greatest(least - F.col("both"), F.lit(1)).cast("int").alias("need")).alias("member")
+    dealt = own.select("g", "parts", member, "added").mapInArrow(_parts, f"g long, part int, members array<{_MEMBER}>, who array<int>, tokens array<long>")
+    pieces = dealt.groupBy("g", "part").agg(F.collect_list(F.struct("members", "who", "tokens")).alias("pieces"))
+    shared = pieces.mapInArrow(_common, "g long, x binary, comp binary, linked boolean, need int, token long, times long")
     line = Window.partitionBy("g", "x")
     kept = shared.withColumns({"place": F.row_number().over(line.orderBy("times", "token")), "have": F.count("*").over(line)}).where("place <= have - need + 1")
     kept = staged(kept.select(F.xxhash64("g", "token").alias("list"), "x", "comp", "linked"))

@@ -14,9 +14,10 @@ beginning to 8 words before its end, the first of them is at most 15 words after
 beginning: every repeated passage of 50 words holds a common run, whatever its
 sentences are. Up to 15 words at its beginning and 23 at its end can stay.
 
-Each run is hashed to 128 bits; runs are joined over all documents; every sentence
-that lies in a run which occurs earlier (by document id, then a hash of the text,
-then position) is removed.
+Each run is hashed to 96 bits (64 and 32 of two hashes); runs are joined over all
+documents; every sentence that lies in a run which occurs earlier (by document id, then
+a hash of the text, then position) is removed. What is shuffled for every run is kept
+narrow: the hash of the text goes along only where an id has several texts.
 
 Defined results: null and empty texts, and texts too short for a run, stay as they
 are. Every row stands for itself, also where rows share an id; of rows with equal id
@@ -99,7 +100,7 @@ def _runs_of(least_sentences: int, least_words: int):
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x[0]) for x in found]))
             first, one, two = (np.concatenate([x[k] for x in found]) for k in (0, 2, 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))],
                 ["doc_id", "row", "first", "run", "run2"],
             )
 
@@ -137,19 +138,22 @@ def remove_repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` with repeated sentences cut out of the text, and how many in ``count_col``."""
     docs = docs.drop(count_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
+    span_doc, span_row, firsts, copy, key, told = fresh(docs, "doc", "row", "firsts", "copy", "key", "told")
+    # ids of several texts; the table is written, so that its real size decides how it is joined
+    h = row_key(F.col(text_col))
+    several = staged(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(told)).agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select(told))
+    keyed = docs.join(several, F.col(id_col) == F.col(told), "left").withColumn(key, F.when(F.col(told).isNotNull() | F.col(id_col).isNull(), h).otherwise(F.lit(0).cast("long"))).drop(told)
+    texts = keyed.select(F.col(id_col).alias("doc_id"), F.col(key).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null")
     # rows of equal id and text have the same runs, which count once
-    found = staged(texts.mapInArrow(_runs_of(least_sentences, least_words), f"doc_id {kind}, row long, first int, run long, run2 long"))
-    place, h = F.struct("doc_id", "row", "first"), F.xxhash64("doc_id", "row", "first")
-    # few bytes a run tell which runs have several places; tables are written, so that both sides of a join are shuffled and a run that a third of all texts hold is split
-    several = staged(found.groupBy("run").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("run"))
-    again = staged(found.join(several.hint("merge"), "run", "left_semi"))
+    found = staged(texts.mapInArrow(_runs_of(least_sentences, least_words), f"doc_id {kind}, row long, first int, run long, run2 int"))
+    place = F.struct("doc_id", "row", "first")
+    # a run and a count tell which runs may have several places (rows of equal id and text count too, and go again with their one place); tables are written, so that both sides of a join are shuffled and a run that a third of all texts hold is split
+    repeated = staged(found.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select("run"))
+    again = staged(found.join(repeated.hint("merge"), "run", "left_semi"))
     kept = staged(again.groupBy("run", "run2").agg(F.min(place).alias("kept")))
     later = again.join(kept.hint("merge"), ["run", "run2"]).where(place != F.col("kept"))
-    span_doc, span_row, firsts, copy, key = fresh(docs, "doc", "row", "firsts", "copy", "key")
     # one row of spans for each text: bounded by the text's own sentences
     spans = later.groupBy(F.col("doc_id").alias(span_doc), F.col("row").alias(span_row)).agg(F.array_sort(F.collect_set("first")).alias(firsts))
-    keyed = docs.withColumn(key, row_key(F.col(text_col)))
     joined = keyed.join(spans.hint("merge"), (F.col(id_col) == F.col(span_doc)) & (F.col(key) == F.col(span_row)), "left")
     # rows of equal id and text lie together after the join
     number = F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(Window.partitionBy(id_col, key).orderBy(id_col, key)))

@@ -150,3 +150,33 @@ def test_recall_on_a_planted_corpus(spark):
     for width, percent in ((3, 85), (5, 80)):
         got = {x.doc_id: x.component_id for x in near_duplicates(docs, width=width, percent=percent).collect()}
         assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts, width, percent)]
+
+
+def test_shingles_outside_the_centre_stay_in_arrays(spark, monkeypatch):
+    """No row for each shingle that a member has beyond the centre: parts of a group count them in arrays, and only what can matter becomes rows."""
+    from panelyard.llm import minhash
+
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for k in r.sample(range(5, 200, 16), r.randint(5, 7)):
+            t[k] = f"v{r.randrange(2)}"
+        texts.append(" ".join(t))
+    seen, exploded, inner = [], [], minhash.staged
+
+    def staged(df):
+        exploded.append("explode(added" in df._jdf.queryExecution().analyzed().toString())
+        out = inner(df)
+        if df.columns == ["list", "x", "comp", "linked"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "staged", staged)
+    monkeypatch.setattr(minhash, "PART", 64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs, width=5, percent=80).collect()}
+    want = components(texts, 5, 80)
+    assert [got[i] for i in range(len(texts))] == want and 1 < len({c for _, c in want}) < 80
+    assert sum(seen) and not any(exploded)

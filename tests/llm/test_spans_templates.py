@@ -160,3 +160,26 @@ def test_templates_of_very_long_texts(spark):
     docs = spark.createDataFrame([(1, "lorem ipsum dolor 5 sit. " * 60_000 + ITEM), (2, "lorem ipsum dolor 5 sit. " * 60_000)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in templates.leaks(docs, bench).collect()] == [(1, 1)]
+
+
+def test_runs_are_shuffled_narrow(spark, monkeypatch):
+    """Which runs repeat is told by a count for each run; the hash of a text goes along only for ids of several texts."""
+    plans, rows, inner = [], {}, spans.staged
+
+    def staged(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = inner(df)
+        if "first" in out.columns:
+            rows.update({(x.doc_id, x.row != 0) for x in out.select("doc_id", "row").collect()} if not rows else {})
+        return out
+
+    monkeypatch.setattr(spans, "staged", staged)
+    one = "It is the first of all. It goes on for some more words here. It ends at last with this line. "
+    two = "Nobody knows what comes after that. Another line says a little more of it. The third one ends the text now. "
+    docs = spark.createDataFrame([(1, one), (2, one + two), (2, two), (3, two), (None, two)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.text, x.sentences_removed) for x in spans.remove_repeated_spans(docs).collect())
+    assert rows == {1: False, 2: True, 3: False}
+    assert not any("max(xxhash64(doc_id" in p for p in plans)
+    assert got[0] == (0, two, 0) and got[1] == (1, one, 0) and got[4][1:] == ("", 3)
+    # the two texts of id 2 share `two`: the one of the smaller hash keeps it
+    assert sorted(x[2] for x in got[2:4]) in ([0, 6], [3, 3])
