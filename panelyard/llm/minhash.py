@@ -8,17 +8,21 @@ densification) cut into bands; classes that share a band form a bucket.
 Every bucket is resolved with star-shaped edges: each member is compared with one
 centre, at first the member that meets most others. What a star leaves open are pairs
 of different components in which a member x failed against the centre c. Such a pair
-x, y can be linked only if x and y share shingles that c lacks, or if what each shares
-with c would do. The first are found by lists of rare shared shingles outside the centre
-(as many of the rarest as a prefix filter needs): the members of a short list are
-compared with each other, a longer list is a group of its own and gets a star with a new
-centre among those that failed, and so on until no group is left. The second follow from
-what each lacks of c, short lists of shingles: members of a group are dealt into blocks,
-two blocks meet in one task, which counts what they lack together as a product of
-matrices and tells the links of two blocks as one edge a member. So no link inside a
-bucket is lost, no bucket is capped, a list makes at most ``SHORT`` pairs for each of its
-members, and two blocks at most an edge for each of theirs: a family gives no more rows
-than members times blocks. Links are confirmed on full sets, or by counts over them.
+x, y can be linked only if x and y share enough shingles that c lacks, or if what each
+shares with c would do. So it is counted first, in arrays, how many of its shingles
+outside the centre a member shares with members that it could still be linked with: one
+number a member. Members with too few drop out. The others are dealt into blocks, those
+that failed apart from the rest, and two blocks meet in one task, unless none in them
+failed: what two members have in common follows from what they have beyond c and what
+they lack of it, counted as a product of matrices, and is told as one edge a member. So
+a group gives no more rows than members times blocks, and only members that failed
+multiply the rest.
+
+A group of more than ``WIDE`` blocks goes by lists of rare shared shingles instead (as
+many of the rarest as a prefix filter needs): the members of a short list are compared
+with each other, a longer list is a group of its own and gets a star with a new centre
+among those that failed, until no group is left. No link inside a bucket is lost, no
+bucket is capped. Links are confirmed on full sets, or by counts over them.
 
 Defined results: null or word-less text has an empty set, links with nothing and
 is kept. Every row stands for itself: rows that share an id are linked only if their
@@ -45,6 +49,8 @@ BINS = BANDS * ROWS
 SHORT = 128
 #: Members of a block, and shingles that two blocks are compared over at a time.
 BLOCK, TOKENS = 256, 1 << 14
+#: Shingles that set the members of a block apart from the centre, about, and blocks of a group at most.
+HELD, WIDE = 1 << 18, 64
 #: Shingles outside the centre that one task counts at a time, about.
 PART = 1 << 15
 
@@ -160,50 +166,53 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumns({"na": F.size("sa"), "nb": F.size("sb"), "both": F.size(F.array_intersect("sa", "sb"))})
 
 
-def _lacking(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b): edges that connect what is linked by its share of the centre, from two blocks of members; the second is null where a block meets itself."""
+def _meeting(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): edges that connect what is linked, one of the two not with the centre, from two blocks of members; the second is null where a block meets itself."""
     for batch in batches:
         out: list[tuple[list, list]] = []
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
             one = right.values is None or not len(right.values)
             sides = [left.values] if one else [left.values, right.values]
             names = [x for side in sides for x in side.field("x").to_pylist()]
-            n, both, linked = (np.concatenate([side.field(c).to_numpy(zero_copy_only=False) for side in sides]) for c in ("nx", "both", "linked"))
-            lists = [x.values.to_numpy(zero_copy_only=False) for side in sides for x in side.field("lacks")]
+            n, both, lacks, linked = (np.concatenate([side.field(c).to_numpy(zero_copy_only=False) for side in sides]) for c in ("nx", "both", "lacks", "linked"))
+            lists = [side.field("apart") for side in sides]
             k = len(names) if one else len(left.values)
             rows, columns = slice(0, k), slice(0, k) if one else slice(k, None)
-            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            tokens, place = np.unique(np.concatenate(lists), return_inverse=True)
+            owner = np.repeat(np.arange(len(names)), np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]))
+            tokens, place, times = np.unique(np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]), return_inverse=True, return_counts=True)
+            # what one member alone has or lacks is not shared
+            several = times > 1
+            owner, place = owner[several[place]], (np.cumsum(several) - 1)[place[several[place]]]
             shared = np.zeros((k, len(names[columns])), np.float32)
-            for start in range(0, len(tokens), TOKENS):
+            for start in range(0, several.sum(), TOKENS):
                 use = (place >= start) & (place < start + TOKENS)
-                has = np.zeros((len(names), min(TOKENS, len(tokens) - start)), np.float32)
+                has = np.zeros((len(names), min(TOKENS, several.sum() - start)), np.float32)
                 has[owner[use], place[use] - start] = 1
                 shared += has[rows] @ has[columns].T
-            lacks = np.array([len(x) for x in lists], np.int64)
-            # of the centre's shingles both have those that neither lacks
+            # of the centre's shingles both have those that neither lacks, and besides what both have beyond it
             common = both[rows, None] - lacks[None, columns] + shared.astype(np.int64)
             near = (100 * common >= percent * (n[rows, None] + n[None, columns] - common)) & ~(linked[rows, None] & linked[None, columns])
             i, j = np.nonzero(near)
-            low = groups_of(len(names), i, j if one else j + k)
+            # the smallest name stands for what is connected, so that groups of the same members tell the same edges
+            by = np.array(sorted(range(len(names)), key=names.__getitem__))
+            at = np.argsort(by)
+            low = groups_of(len(names), at[i], at[j if one else j + k])
             moved = np.flatnonzero(low != np.arange(len(names)))
-            out.append(([names[m] for m in moved], [names[m] for m in low[moved]]))
+            out.append(([names[m] for m in by[moved]], [names[m] for m in by[low[moved]]]))
         yield pa.RecordBatch.from_arrays([pa.array([x for o in out for x in o[c]], pa.binary()) for c in (0, 1)], ["a", "b"])
 
 
-def _by_centre(own: DataFrame, asked: Column, percent: int, block: int | None = None) -> DataFrame:
-    """(a, b) from members of groups (g, x, nx, both, linked, lacks) in which one is ``asked``: every two blocks of a group meet in a task of their own."""
-    block = block or BLOCK
-    sizes = own.groupBy("g").agg(F.count("*").alias("m"), F.max(asked).alias("any")).where("any").drop("any")
-    # written before it goes on, so that the join of a large group can be split
-    members = staged(own.select("g", "x", "nx", "both", "linked", "lacks").join(sizes.hint("merge"), "g"))
-    dealt = members.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    met = dealt.select("g", "block", F.struct("x", "nx", "both", "linked", "lacks").alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "member")
+def _by_blocks(own: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from members of groups (g, x, nx, both, linked, added, lacks) and how they meet (g, x, asked, own and rest: blocks of those asked and of the others): every two blocks meet in a task of their own, unless none in them is asked."""
+    block = F.when(F.col("asked"), F.pmod(F.xxhash64("x"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("x"), F.greatest("rest", F.lit(1)))).cast("int")
+    meets = F.when(F.col("asked"), F.col("own") + F.col("rest")).otherwise(F.col("own"))
+    member = F.struct("x", "nx", "both", F.size("lacks").cast("long").alias("lacks"), "linked", F.concat("added", "lacks").alias("apart")).alias("member")
+    dealt = own.join(met.hint("merge"), ["g", "x"]).select("g", block.alias("block"), member, F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "member")
     side = lambda c: F.collect_list(F.when(F.col("block") == F.col(c), F.col("member")))
-    lists = met.groupBy("g", "p", "q").agg(side("p").alias("left"), side("q").alias("right"))
-    lists = lists.select("left", F.when(F.col("p") < F.col("q"), F.col("right")).alias("right"))
-    return lists.mapInArrow(lambda batches: _lacking(batches, percent), "a binary, b binary")
+    lists = dealt.groupBy("g", "p", "q").agg(side("p").alias("left"), side("q").alias("right")).where(F.size("left") > 0)
+    lists = lists.select("left", F.when(F.col("p") < F.col("q"), F.col("right")).alias("right")).where(F.col("right").isNull() | (F.size("right") > 0))
+    return lists.mapInArrow(lambda batches: _meeting(batches, percent), "a binary, b binary").distinct()
 
 
 _MEMBER = "struct<x: binary, comp: binary, linked: boolean, need: int>"
@@ -233,27 +242,47 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(group[start]), pa.array(part[start]), members, *lists], ["g", "part", "members", "who", "tokens"])
 
 
+def _shared(pieces: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(members, who, token, times): shingles of a part that members of different components share, one of them not linked with the centre; ``who``: the holder's place in ``members``."""
+    held = pieces.values.field("members")
+    sizes = np.diff(held.offsets.to_numpy())
+    members = held.flatten()
+    lists = pieces.values.field("tokens")
+    shift = np.repeat(np.cumsum(sizes) - sizes, np.diff(lists.offsets.to_numpy()))
+    who = pieces.values.field("who").flatten().to_numpy(zero_copy_only=False) + shift
+    tokens, place, times = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    comp = members.field("comp").dictionary_encode().indices.to_numpy(zero_copy_only=False)[who]
+    failed = np.zeros(len(tokens), bool)
+    failed[place[~members.field("linked").to_numpy(zero_copy_only=False)[who]]] = True
+    low, high = np.full(len(tokens), len(members)), np.full(len(tokens), -1)
+    np.minimum.at(low, place, comp)
+    np.maximum.at(high, place, comp)
+    use = (failed & (low < high))[place]
+    return members, who[use], tokens[place[use]], times[place[use]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, x, comp, linked, need, have): how many such shingles of a part a member has."""
+    for batch in batches:
+        for g, pieces in zip(batch.column("g").to_pylist(), batch.column("pieces"), strict=True):
+            members, who, _, _ = _shared(pieces)
+            have = np.bincount(who, minlength=len(members))
+            some = np.flatnonzero(have)
+            kept = members.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), g)), *(kept.field(c) for c in ("x", "comp", "linked", "need")), pa.array(have[some])],
+                ["g", "x", "comp", "linked", "need", "have"],
+            )
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, x, comp, linked, need, token, times): shingles that members of different components share, one of them not linked with the centre."""
+    """(g, x, comp, linked, need, token, times): a row for each such shingle of a member."""
     for batch in batches:
         for g, pieces in zip(batch.column("g").to_pylist(), batch.column("pieces"), strict=True):
-            held = pieces.values.field("members")
-            sizes = np.diff(held.offsets.to_numpy())
-            members = held.flatten()
-            lists = pieces.values.field("tokens")
-            shift = np.repeat(np.cumsum(sizes) - sizes, np.diff(lists.offsets.to_numpy()))
-            who = pieces.values.field("who").flatten().to_numpy(zero_copy_only=False) + shift
-            tokens, place, times = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-            comp = members.field("comp").dictionary_encode().indices.to_numpy(zero_copy_only=False)[who]
-            failed = np.zeros(len(tokens), bool)
-            failed[place[~members.field("linked").to_numpy(zero_copy_only=False)[who]]] = True
-            low, high = np.full(len(tokens), len(members)), np.full(len(tokens), -1)
-            np.minimum.at(low, place, comp)
-            np.maximum.at(high, place, comp)
-            use = (failed & (low < high))[place]
-            kept = members.take(pa.array(who[use]))
+            members, who, tokens, times = _shared(pieces)
+            kept = members.take(pa.array(who))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(use.sum(), g)), *(kept.field(c) for c in ("x", "comp", "linked", "need")), pa.array(tokens[place[use]]), pa.array(times[place[use]])],
+                [pa.array(np.full(len(who), g)), *(kept.field(c) for c in ("x", "comp", "linked", "need")), pa.array(tokens), pa.array(times)],
                 ["g", "x", "comp", "linked", "need", "token", "times"],
             )
 
@@ -300,36 +329,61 @@ def _stars(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(rays.drop("n").join(found.hint("merge"), ["x", "c"]))
 
 
+def _several() -> list[Column]:
+    """Open is what has ``failed > 0 and low <> high``: members of different components, one of which failed."""
+    return [F.count_if(~F.col("linked")).alias("failed"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")]
+
+
 def _left_open(stars: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs (a, b), edges (a, b), groups (g, x, order)): what may be, and what is linked although one of the two is not linked with the centre, and lies in another component."""
-    # a linked pair shares at least percent % of the larger set
+    # a linked pair shares at least percent % of the larger set; without a shared addition x and y share at most what x shares with c, so y must be small
     least = F.ceil(F.col("nx") * percent / 100)
-    known = stars.where("added is not null").join(label.select(F.col("rep").alias("x"), "comp").hint("merge"), "x")
-    several = [F.count_if(~F.col("linked")).alias("failed"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")]
+    room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
+    known = stars.where("added is not null").join(label.select(F.col("rep").alias("x"), "comp").hint("merge"), "x").withColumn("tight", ~F.col("linked") & (least <= room))
     parts = F.greatest(F.ceil(F.sum(F.size("added")) / PART), F.lit(1)).cast("int").alias("parts")
-    open_ = known.groupBy("g").agg(*several, parts).where("failed > 0 and low <> high").select("g", "parts")
+    open_ = known.groupBy("g").agg(*_several(), parts, F.max("tight").alias("whole")).where("failed > 0 and low <> high").select("g", "parts", "whole")
     own = staged(known.join(open_.hint("merge"), "g"))
-    # shingles stay in arrays until it is known which of them can matter: what an open pair shares, members of two components share, one of which failed
-    member = F.struct("x", "comp", "linked", F.greatest(least - F.col("both"), F.lit(1)).cast("int").alias("need")).alias("member")
-    dealt = own.select("g", "parts", member, "added").mapInArrow(_parts, f"g long, part int, members array<{_MEMBER}>, who array<int>, tokens array<long>")
-    pieces = dealt.groupBy("g", "part").agg(F.collect_list(F.struct("members", "who", "tokens")).alias("pieces"))
-    shared = pieces.mapInArrow(_common, "g long, x binary, comp binary, linked boolean, need int, token long, times long")
+    # shingles stay in arrays: what an open pair shares, members of two components share, one of which failed
+    need = F.greatest(least - F.col("both"), F.lit(1)).cast("int").alias("need")
+    few = _pieces(own, need).mapInArrow(_counted, "g long, x binary, comp binary, linked boolean, need int, have long")
+    few = few.groupBy("g", "x").agg(*(F.first(c).alias(c) for c in ("comp", "linked", "need")), F.sum("have").alias("have"))
+    kept = staged(few.where("have >= need").select(F.col("g").alias("list"), "x", "comp", "linked"))
+    able = own.select("g", "x", "linked", "tight", "whole", (F.size("added") + F.size("lacks")).alias("held")).join(kept.select(F.col("list").alias("g"), "x", F.lit(True).alias("able")).hint("merge"), ["g", "x"], "left")
+    able = able.where("able or whole").withColumn("asked", ~F.col("linked") & (F.coalesce("able", F.lit(False)) | F.col("tight")))
+    blocks = lambda of: F.ceil(F.greatest(F.count_if(of) / BLOCK, F.sum(F.when(of, F.col("held"))) / HELD)).cast("int")
+    sizes = able.groupBy("g").agg(blocks(F.col("asked")).alias("own"), blocks(~F.col("asked")).alias("rest")).where("own > 0")
+    met = staged(able.join(sizes.hint("merge"), "g").select("g", "x", "asked", "own", "rest", (~F.col("whole") & (F.col("own") + F.col("rest") > WIDE)).alias("wide")))
+    edges = _by_blocks(own, met.where("not wide").drop("wide"), percent)
+    wide = met.where("wide").select("g").distinct()
+    if wide.isEmpty():
+        pairs, groups = (own.sparkSession.createDataFrame([], kind) for kind in ("a binary, b binary", "g long, x binary, order long"))
+        return pairs, edges, groups
+    pairs, groups = _by_lists(own.join(wide.hint("merge"), "g", "left_semi"), need)
+    return pairs, edges, groups
+
+
+def _pieces(own: DataFrame, need: Column) -> DataFrame:
+    """(g, part, pieces): what the members of groups have beyond the centre, dealt by shingle."""
+    dealt = own.select("g", "parts", F.struct("x", "comp", "linked", need).alias("member"), "added").mapInArrow(_parts, f"g long, part int, members array<{_MEMBER}>, who array<int>, tokens array<long>")
+    return dealt.groupBy("g", "part").agg(F.collect_list(F.struct("members", "who", "tokens")).alias("pieces"))
+
+
+def _by_lists(own: DataFrame, need: Column) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), groups (g, x, order)) of groups in which no member is linked without a shared addition, by lists of rare shared shingles."""
+    shared = _pieces(own, need).mapInArrow(_common, "g long, x binary, comp binary, linked boolean, need int, token long, times long")
     line = Window.partitionBy("g", "x")
     kept = shared.withColumns({"place": F.row_number().over(line.orderBy("times", "token")), "have": F.count("*").over(line)}).where("place <= have - need + 1")
     kept = staged(kept.select(F.xxhash64("g", "token").alias("list"), "x", "comp", "linked"))
     # shingles of one changed place have the same members: one list stands for all lists of equal members
     same = [F.bit_xor(F.xxhash64(F.lit(k), "x", "linked")).alias(f"same{k}") for k in (1, 2)]
-    lists = kept.groupBy("list").agg(*several, *same).where("failed > 0 and low <> high").groupBy("n", "same1", "same2").agg(F.min("list").alias("list"))
+    lists = kept.groupBy("list").agg(*_several(), *same).where("failed > 0 and low <> high").groupBy("n", "same1", "same2").agg(F.min("list").alias("list"))
     kept = staged(kept.join(lists.select("list", "n").hint("merge"), "list"))
     short = kept.where(F.col("n") <= SHORT)
     left, right = short.where("not linked").select("list", "x", "comp"), short.select("list", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("linked").alias("joined"))
     # of two that failed each meets the other once
     by_token = left.join(right.hint("merge"), "list").where("comp <> other and (joined or x < y)").select("x", "y")
     groups = kept.where(F.col("n") > SHORT).select(F.col("list").alias("g"), "x", F.col("linked").cast("long").alias("order"))
-    # without a shared addition x and y share at most what x shares with c, so y must be small
-    room = F.floor((100 + percent) * F.col("both") / percent - F.col("nx"))
-    edges = _by_centre(own, ~F.col("linked") & (least <= room), percent)
-    return by_token.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), edges, groups
+    return by_token.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), groups
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:

@@ -180,3 +180,38 @@ def test_shingles_outside_the_centre_stay_in_arrays(spark, monkeypatch):
     want = components(texts, 5, 80)
     assert [got[i] for i in range(len(texts))] == want and 1 < len({c for _, c in want}) < 80
     assert sum(seen) and not any(exploded)
+
+
+def test_shared_alternatives_do_not_multiply(spark, monkeypatch):
+    """A family in which many members share each change: what meets is bounded by members times blocks, and no list starts another round; lists of a very wide group give the same."""
+    from panelyard.llm import minhash
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    spots = r.sample(range(120), 30)
+    texts = []
+    for _ in range(400):
+        t = list(base)
+        for k in r.sample(spots, r.randint(2, 8)):
+            t[k] = f"v{r.randrange(2)}"
+        texts.append(" ".join(t))
+    rows, rounds, inner, left_open = [], [], minhash.staged, minhash._left_open
+
+    def staged(df):
+        out = inner(df)
+        if df.columns == ["list", "x", "comp", "linked"]:
+            rows.append((out.count(), out.select("list", "x").distinct().count()))
+        return out
+
+    monkeypatch.setattr(minhash, "staged", staged)
+    monkeypatch.setattr(minhash, "_left_open", lambda *args: rounds.append(1) or left_open(*args))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components(texts, 5, 80)
+    assert 1 < len({c for _, c in want}) < 300
+    for wide in (64, 0):
+        monkeypatch.setattr(minhash, "WIDE", wide, raising=False)
+        rows.clear(), rounds.clear()
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs, width=5, percent=80).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        if wide:
+            assert len(rounds) == 1 and len(rows) == 1 and rows[0][0] <= 48 * len(texts)
