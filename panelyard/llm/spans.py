@@ -28,6 +28,7 @@ column with the name of the count, which is replaced.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -38,30 +39,71 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.shared import SECOND, fresh, mix, powers, row_key, staged, word_hashes
 
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
+#: What a code point is: white space, line break, end mark, part of a word, capital.
+_KINDS = [re.compile(x) for x in (r"\s", r"\n", r"[.!?]", r"\w", r"[^\W\d_a-zß-öø-ÿ]")]
+SPACE, BREAK, MARK, WORD, CAPITAL = (1 << k for k in range(len(_KINDS)))
 LEAST_SENTENCES, LEAST_WORDS, PIECE = 3, 15, 8
 
 
-def _cut(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(end of each sentence in code points, number of words up to there, words, their hashes)."""
-    stops = [m.end() for m in _CUT.finditer(text)]
-    if text and (not stops or stops[-1] != len(text)):
-        stops.append(len(text))
-    ends = np.array(stops, np.int64)
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kinds of each code point."""
+    every, out = "".join(map(chr, range(0x110000))), np.zeros(0x110000, np.uint8)
+    for k, kind in enumerate(_KINDS):
+        out[[m.start() for m in kind.finditer(every)]] |= 1 << k
+    return out
+
+
+def _stops(letters: np.ndarray) -> np.ndarray:
+    """Ends of white space that follows an end mark, holds a line break, or lies between a word and a capital; and the end of the text."""
+    kinds = _kinds()[letters]
+    space = (kinds & SPACE) > 0
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, end = edge[space[edge]], edge[~space[edge]]
+    if len(space) and space[0]:
+        first = np.concatenate(([0], first))
+    if len(space) and space[-1]:
+        end = np.append(end, len(space))
+    broken = np.zeros(len(first), bool)
+    breaks = np.flatnonzero(kinds & BREAK)
+    broken[np.searchsorted(first, breaks, side="right") - 1] = True
+    # a text begins after nothing and ends before nothing
+    before, after = np.where(first > 0, kinds[first - 1], 0), np.where(end < len(kinds), kinds[end % max(len(kinds), 1)], 0)
+    cut = broken | ((before & MARK) > 0) | (((before & WORD) > 0) & ((after & CAPITAL) > 0))
+    stops = end[cut]
+    return stops if not len(letters) or (len(stops) and stops[-1] == len(letters)) else np.append(stops, len(letters))
+
+
+def _least(keyed: np.ndarray) -> np.ndarray:
+    """Where each stretch of ``PIECE`` has its least value, the first of equal ones."""
+    at, wide = np.arange(len(keyed)), 1
+    while wide < PIECE:
+        step = min(wide, PIECE - wide)
+        left, right = at[:-step], at[step:]
+        at = np.where(keyed[left] <= keyed[right], left, right)
+        wide += step
+    return at
+
+
+def _cut(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray | None]:
+    """(end of each sentence in code points, number of words up to there, words, their hashes if they were asked for by a long sentence)."""
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = _stops(letters)
     space = (letters == 32) | ((letters >= 9) & (letters <= 13))
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(space) else np.zeros(0, np.int64)
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    upto = np.concatenate(([0], np.searchsorted(starts, ends)))
+    upto = np.searchsorted(starts, ends)
+    if np.diff(upto, prepend=0).max(initial=0) <= PIECE:
+        return ends, upto, words, None
     h = word_hashes(words)
-    if np.diff(upto).max(initial=0) <= PIECE:
-        return ends, upto[1:], words, h
     # where a sentence starts, it takes the place of the word with the least hash
-    keyed = h.copy()
-    keyed[upto[:-1][upto[:-1] < len(words)]] = 0
-    windows = np.lib.stride_tricks.sliding_window_view(keyed, PIECE)
-    fresh = np.setdiff1d(windows.argmin(axis=1) + np.arange(len(windows)), upto)
-    return np.sort(np.concatenate((ends, starts[fresh]))), np.sort(np.concatenate((upto[1:], fresh))), words, h
+    keyed, begun = h.copy(), np.append(upto[upto < len(words)], 0)
+    keyed[begun] = 0
+    chosen = np.zeros(len(words), bool)
+    chosen[_least(keyed)] = True
+    chosen[begun] = False
+    fresh = np.flatnonzero(chosen)
+    return np.sort(np.concatenate((ends, starts[fresh]))), np.sort(np.concatenate((upto, fresh))), words, h
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -70,17 +112,25 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
 
 
+def _stretches(upto: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, sentence after the last) of each run."""
+    if len(upto) < least_sentences or upto[-1] < least_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.arange(len(upto))
+    stop = np.maximum(start + least_sentences, np.searchsorted(upto, np.concatenate(([0], upto[:-1])) + least_words) + 1)
+    start = start[stop <= len(upto)]
+    return start, stop[: len(start)]
+
+
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first sentence, number of sentences, two hashes) of each run; the k-th run starts at the k-th sentence."""
-    upto, words, h = _cut(text)[1:]
-    if len(upto) < least_sentences or len(words) < least_words:
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+    _, upto, words, h = _cut(text)
+    start, stop = _stretches(upto, least_sentences, least_words)
+    if not len(start):
+        none = np.zeros(0, np.uint64)
+        return start, stop, none, none
+    h = word_hashes(words) if h is None else h
     ends = np.concatenate(([0], upto))
-    start = np.arange(len(upto))
-    stop = np.maximum(start + least_sentences, np.searchsorted(ends[1:], ends[:-1] + least_words) + 1)
-    start = start[stop <= len(upto)]
-    stop = stop[: len(start)]
     # the hash of any run of words follows from one running sum over the text
     first, last = ends[start], ends[stop]
     keys = []
@@ -118,15 +168,16 @@ def _cut_out(text_at: int, firsts_at: int, names: list[str], least_sentences: in
                     new.append(text)
                     removed.append(0)
                     continue
-                cuts = sentences(text)
-                start, n, _, _ = runs(text, least_sentences, least_words)
+                ends, upto, _, _ = _cut(text)
+                start, stop = _stretches(upto, least_sentences, least_words)
                 if copy == 1:
-                    start, n = start[firsts], n[firsts]
-                gone = np.zeros(len(cuts) + 1, np.int64)
-                np.add.at(gone, start, 1)
-                np.add.at(gone, start + n, -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                new.append("".join(text[a:b] for (a, b), g in zip(cuts, gone, strict=True) if not g))
+                    start, stop = start[firsts], stop[firsts]
+                size = len(ends) + 1
+                gone = np.cumsum(np.bincount(start, minlength=size) - np.bincount(stop, minlength=size))[:-1] > 0
+                # sentences that stay side by side are one slice
+                turn = np.flatnonzero(np.diff(gone, prepend=True, append=True))
+                at = np.concatenate(([0], ends))[turn].tolist()
+                new.append("".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
                 removed.append(int(gone.sum()))
             columns = [pa.array(new, pa.string()) if k == text_at else batch.column(k) for k in range(firsts_at)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names)

@@ -183,3 +183,29 @@ def test_runs_are_shuffled_narrow(spark, monkeypatch):
     assert got[0] == (0, two, 0) and got[1] == (1, one, 0) and got[4][1:] == ("", 3)
     # the two texts of id 2 share `two`: the one of the smaller hash keeps it
     assert sorted(x[2] for x in got[2:4]) in ([0, 6], [3, 3])
+
+
+def test_cuts_equal_the_rule_and_are_made_once(monkeypatch):
+    """Sentences end where the rule, as a pattern, says, on any code points; a text with runs to take out is cut once."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from panelyard.llm import spans
+
+    rule = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
+    r = random.Random(4)
+    texts = ["", " ", "\n", " A", "A ", "a A", "a. A ", "One two.\n\n Three"]
+    texts += ["".join(r.choice(" \n\t\x0b\r\x1c\x85\xa0　.!?_aAéÉßÀ1²Ⅷǅ中😀,") for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    monkeypatch.setattr(spans, "PIECE", 100)
+    for t in texts:
+        want = [m.end() for m in rule.finditer(t)]
+        want += [len(t)] if t and (not want or want[-1] != len(t)) else []
+        assert [b for _, b in spans.sentences(t)] == want
+    made, cut = [], spans._cut
+    monkeypatch.setattr(spans, "_cut", lambda t: made.append(t) or cut(t))
+    text = "One two. Three four. Five six. Seven."
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([[0]], pa.list_(pa.int32())), pa.array([1])], ["text", "firsts", "copy"])
+    (out,) = spans._cut_out(0, 1, ["text", "removed"], 2, 3)([batch])
+    assert out.to_pylist() == [{"text": "Five six. Seven.", "removed": 2}] and made == [text]
