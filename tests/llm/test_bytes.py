@@ -46,3 +46,18 @@ def test_same_id_null_id_and_empty(spark):
     got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in remove_repeated_bytes(docs).collect())
     assert got == [(0, 0, 0), (1, 10, 0), (1, 500, 500)]
     assert remove_repeated_bytes(docs.limit(0)).count() == 0
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    r = random.Random(8)
+    words = [" ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(2)]
+    short, full = words[0][:399], words[1][:400]
+    texts = [f"A{short}B", f"C{short}D", f"E{full}F", f"G{full}H", f"I{full}J", f"K{words[0][400:]}", f"L{words[1]}"]
+    assert min(len(short.split()), len(full.split())) > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeated_bytes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+    assert [got[i][1] for i in range(len(texts))] == [0, 0, 400, 400, 400, 0, 400]
+    # a string that starts twice in one document, and in no other, goes as well
+    once = spark.createDataFrame([(0, f"{full}M{full}N"), (1, f"O{short}P")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_removed) for x in remove_repeated_bytes(once).collect()) == [(0, 800), (1, 0)]
